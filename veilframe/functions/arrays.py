@@ -1,0 +1,47 @@
+"""Array helpers made of built-in higher-order functions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Running totals are built block by block, so that appending to the result copies it once per block and
+# not once per element.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    def extend(seen: Column, value: Column) -> Column:
+        return F.concat(seen, F.array(step(F.element_at(seen, -1), value)))
+
+    def next_block(acc: Column, first: Column) -> Column:
+        block = F.slice(values, first, F.lit(BLOCK))
+        seen = F.aggregate(block, F.array(acc["last"]), extend)
+        return let(
+            seen,
+            lambda s: F.struct(
+                F.element_at(s, -1).alias("last"),
+                F.concat(acc["out"], F.slice(s, 2, BLOCK)).alias("out"),
+            ),
+        )
+
+    zero = F.struct(start.alias("last"), F.array().cast("array<int>").alias("out"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK))
+    return F.aggregate(firsts, zero, next_block, lambda acc: acc["out"])
+
+
+def running_sum(values: Column) -> Column:
+    """array<int> -> array<int> of running totals."""
+    return _running(values, F.lit(0), lambda last, value: last + value)
+
+
+def running_max(values: Column) -> Column:
+    """array<int> of non-negative numbers -> array<int> of running maxima."""
+    return _running(values, F.lit(0), lambda last, value: F.greatest(last, value))
