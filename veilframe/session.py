@@ -27,6 +27,19 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def stacked(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts; columns a part lacks are null.
+
+    Spark 4.1 lets a union keep its inputs' partitioning. When adaptive execution re-plans the inputs, that has
+    been seen to repeat rows now and then, so it is switched off for the session before a union is made.
+    """
+    parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under spark.checkpoint.dir, the cluster's shared folder; a temporary one where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,3 +62,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if input_bytes(df) > cores * SPREAD_BYTES_PER_CORE:
         return df
     return df.repartition(cores, *keys)
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the files.
+
+    For results that several later steps read: they are computed once, and survive lost executors.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
