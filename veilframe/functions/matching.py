@@ -1,4 +1,4 @@
-"""Find-all with offsets, and masking, as column expressions over one line of text.
+"""Find-all with offsets, and masking, as SQL over one line of text.
 
 Offsets count characters (code points) from 0, end exclusive, so ``substring(text, start + 1, end - start)``
 is the matched text.
@@ -6,108 +6,73 @@ is the matched text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .arrays import let, running_max, running_sum
+from .sqltext import let, literal, running_max, running_sum
 
 MASK = "█"
-SPAN = "struct<start:int,end:int,matched:string>"
 _ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+_IS_WIDE = literal(_ASTRAL)
+_ONE = literal(f"({_ASTRAL})")
+_TWO = literal(f"({_ASTRAL})\\1")
 
 
-def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start,end,matched>> of every match, left to right.
+def search(text: str, pattern: str, group: int = 0, utf16: bool = False, **tags: str) -> str:
+    """A struct with all matches of the pattern and the pieces between them, null when there are none.
 
-    The text is cut at the matches; a match ends at the summed lengths of the pieces and matches up to it.
-    A group other than 0 must be the one the match ends with.
+    A group other than 0 must be the one a match ends with. With ``utf16`` the pattern's repeat limits count
+    UTF-16 units: characters above U+FFFF, which are two units, are doubled before matching. ``tags`` are
+    carried along.
     """
-    empty = F.array().cast(f"array<{SPAN}>")
-
-    def placed(whole: Column) -> Column:
-        part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        ends = let(
-            F.split(text, pattern, -1),
-            lambda pieces: running_sum(
-                F.transform(whole, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
-            ),
-        )
-        return let(
-            ends,
-            lambda e: F.transform(
-                part,
-                lambda m, i: F.struct(
-                    (F.get(e, i) - F.length(m)).alias("start"),
-                    F.get(e, i).alias("end"),
-                    m.alias("matched"),
-                ),
-            ),
-        )
-
-    return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda whole: F.when(F.size(whole) == 0, empty).otherwise(placed(whole)),
-    )
+    p = literal(pattern)
+    part = "_w" if group == 0 else f"regexp_extract_all(_t, {p}, {group})"
+    wide = f"rlike(_t, {_IS_WIDE})" if utf16 else "false"
+    fields = {**tags, "source": "_t", "wide": wide, "whole": "_w", "part": part, "pieces": f"split(_t, {p}, -1)"}
+    found = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    hit = let("_w", f"regexp_extract_all(_t, {p}, 0)", f"if(size(_w) = 0, null, {found})")
+    source = f"if(rlike({text}, {_IS_WIDE}), regexp_replace({text}, {_ONE}, '$1$1'), {text})" if utf16 else text
+    return let("_t", source, hit)
 
 
-def find_spans_utf16(text: Column, pattern: str, group: int = 0) -> Column:
-    """As ``find_spans``, for patterns whose repeat limits count UTF-16 units.
+def spans(hit: str, *tags: str) -> str:
+    """array<struct<tags, start, end, matched>> of a ``search`` result.
 
-    A character above U+FFFF is two units, so it is doubled before matching and the offsets are brought
-    back afterwards. Lines without such characters take the plain way.
+    A match ends at the summed lengths of the pieces and matches up to it.
     """
 
-    def undouble(value: Column) -> Column:
-        return F.regexp_replace(value, f"({_ASTRAL})\\1", "$1")
-
-    def doubled(wide: Column) -> Column:
-        def back(offset: Column) -> Column:
-            return F.length(undouble(F.substr(wide, F.lit(1), offset)))
+    def narrow(value: str) -> str:
+        return f"if({hit}.wide, regexp_replace({value}, {_TWO}, '$1'), {value})"
 
-        return F.transform(
-            find_spans(wide, pattern, group),
-            lambda m: F.struct(
-                back(m["start"]).alias("start"),
-                back(m["end"]).alias("end"),
-                undouble(m["matched"]).alias("matched"),
-            ),
-        )
+    def offset(value: str) -> str:
+        before = f"regexp_replace(substr({hit}.source, 1, {value}), {_TWO}, '$1')"
+        return f"if({hit}.wide, length({before}), {value})"
 
-    return F.when(
-        text.rlike(_ASTRAL), let(F.regexp_replace(text, f"({_ASTRAL})", "$1$1"), doubled)
-    ).otherwise(find_spans(text, pattern, group))
+    lengths = f"transform({hit}.whole, (_m, _i) -> length(_m) + length({hit}.pieces[_i]))"
+    carried = "".join(f"'{t}', {hit}.{t}, " for t in tags)
+    one = (
+        f"named_struct({carried}'start', {offset('_ends[_i] - length(_m)')}, "
+        f"'end', {offset('_ends[_i]')}, 'matched', {narrow('_m')})"
+    )
+    return let("_ends", running_sum(lengths), f"transform({hit}.part, (_m, _i) -> {one})")
 
 
-def mask_spans(text: Column, spans: Column) -> Column:
-    """Replace what the spans (array of structs with start and end, any order, may overlap) cover.
+def mask_spans(text: str, covered: str) -> str:
+    """``text`` with what the spans (array of structs with start and end, any order, may overlap) cover masked.
 
-    Length preserving. With spans sorted by start, each contributes the clear text since the furthest end
-    so far and a mask for what it covers beyond it.
+    Length preserving. With spans sorted by start, each contributes the clear text since the furthest end so
+    far, and a mask for what it covers beyond it.
     """
-
-    def rebuilt(ordered: Column) -> Column:
-        def piece(span: Column, before: Column) -> Column:
-            clear = F.substr(text, before + 1, F.greatest(span["start"] - before, F.lit(0)))
-            covered = span["end"] - F.greatest(span["start"], before)
-            return F.concat(clear, F.repeat(F.lit(MASK), F.greatest(covered, F.lit(0))))
-
-        def with_reach(reach: Column) -> Column:
-            pieces = F.transform(
-                ordered, lambda s, i: piece(s, F.when(i == 0, F.lit(0)).otherwise(F.get(reach, i - 1)))
-            )
-            rest = F.substr(text, F.element_at(reach, -1) + 1)
-            return F.concat(F.array_join(pieces, ""), rest)
-
-        return let(running_max(F.transform(ordered, lambda s: s["end"])), with_reach)
-
-    clipped = F.transform(
-        spans,
-        lambda s: F.struct(
-            F.greatest(s["start"], F.lit(0)).alias("start"),
-            F.least(s["end"], F.length(text)).alias("end"),
-        ),
+    clipped = (
+        f"transform({covered}, _c -> named_struct('start', greatest(_c.start, 0), "
+        f"'end', least(_c.end, length({text}))))"
+    )
+    ordered = f"array_sort(filter({clipped}, _c -> _c.start < _c.end))"
+    piece = (
+        f"concat(substr({text}, _from + 1, greatest(_c.start - _from, 0)), "
+        f"repeat('{MASK}', greatest(_c.end - greatest(_c.start, _from), 0)))"
     )
-    usable = F.filter(clipped, lambda s: s["start"] < s["end"])
-    return let(
-        F.array_sort(usable), lambda ordered: F.when(F.size(ordered) == 0, text).otherwise(rebuilt(ordered))
+    pieces = f"transform(_o, (_c, _i) -> {let('_from', 'if(_i = 0, 0, _reach[_i - 1])', piece)})"
+    rebuilt = let(
+        "_reach",
+        running_max("transform(_o, _c -> _c.end)"),
+        f"concat(array_join({pieces}, ''), substr({text}, element_at(_reach, -1) + 1))",
     )
+    return let("_o", ordered, f"if(size(_o) = 0, {text}, {rebuilt})")

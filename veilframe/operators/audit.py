@@ -27,16 +27,12 @@ def external_url_audit(
 ) -> DataFrame:
     """key, field, url: one row per violation in any of the text columns."""
     empty = F.array().cast("array<string>")
-    fields = F.concat(
-        *[
-            F.transform(
-                F.coalesce(external_urls(F.col(t), allowed), empty),
-                lambda u, t=t: F.struct(F.lit(t).alias("field"), u.alias("url")),
-            )
-            for t in texts
-        ]
-    )
-    return df.select(key, F.inline(fields))
+
+    def in_field(name: str) -> Column:
+        urls = F.coalesce(external_urls(F.col(name), allowed), empty)
+        return F.transform(urls, lambda u: F.struct(F.lit(name).alias("field"), u.alias("url")))
+
+    return df.select(key, F.inline(F.concat(*[in_field(t) for t in texts])))
 
 
 def size_budget(df: DataFrame, key: str, size: str, budget: int = SIZE_BUDGET_BYTES) -> DataFrame:

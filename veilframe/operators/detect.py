@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from ..functions.geometry import XY
+from ..functions.sqltext import let
 from ..sources.tables import LINE_KEY, lines_of
 from .rules import ALL_RULES, AnyRule, all_matches, any_possible
 
@@ -18,21 +18,12 @@ def candidate_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
-def union_box(char_boxes: Column, start: Column, end: Column) -> Column:
+def union_box(char_boxes: str, start: str, end: str) -> Column:
     """Box around characters start..end; null when there are none."""
 
-    def around(boxes: Column) -> Column:
-        return F.when(
-            F.size(boxes) > 0,
-            F.struct(
-                F.array_min(F.transform(boxes, lambda b: b["x0"])).alias("x0"),
-                F.array_min(F.transform(boxes, lambda b: b["y0"])).alias("y0"),
-                F.array_max(F.transform(boxes, lambda b: b["x1"])).alias("x1"),
-                F.array_max(F.transform(boxes, lambda b: b["y1"])).alias("y1"),
-            ),
-        )
-
-    return let(F.slice(char_boxes, start + 1, F.greatest(end - start, F.lit(0))), around)
+    edges = ", ".join(f"'{k}', array_{'min' if k in ('x0', 'y0') else 'max'}(transform(_bs, _b -> _b.{k}))" for k in XY)
+    covered = f"slice({char_boxes}, {start} + 1, greatest({end} - {start}, 0))"
+    return F.expr(let("_bs", covered, f"if(size(_bs) > 0, named_struct({edges}), null)"))
 
 
 def run_detectors(lines: DataFrame, rules: Iterable[AnyRule] = ALL_RULES) -> DataFrame:
@@ -43,10 +34,9 @@ def run_detectors(lines: DataFrame, rules: Iterable[AnyRule] = ALL_RULES) -> Dat
     characters, and a match without characters is dropped.
     """
     rules = tuple(rules)
-    text = F.col("text")
     boxed = "char_bboxes" in lines.columns
-    found = lines.where(any_possible(text, rules)).select(
-        *LINE_KEY, *(["char_bboxes"] if boxed else []), F.explode(all_matches(text, rules)).alias("m")
+    found = lines.where(any_possible("text", rules)).select(
+        *LINE_KEY, *(["char_bboxes"] if boxed else []), F.explode(all_matches("text", rules)).alias("m")
     )
     key = [F.col(k) for k in LINE_KEY]
     columns = [
@@ -60,7 +50,7 @@ def run_detectors(lines: DataFrame, rules: Iterable[AnyRule] = ALL_RULES) -> Dat
     ]
     if not boxed:
         return found.select(*columns)
-    box = union_box(F.col("char_bboxes"), F.col("m.start"), F.col("m.end"))
+    box = union_box("char_bboxes", "m.start", "m.end")
     placed = found.select(*columns, box.alias("box")).where(F.col("box").isNotNull())
     return placed.select(*[c for c in placed.columns if c != "box"], *[F.col(f"box.{k}") for k in XY])
 
@@ -68,7 +58,7 @@ def run_detectors(lines: DataFrame, rules: Iterable[AnyRule] = ALL_RULES) -> Dat
 def detect_pages(pages: DataFrame, rules: Iterable[AnyRule] = ALL_RULES) -> DataFrame:
     """Candidates of whole pages. Pages no rule can match are left out before they are split into lines."""
     rules = tuple(rules)
-    return run_detectors(lines_of(pages.where(any_possible(F.col("text"), rules))), rules)
+    return run_detectors(lines_of(pages.where(any_possible("text", rules))), rules)
 
 
 def detect_page(pages: DataFrame, page_index: int, rules: Iterable[AnyRule] = ALL_RULES) -> DataFrame:

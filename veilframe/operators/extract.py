@@ -50,8 +50,9 @@ def extract_spans(glyphs: DataFrame) -> DataFrame:
 
 def spans_of_lines(lines: DataFrame) -> DataFrame:
     """As ``extract_spans`` for lines that already carry ``char_bboxes``; needs no shuffle."""
-    edges = []
-    for k in XY:
-        pick = F.array_min if k in ("x0", "y0") else F.array_max
-        edges.append(pick(F.transform("char_bboxes", lambda b, k=k: b[k])).alias(k))
-    return lines.where(F.length("text") > 0).select(*LINE_KEY, "text", *edges)
+
+    def edge(name: str) -> Column:
+        pick = F.array_min if name in ("x0", "y0") else F.array_max
+        return pick(F.transform("char_bboxes", lambda b: b[name])).alias(name)
+
+    return lines.where(F.length("text") > 0).select(*LINE_KEY, "text", *[edge(k) for k in XY])

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import METADATA_KEYS
-from ..functions.arrays import let
 from ..functions.matching import mask_spans
+from ..functions.sqltext import let
 from ..session import stacked
-from ..sources.tables import LINE_KEY, split_lines
+from ..sources.tables import LINE_KEY
 from .detect import detect_pages
 from .rules import ALL_RULES, AnyRule
 from .spatial import offsets_from_geometry
@@ -45,20 +45,17 @@ def text_spans(boxes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     return stacked(direct, offsets_from_geometry(lines, enabled))
 
 
-def _page_with_masks(text: Column, entries: Column) -> Column:
-    """``entries`` are (line_no, spans) in line order. Lines between them are copied in slices."""
-
-    def rebuilt(lines: Column) -> Column:
-        def up_to(entry: Column, i: Column) -> Column:
-            before = F.when(i == 0, F.lit(0)).otherwise(F.get(entries, i - 1)["line_no"] + 1)
-            clear = F.slice(lines, before + 1, entry["line_no"] - before)
-            return F.concat(clear, F.array(mask_spans(F.get(lines, entry["line_no"]), entry["spans"])))
-
-        done = F.element_at(entries, -1)["line_no"] + 1
-        rest = F.slice(lines, done + 1, F.size(lines))
-        return F.array_join(F.concat(F.flatten(F.transform(entries, up_to)), rest), "\n")
-
-    return let(split_lines(text), rebuilt)
+def _page_with_masks(text: str, entries: str) -> str:
+    """SQL. ``entries`` are (line_no, spans) in line order. Lines between them are copied in slices."""
+    inside = f"filter({entries}, _e -> _e.line_no >= 0 AND _e.line_no < size(_ls))"
+    before = "if(_j = 0, 0, _es[_j - 1].line_no + 1)"
+    clear = f"slice(_ls, {before} + 1, _e.line_no - {before})"
+    masked = let("_line", "_ls[_e.line_no]", mask_spans("_line", "_e.spans"))
+    done = f"flatten(transform(_es, (_e, _j) -> concat({clear}, array({masked}))))"
+    rest = "slice(_ls, coalesce(element_at(_es, -1).line_no, -1) + 2, size(_ls))"
+    page = f"array_join(concat({done}, {rest}), '\\n')"
+    page = let("_es", inside, f"if(size(_es) = 0, {text}, {page})")
+    return let("_ls", f"split({text}, '\\n', -1)", page)
 
 
 def redact_text(pages: DataFrame, spans: DataFrame) -> DataFrame:
@@ -72,16 +69,7 @@ def redact_text(pages: DataFrame, spans: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("line_no", "spans"))).alias("entries")
     )
     joined = pages.join(per_page, ["doc_id", "page_index"], "left")
-    inside = F.filter(
-        F.col("entries"), lambda e: (e["line_no"] >= 0) & (e["line_no"] < F.size(split_lines(F.col("text"))))
-    )
-    masked = let(
-        inside,
-        lambda entries: F.when(F.size(entries) > 0, _page_with_masks(F.col("text"), entries)).otherwise(
-            F.col("text")
-        ),
-    )
-    text = F.when(F.col("entries").isNull(), F.col("text")).otherwise(masked)
+    text = F.when(F.col("entries").isNull(), F.col("text")).otherwise(F.expr(_page_with_masks("text", "entries")))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in pages.columns])
 
 

@@ -1,11 +1,9 @@
-"""Detector rules: a pattern plus optional digit limits and checksum, compiled to column expressions."""
+"""Detector rules: a pattern plus optional digit limits and checksum, compiled to one SQL expression."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,18 +12,29 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions.checksums import business_no_checksum, digits_of, luhn, rrn_checksum
 from ..functions.dialect import to_java
-from ..functions.matching import find_spans, find_spans_utf16
+from ..functions.matching import search, spans
+from ..functions.sqltext import let, literal
 
-MATCH = "struct<start:int,end:int,matched:string,confidence:double>"
-NO_MATCHES = f"array<{MATCH}>"
+MATCHES = "array<struct<category:string,start:int,end:int,matched:string,confidence:double>>"
+
+
+def _possible(text: str, needs_regex: str | None, needs_text: tuple[str, ...]) -> str:
+    tests = []
+    if needs_regex is not None:
+        tests.append(f"rlike({text}, {literal(needs_regex)})")
+    if needs_text:
+        tests.append("(" + " OR ".join(f"contains({text}, {literal(t)})" for t in needs_text) + ")")
+    return " AND ".join(tests) if tests else f"{text} IS NOT NULL"
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is a Java regular expression.
 
-    ``needs_regex`` and ``needs_text`` (any of several substrings) are cheap, unanchored conditions that hold
-    wherever there is a match; texts that fail one are not searched. ``utf16`` is set when the pattern's repeat limits can span characters above U+FFFF.
+    ``group`` is what to report of a match, and must be what a match ends with. ``validator`` gives SQL that
+    tells from SQL for a match's digits whether they are valid. ``needs_regex`` and ``needs_text`` (any of
+    several substrings) are cheap, unanchored conditions that hold wherever there is a match; texts that fail
+    one are not searched. ``utf16`` is set when the pattern's repeat limits can span characters above U+FFFF.
     """
 
     category: str
@@ -33,59 +42,35 @@ class Rule:
     group: int = 0
     min_digits: int | None = None
     max_digits: int | None = None
-    validator: Callable[[Column], Column] | None = None
+    validator: Callable[[str], str] | None = None
     conf_ok: float = 1.0
     conf_fail: float = 0.5
     needs_regex: str | None = None
     needs_text: tuple[str, ...] = ()
     utf16: bool = False
 
-    def possible(self, text: Column) -> Column:
+    def possible(self, text: str) -> str:
         return _possible(text, self.needs_regex, self.needs_text)
 
-    def matches(self, text: Column) -> Column:
-        """array<MATCH>, left to right; empty for a null text."""
-        find = find_spans_utf16 if self.utf16 else find_spans
-        found = find(text, self.pattern, self.group)
-        if self.min_digits is not None or self.max_digits is not None:
-            found = F.filter(
-                found,
-                lambda m: F.length(digits_of(m["matched"])).between(
-                    self.min_digits or 0, self.max_digits or 2**31 - 1
-                ),
-            )
-        scored = F.transform(
-            found,
-            lambda m: F.struct(
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                m["matched"].alias("matched"),
-                self._confidence(m["matched"]).alias("confidence"),
-            ),
-        )
-        return F.when(self.possible(text), scored).otherwise(F.array().cast(NO_MATCHES))
-
-    def _confidence(self, matched: Column) -> Column:
-        if self.validator is None:
-            return F.lit(float(self.conf_ok))
-        passed = self.validator(digits_of(matched))
-        return F.when(passed, F.lit(float(self.conf_ok))).otherwise(F.lit(float(self.conf_fail)))
+    def search(self, text: str) -> str:
+        hit = search(text, self.pattern, self.group, self.utf16, category=literal(self.category))
+        return f"if({self.possible(text)}, {hit}, null)"
 
+    def accepts(self, digits: str) -> str:
+        low, high = self.min_digits or 0, self.max_digits or 2**31 - 1
+        return f"length({digits}) BETWEEN {low} AND {high}"
 
-def _possible(text: Column, needs_regex: str | None, needs_text: tuple[str, ...]) -> Column:
-    tests = []
-    if needs_regex is not None:
-        tests.append(text.rlike(needs_regex))
-    if needs_text:
-        tests.append(reduce(or_, [text.contains(t) for t in needs_text]))
-    return reduce(and_, tests, text.isNotNull())
+    def confidence(self, digits: str) -> str:
+        if self.validator is None:
+            return f"double({self.conf_ok})"
+        return f"if({self.validator(digits)}, double({self.conf_ok}), double({self.conf_fail}))"
 
 
 @dataclass(frozen=True)
 class PandasRule:
     """Escape hatch for detection that no regular expression expresses.
 
-    ``scan`` maps a text to a list of (start, end, confidence) in characters; it runs in Arrow batches.
+    ``scan`` maps a text to (start, end, confidence) in characters; it runs in Arrow batches.
     """
 
     category: str
@@ -93,17 +78,17 @@ class PandasRule:
     needs_regex: str | None = None
     needs_text: tuple[str, ...] = ()
 
-    def possible(self, text: Column) -> Column:
+    def possible(self, text: str) -> str:
         return _possible(text, self.needs_regex, self.needs_text)
 
     def matches(self, text: Column) -> Column:
-        scan = self.scan
+        category, scan = self.category, self.scan
 
-        @F.pandas_udf(NO_MATCHES)
+        @F.pandas_udf(MATCHES)
         def run(texts: pd.Series) -> pd.Series:
             return texts.map(
                 lambda t: [
-                    {"start": s, "end": e, "matched": t[s:e], "confidence": float(c)}
+                    {"category": category, "start": s, "end": e, "matched": t[s:e], "confidence": float(c)}
                     for s, e, c in (scan(t) if t is not None else ())
                     if t[s:e]
                 ]
@@ -196,27 +181,41 @@ def pick_rules(*categories: str) -> tuple[AnyRule, ...]:
     return tuple(_BUILT_IN[c] for c in categories)
 
 
-def any_possible(text: Column, rules: Iterable[AnyRule]) -> Column:
-    """False only where no rule can match; conditions that several rules share are tested once."""
-    conditions = {}
-    for r in rules:
-        conditions.setdefault((r.needs_regex, r.needs_text), r.possible(text))
-    return reduce(or_, conditions.values())
+def any_possible(text: str, rules: Iterable[AnyRule]) -> str:
+    """False only where no rule can match; a condition that several rules share is tested once."""
+    return " OR ".join(dict.fromkeys(f"({r.possible(text)})" for r in rules))
 
 
-def all_matches(text: Column, rules: Iterable[AnyRule]) -> Column:
-    """array<struct<category,start,end,matched,confidence>>, in rule order; overlaps are kept."""
+def native_matches(text: str, rules: Iterable[Rule]) -> str:
+    """SQL for MATCHES of all the rules, in rule order; overlaps are kept.
 
-    def tagged(rule: AnyRule) -> Column:
-        return F.transform(
-            rule.matches(text),
-            lambda m: F.struct(
-                F.lit(rule.category).alias("category"),
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                m["matched"].alias("matched"),
-                m["confidence"].alias("confidence"),
-            ),
-        )
-
-    return F.concat(*[tagged(r) for r in rules])
+    Every rule only searches; offsets, digit limits and confidences are worked out once, for whatever was found.
+    """
+    rules = tuple(rules)
+    hits = "array(" + ", ".join(r.search(text) for r in rules) + ")"
+    found = f"flatten(transform(filter({hits}, _h -> _h IS NOT NULL), _h -> {spans('_h', 'category')}))"
+
+    def by_category(value: Callable[[Rule], str]) -> str:
+        branches = " ".join(f"WHEN {literal(r.category)} THEN {value(r)}" for r in rules)
+        return f"CASE _m.category {branches} END"
+
+    limited = [r for r in rules if r.min_digits is not None or r.max_digits is not None]
+    if limited:
+        kept = " ".join(f"WHEN {literal(r.category)} THEN {r.accepts('_d')}" for r in limited)
+        keep = let("_d", digits_of("_m.matched"), f"CASE _m.category {kept} ELSE true END")
+        found = f"filter({found}, _m -> {keep})"
+    score = let("_d", digits_of("_m.matched"), by_category(lambda r: r.confidence("_d")))
+    one = (
+        "named_struct('category', _m.category, 'start', _m.start, 'end', _m.end, 'matched', _m.matched, "
+        f"'confidence', {score})"
+    )
+    return f"transform({found}, _m -> {one})"
+
+
+def all_matches(text: str, rules: Iterable[AnyRule]) -> Column:
+    """MATCHES column of native and Python rules."""
+    rules = tuple(rules)
+    native = tuple(r for r in rules if isinstance(r, Rule))
+    parts = [F.expr(native_matches(text, native)).cast(MATCHES)] if native else []
+    parts += [r.matches(F.col(text)) for r in rules if isinstance(r, PandasRule)]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
