@@ -12,68 +12,80 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import XY, box_of, columns, intersects, overlaps, quad_to_box
 from ..sources.tables import LINE_KEY
+from .extract import spans_of_lines
 
 TILE = 64.0
 LAST_TILE = 255
 
 
-def _tile(coordinate: Column) -> Column:
-    clamped = F.least(F.greatest(coordinate / TILE, F.lit(0.0)), F.lit(float(LAST_TILE)))
-    return F.floor(clamped).cast("int")
+def tiles(prefix: str = "") -> Column:
+    """array<int> of the tiles that the box in ``prefix``x0..y1 touches."""
 
+    def tile(edge: str) -> str:
+        return f"int(least(greatest(floor({prefix}{edge} / {TILE}), 0), {LAST_TILE}))"
 
-def tiles(box: dict[str, Column]) -> Column:
-    across = F.sequence(_tile(box["x0"]), _tile(box["x1"]))
-    down = F.sequence(_tile(box["y0"]), _tile(box["y1"]))
-    return F.flatten(
-        F.transform(across, lambda tx: F.transform(down, lambda ty: tx * (LAST_TILE + 1) + ty))
-    )
+    across, down = f"sequence({tile('x0')}, {tile('x1')})", f"sequence({tile('y0')}, {tile('y1')})"
+    return F.expr(f"flatten(transform({across}, _x -> transform({down}, _y -> _x * {LAST_TILE + 1} + _y)))")
 
 
 def _tiled(df: DataFrame) -> DataFrame:
-    return df.withColumn("tile", F.explode(tiles(box_of())))
+    return df.withColumn("tile", F.explode(tiles()))
 
 
 def text_select_boxes(spans: DataFrame, drawn: DataFrame) -> DataFrame:
     """One box per drawn rectangle that touches text: the box around the spans it touches.
 
-    ``drawn`` is doc_id, page_index, selection_id and a rectangle in page points. A pair of boxes may meet
-    in several tiles; minimum and maximum do not mind.
+    ``drawn`` is doc_id, page_index, selection_id and a rectangle in page points. Equal rectangles and equal
+    span boxes are matched once. A pair may meet in several tiles; minimum and maximum do not mind.
     """
-    boxes = spans.select("doc_id", "page_index", *XY)
-    rects = _tiled(drawn.select("doc_id", "page_index", "selection_id", *XY))
-    rects = rects.select("doc_id", "page_index", "selection_id", "tile", *[F.col(k).alias(f"d{k}") for k in XY])
-    met = _tiled(boxes).join(rects, ["doc_id", "page_index", "tile"]).where(intersects(box_of(), box_of("d")))
-    return met.groupBy("doc_id", "page_index", "selection_id").agg(
-        *[(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY]
-    )
+    page = ["doc_id", "page_index"]
+    rect = [f"d{k}" for k in XY]
+    drawn = drawn.select(*page, "selection_id", *[F.col(k).alias(f"d{k}") for k in XY])
+    rects = drawn.select(*page, *rect).distinct().withColumn("tile", F.explode(tiles("d")))
+    boxes = _tiled(spans.select(*page, *XY).distinct())
+    met = boxes.join(rects, [*page, "tile"]).where(intersects(box_of(), box_of("d")))
+    around = met.groupBy(*page, *rect).agg(*[(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY])
+    return drawn.join(around, [*page, *rect]).select(*page, "selection_id", *XY)
+
+
+def _areas(boxes: DataFrame) -> DataFrame:
+    """Distinct rectangles of the enabled boxes, by tile."""
+    areas = boxes.where(F.col("enabled") & F.col("x0").isNotNull()).select("doc_id", "page_index", *XY)
+    return _tiled(areas.distinct())
 
 
-def _covered(chars: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Keys (line key and char_no) of the characters that an enabled box overlaps."""
-    areas = boxes.where(F.col("enabled") & F.col("x0").isNotNull()).select("doc_id", "page_index", *XY)
-    areas = _tiled(areas.distinct())
-    areas = areas.select("doc_id", "page_index", "tile", *[F.col(k).alias(f"b{k}") for k in XY])
-    c, a = _tiled(chars).alias("c"), areas.alias("a")
-    same_tile = [F.col(f"c.{k}") == F.col(f"a.{k}") for k in ("doc_id", "page_index", "tile")]
-    here = {k: F.col(f"c.{k}") for k in XY}
-    there = {k: F.col(f"a.b{k}") for k in XY}
-    condition = same_tile[0] & same_tile[1] & same_tile[2] & overlaps(here, there)
-    return c.join(a, condition, "left_semi").select(*LINE_KEY, "char_no").distinct()
+def _overlapped(things: DataFrame, areas: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of the boxed things that some area overlaps. A semi join: no pairs come out of it."""
+    t, a = _tiled(things.select(*key, *XY)).alias("t"), areas.alias("a")
+    together = [F.col(f"t.{k}") == F.col(f"a.{k}") for k in ("doc_id", "page_index", "tile")]
+    over = overlaps({k: F.col(f"t.{k}") for k in XY}, {k: F.col(f"a.{k}") for k in XY})
+    return t.join(a, together[0] & together[1] & together[2] & over, "left_semi").select(*key).distinct()
 
 
 def redact_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Glyphs that no enabled box overlaps. Glyphs that only touch a box stay."""
+    """Glyphs that no enabled box overlaps. Glyphs that only touch a box stay.
+
+    Whole lines are tried first, so that only the glyphs of lines with something to hide are assigned to tiles.
+    """
+    areas = _areas(boxes)
     boxed = glyphs.select(*LINE_KEY, "char_no", *columns(quad_to_box(F.col("quad"))))
-    return glyphs.join(_covered(boxed, boxes), [*LINE_KEY, "char_no"], "left_anti")
+    edges = [(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY]
+    touched = _overlapped(boxed.groupBy(*LINE_KEY).agg(*edges), areas, list(LINE_KEY))
+    inside = boxed.join(touched, list(LINE_KEY), "left_semi")
+    covered = _overlapped(inside, areas, [*LINE_KEY, "char_no"])
+    return glyphs.join(covered, [*LINE_KEY, "char_no"], "left_anti")
 
 
 def offsets_from_geometry(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """line key, start, end of every character that an enabled box without offsets overlaps.
 
-    ``lines`` carry ``char_bboxes``. This is how drawn boxes reach the text.
+    ``lines`` carry ``char_bboxes``. This is how drawn boxes reach the text. As with glyphs, lines are tried
+    before their characters.
     """
-    chars = lines.select(*LINE_KEY, F.posexplode("char_bboxes").alias("char_no", "box"))
+    areas = _areas(boxes.where(F.col("start").isNull()))
+    touched = _overlapped(spans_of_lines(lines), areas, list(LINE_KEY))
+    inside = lines.join(touched, list(LINE_KEY), "left_semi")
+    chars = inside.select(*LINE_KEY, F.posexplode("char_bboxes").alias("char_no", "box"))
     chars = chars.select(*LINE_KEY, "char_no", *[F.col(f"box.{k}") for k in XY])
-    hit = _covered(chars, boxes.where(F.col("start").isNull()))
+    hit = _overlapped(chars, areas, [*LINE_KEY, "char_no"])
     return hit.select(*LINE_KEY, F.col("char_no").alias("start"), (F.col("char_no") + 1).alias("end"))

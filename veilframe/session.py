@@ -64,11 +64,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the files.
+def materialize(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` once, to ``folder`` or the shared folder, and go on from the files.
 
     For results that several later steps read: they are computed once, and survive lost executors.
     """
-    folder = shared_folder(df.sparkSession, purpose)
+    folder = folder or shared_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ computes the same rows. ``expected`` is the address each row holds, null where i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -15,58 +15,29 @@ from ..session import spread
 KINDS = ("rrn", "businessNo", "account", "address", "phone", "email")
 
 
-def _padded(value: Column, width: int) -> Column:
-    return F.lpad(value.cast("string"), width, "0")
+_STREET = "concat('서울특별시 강남구 테헤란로 ', k + 1)"
+_TEXT = {
+    "rrn": "concat('주민번호 ', lpad(k * 7919 % 1000000, 6, '0'), if(k % 2 = 0, '-', ''), lpad((k * 104729 + 1) % 10000000, 7, '0'))",
+    "businessNo": "concat('사업자번호 ', lpad(k * 31 % 1000, 3, '0'), '-', lpad(k * 17 % 100, 2, '0'), '-', lpad(k * 7907 % 100000, 5, '0'))",
+    "account": "concat(if(k % 3 = 0, '주문번호: ', '계좌번호: '), '110-', lpad(k % 1000, 3, '0'), '-', lpad(k * 7919 % 1000000, 6, '0'))",
+    "address": f"concat('주소: ', if(k % 4 = 0, '서울특별시 강남구 사람들이 많다', {_STREET}))",
+    "phone": "concat('전화 010-', lpad(k * 37 % 10000, 4, '0'), '-', lpad(k * 7919 % 10000, 4, '0'))",
+    "email": "concat('메일 user', k, '@example.com 입니다')",
+}
 
 
 def korean_forms(customer: DataFrame) -> DataFrame:
     """form_id, kind, text, expected."""
-    k = F.col("c_custkey").cast("bigint")
-    street = F.concat(F.lit("테헤란로 "), (k + 1).cast("string"))
-    texts = {
-        "rrn": F.concat(
-            F.lit("주민번호 "),
-            _padded(k * 7919 % 1000000, 6),
-            F.when(k % 2 == 0, "-").otherwise(""),
-            _padded((k * 104729 + 1) % 10000000, 7),
-        ),
-        "businessNo": F.concat(
-            F.lit("사업자번호 "),
-            _padded(k * 31 % 1000, 3),
-            F.lit("-"),
-            _padded(k * 17 % 100, 2),
-            F.lit("-"),
-            _padded(k * 7907 % 100000, 5),
-        ),
-        "account": F.concat(
-            F.when(k % 3 == 0, "주문번호: ").otherwise("계좌번호: "),
-            F.lit("110-"),
-            _padded(k % 1000, 3),
-            F.lit("-"),
-            _padded(k * 7919 % 1000000, 6),
-        ),
-        "address": F.concat(
-            F.lit("주소: 서울특별시 강남구 "), F.when(k % 4 == 0, "사람들이 많다").otherwise(street)
-        ),
-        "phone": F.concat(
-            F.lit("전화 010-"), _padded(k * 37 % 10000, 4), F.lit("-"), _padded(k * 7919 % 10000, 4)
-        ),
-        "email": F.concat(F.lit("메일 user"), k.cast("string"), F.lit("@example.com 입니다")),
-    }
-    expected = F.when(k % 4 != 0, F.concat(F.lit("서울특별시 강남구 "), street))
-    rows = F.array(
-        *[
-            F.struct(
-                (k * len(KINDS) + i).alias("form_id"),
-                F.lit(kind).alias("kind"),
-                texts[kind].alias("text"),
-                (expected if kind == "address" else F.lit(None).cast("string")).alias("expected"),
-            )
-            for i, kind in enumerate(KINDS)
-        ]
-    )
-    keys = spread(customer.select("c_custkey"), "c_custkey")
-    return keys.select(F.inline(rows))
+
+    def row(i: int, kind: str) -> str:
+        expected = f"if(k % 4 <> 0, {_STREET}, null)" if kind == "address" else "string(null)"
+        return (
+            f"named_struct('form_id', k * {len(KINDS)} + {i}, 'kind', '{kind}', 'text', {_TEXT[kind]}, "
+            f"'expected', {expected})"
+        )
+
+    keys = spread(customer.selectExpr("bigint(c_custkey) AS k"), "k")
+    return keys.selectExpr(f"inline(array({', '.join(row(i, kind) for i, kind in enumerate(KINDS))}))")
 
 
 def form_pages(customer: DataFrame) -> DataFrame:

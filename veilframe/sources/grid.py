@@ -5,7 +5,7 @@ It places text that comes without geometry, and stands in for a page-layout extr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import LINE_KEY
@@ -14,32 +14,21 @@ ADVANCE = 6.0
 LINE_HEIGHT = 12.0
 
 
-def grid_box(line_no: Column, first: Column, last: Column) -> dict[str, Column]:
-    """Box of the characters first..last (last exclusive) of a line."""
-    return {
-        "x0": first * F.lit(ADVANCE),
-        "y0": line_no * F.lit(LINE_HEIGHT),
-        "x1": last * F.lit(ADVANCE),
-        "y1": (line_no + 1) * F.lit(LINE_HEIGHT),
-    }
-
-
 def grid_lines(lines: DataFrame) -> DataFrame:
     """Adds ``char_bboxes``: one box per character."""
-    positions = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    boxes = F.transform(
-        positions,
-        lambda i: F.struct(*[v.alias(k) for k, v in grid_box(F.col("line_no"), i, i + 1).items()]),
+    box = (
+        f"named_struct('x0', _i * {ADVANCE}D, 'y0', line_no * {LINE_HEIGHT}D, "
+        f"'x1', (_i + 1) * {ADVANCE}D, 'y1', (line_no + 1) * {LINE_HEIGHT}D)"
     )
-    return lines.withColumn("char_bboxes", boxes)
+    positions = "if(length(text) > 0, sequence(0, length(text) - 1), cast(array() AS array<int>))"
+    return lines.withColumn("char_bboxes", F.expr(f"transform({positions}, _i -> {box})"))
 
 
 def grid_glyphs(lines: DataFrame) -> DataFrame:
     """doc_id, page_index, line_no, char_no, ch, quad (corners as x, y pairs)."""
     chars = F.regexp_extract_all(F.col("text"), F.lit("(?s)."), F.lit(0))
     glyphs = lines.select(*LINE_KEY, F.posexplode(chars).alias("char_no", "ch"))
-    b = grid_box(F.col("line_no"), F.col("char_no"), F.col("char_no") + 1)
-    quad = F.array(b["x0"], b["y0"], b["x1"], b["y0"], b["x0"], b["y1"], b["x1"], b["y1"])
+    left, right = f"char_no * {ADVANCE}D", f"(char_no + 1) * {ADVANCE}D"
+    top, bottom = f"line_no * {LINE_HEIGHT}D", f"(line_no + 1) * {LINE_HEIGHT}D"
+    quad = F.expr(f"array({left}, {top}, {right}, {top}, {left}, {bottom}, {right}, {bottom})")
     return glyphs.withColumn("quad", quad)
