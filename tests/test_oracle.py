@@ -9,8 +9,8 @@ from conftest import SF_SMALL
 from __spark_entry__ import entry, oracle_sql, queries
 
 QUICK = (
-    "A1 A2 A3 A4 A5 A7 B2 B3 C1 C2 C3 C4 C5 C6 C7 C8 C9 C10 C11 C13 C15 D1 D4 D5 D8 D12 D15 E1_redaction "
-    "E2 E3_redact_text E4 E7_anonymize F1 F2 G4 H1 H2 J1 J2 J3_latest K1"
+    "A1 A2 A3 A4 A5 A7 B2 B3 C1 C2 C3 C4 C5 C6 C7 C8 C9 C10 C11 C13 C15 D1 D4 D5 D8 D15 "
+    "E2 E3_redact_text E7_anonymize F1 F2 G4 H1 H2 J1 J2_stream J3_latest K1"
 ).split()
 ALL = os.environ.get("VEILFRAME_ALL_QUERIES") == "1"
 NAMES = [n for n in queries() if ALL or n.split("_")[0] in QUICK or n in QUICK]

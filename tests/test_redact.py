@@ -10,7 +10,7 @@ from veilframe.operators.redact import clear_metadata, merge_spans, post_check,
 from veilframe.operators.report import apply_report, redaction_plan
 from veilframe.operators.spatial import offsets_from_geometry, redact_glyphs, text_select_boxes
 from veilframe.plans.anonymize import anonymize, anonymize_pages, report_of_pages
-from veilframe.sources.grid import grid_glyphs, grid_lines
+from veilframe.sources.grid import grid_glyphs, grid_lines, grid_spans
 from veilframe.sources.tables import lines_of
 
 PAGE = "doc_id bigint, page_index int, text string"
@@ -102,6 +102,7 @@ def test_lines_from_glyphs(spark):
     assert sorted(map(tuple, extract_lines(glyphs).collect())) == sorted(map(tuple, same.collect()))
     spans = sorted(map(tuple, extract_spans(glyphs).collect()))
     assert spans == sorted(map(tuple, spans_of_lines(same).collect()))
+    assert spans == sorted(map(tuple, grid_spans(lines).collect()))
     wide = spark.createDataFrame(
         [(1, 0, 0, 0, "fi", [3.0, 1.0, 9.0, 2.0, 2.0, 5.0, 8.0, 6.0])],
         "doc_id bigint, page_index int, line_no int, char_no int, ch string, quad array<double>",

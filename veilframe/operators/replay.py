@@ -10,13 +10,13 @@ on that way with aggregates and key joins.
 Depth is the one sequential quantity. Logs are cut into chunks of consecutive ``seq`` values, so a chunk is
 bounded however long a document's log is. A chunk's effect on (undo steps left, redo steps left) is a small
 table, because both are at most 100 together; tables of chunks are combined into tables of chunk groups and
-those into each chunk's starting state. Then all chunks are walked independently. Documents that fit in one
-chunk skip the tables.
+those into each chunk's starting state. Then all chunks are walked independently. Documents with no more events
+than a chunk may hold are one chunk and skip the tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -275,42 +275,49 @@ def _walked(log: DataFrame, categories: tuple[str, ...], chunk_events: int, fan_
     bit = F.when(F.col("op") == "toggle_category", F.element_at(bits, F.col("category"))).otherwise(0)
     events = log.select(
         *LOG_TYPES,
-        F.floor(F.col("seq") / chunk_events).cast("bigint").alias("chunk"),
         kind.cast("bigint").alias("kind"),
         F.coalesce(bit, F.lit(0)).cast("bigint").alias("bit"),
         F.lit(1).alias("place"),
         *[F.lit(None).cast("bigint").alias(n) for n in _START_FIELDS],
     )
-
-    # One header per chunk, sorted ahead of the chunk's events, brings what the chunk needs to know. That
-    # takes the place of a join, and every key here (document, chunk) is bounded.
-    chunks = events.groupBy("doc_id", "chunk").agg(F.max(F.when(F.col("op") == RESET, F.col("seq"))).alias("reset_seq"))
-    per_doc = chunks.groupBy("doc_id").agg(
-        F.max("reset_seq").alias("reset_seq"), F.count(F.lit(1)).alias("n_chunks")
+    docs = events.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.max(F.when(F.col("op") == RESET, F.col("seq"))).alias("reset_seq")
     )
-    chunks = materialize(chunks.select("doc_id", "chunk").join(per_doc, "doc_id"), "review-chunks")
-
-    def with_headers(rows: DataFrame, headers: DataFrame) -> DataFrame:
-        headers = headers.withColumn("place", F.lit(0))
-        both = stacked(rows, headers)
-        return both.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "place", "seq")
-
-    long_logs = chunks.where(F.col("n_chunks") > 1).select("doc_id", "chunk", "reset_seq")
-    if long_logs.isEmpty():
-        headers = chunks.select("doc_id", "chunk", "reset_seq")
+    docs = materialize(docs, "review-docs")
+    is_long = F.col("n_events") > chunk_events
+    long_docs = docs.where(is_long).select("doc_id", "reset_seq")
+    whole = F.lit(0).cast("bigint").alias("chunk")
+    headers = docs.where(~is_long).select("doc_id", whole, "reset_seq")
+    if long_docs.isEmpty():
+        events = events.select("*", whole)
     else:
-        starts = _starts(events, long_logs, with_headers, fan_in)
-        headers = chunks.select("doc_id", "chunk", "reset_seq").join(starts, ["doc_id", "chunk"], "left")
-    arranged = with_headers(events, headers)
+        marked = lookup(events, long_docs.select("doc_id", F.lit(True).alias("long")), ["doc_id"], ["seq"])
+        chunk = F.when(F.col("long"), F.floor(F.col("seq") / chunk_events).cast("bigint")).otherwise(F.lit(0))
+        marked = marked.withColumn("chunk", chunk)
+        long_events = marked.where("long").drop("long")
+        chunks = long_events.select("doc_id", "chunk").distinct().join(long_docs, "doc_id")
+        chunks = materialize(chunks, "review-chunks")
+        starts = _starts(long_events, chunks, fan_in)
+        headers = stacked(headers, chunks.join(starts, ["doc_id", "chunk"], "left"))
+        events = marked.drop("long")
+    arranged = _with_headers(events, headers)
     schema = StructType([StructField(f.name, f.dataType, True) for f in arranged.schema])
     return arranged.mapInArrow(_walk, schema)
 
 
-def _starts(events: DataFrame, long_logs: DataFrame, with_headers: Callable, fan_in: int) -> DataFrame:
-    """State at the start of every chunk of the logs that have several."""
+def _with_headers(events: DataFrame, headers: DataFrame) -> DataFrame:
+    """One header per chunk, sorted ahead of the chunk's events, brings what the chunk needs to know.
+
+    That takes the place of a join, and every key here (document, chunk) is bounded.
+    """
+    both = stacked(events, headers.withColumn("place", F.lit(0)))
+    return both.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "place", "seq")
+
+
+def _starts(events: DataFrame, chunks: DataFrame, fan_in: int) -> DataFrame:
+    """State at the start of every chunk of the long logs."""
     lean = events.select("doc_id", "chunk", "seq", "kind", "bit", "place", "reset_seq")
-    lean = lean.join(long_logs.select("doc_id", "chunk"), ["doc_id", "chunk"], "left_semi")
-    effects = with_headers(lean, long_logs).mapInArrow(_summarize, "doc_id bigint, chunk bigint, effect binary")
+    effects = _with_headers(lean, chunks).mapInArrow(_summarize, "doc_id bigint, chunk bigint, effect binary")
     effects = effects.withColumn("chunk_group", F.floor(F.col("chunk") / fan_in).cast("bigint"))
     state = "undo_left bigint, redo_left bigint, depth bigint, policy bigint, final_depth bigint"
     totals = effects.groupBy("doc_id", "chunk_group").applyInPandas(

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from ..fixed_values import DISPLAY_ORDER
 from ..operators.boxes import boxes_from_candidates, manual_boxes, selected_text_boxes
 from ..operators.detect import detect_pages, run_detectors
-from ..operators.extract import spans_of_lines
 from ..operators.rules import ALL_RULES, any_possible
 from ..session import stacked
 from ..sources.forms import KINDS, form_pages, korean_forms
-from ..sources.grid import grid_lines
+from ..sources.grid import grid_lines, grid_spans
 from ..sources.tables import lines_of, pages_from_conversations, pages_from_documents, table
 
 
@@ -91,7 +90,7 @@ def selections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drawn_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    spans = spans_of_lines(grid_lines(lines_of(document_pages(spark, sf))))
+    spans = grid_spans(lines_of(document_pages(spark, sf)))
     made = selections(spark, sf)
     return stacked(manual_boxes(made), selected_text_boxes(made, spans))
 

@@ -211,7 +211,7 @@ def _(spark, sf):
 
 @query("D5_text_select_box")
 def _(spark, sf):
-    spans = extract.spans_of_lines(inputs.grid_lines(lines_of(inputs.document_pages(spark, sf))))
+    spans = inputs.grid_spans(lines_of(inputs.document_pages(spark, sf)))
     return flat(bx.selected_text_boxes(inputs.selections(spark, sf), spans), *BOX_OUT)
 
 

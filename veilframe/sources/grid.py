@@ -24,6 +24,18 @@ def grid_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("char_bboxes", F.expr(f"transform({positions}, _i -> {box})"))
 
 
+def grid_spans(lines: DataFrame) -> DataFrame:
+    """Text and box of each non-empty line, without laying out its characters."""
+    return lines.where("length(text) > 0").selectExpr(
+        *LINE_KEY,
+        "text",
+        "0D AS x0",
+        f"line_no * {LINE_HEIGHT}D AS y0",
+        f"length(text) * {ADVANCE}D AS x1",
+        f"(line_no + 1) * {LINE_HEIGHT}D AS y1",
+    )
+
+
 def grid_glyphs(lines: DataFrame) -> DataFrame:
     """doc_id, page_index, line_no, char_no, ch, quad (corners as x, y pairs)."""
     chars = F.regexp_extract_all(F.col("text"), F.lit("(?s)."), F.lit(0))
