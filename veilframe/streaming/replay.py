@@ -40,26 +40,41 @@ Box = dict[str, Any] | None
 
 
 class _Table:
-    """String-keyed values held in a state map."""
+    """String-keyed values of a state map; read when first asked for, written back once by ``flush``."""
 
     def __init__(self, state) -> None:
         self.state = state
+        self.known: dict[str, Any] = {}
+        self.touched: set[str] = set()
+        self.complete = False
 
     def get(self, key: str):
-        found = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
-        return None if found is None else json.loads(found[0])
+        if key not in self.known:
+            there = not self.complete and self.state.containsKey((key,))
+            self.known[key] = json.loads(self.state.getValue((key,))[0]) if there else None
+        return self.known[key]
 
     def put(self, key: str, value) -> None:
-        if value is not None:
-            self.state.updateValue((key,), (json.dumps(value),))
-        elif self.state.containsKey((key,)):
-            self.state.removeKey((key,))
+        self.known[key] = value
+        self.touched.add(key)
 
     def items(self) -> list[tuple[str, Any]]:
-        return [(k[0], json.loads(v[0])) for k, v in self.state.iterator()]
+        if not self.complete:
+            for key, value in self.state.iterator():
+                self.known.setdefault(key[0], json.loads(value[0]))
+            self.complete = True
+        return [(k, v) for k, v in self.known.items() if v is not None]
 
     def clear(self) -> None:
         self.state.clear()
+        self.known, self.touched, self.complete = {}, set(), True
+
+    def flush(self) -> None:
+        for key in self.touched:
+            if self.known[key] is not None:
+                self.state.updateValue((key,), (json.dumps(self.known[key]),))
+            elif self.state.containsKey((key,)):
+                self.state.removeKey((key,))
 
 
 class ReviewStep:
@@ -197,7 +212,8 @@ class _Processor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         head = json.loads(self.head.get()[0]) if self.head.exists() else ReviewStep.new_head()
-        review = ReviewStep(head, _Table(self.boxes), _Table(self.steps))
+        boxes, steps = _Table(self.boxes), _Table(self.steps)
+        review = ReviewStep(head, boxes, steps)
         batch = pd.concat(list(rows)).sort_values("seq")
         plain = batch.astype(object).where(batch.notna(), None)
         for event in plain.to_dict("records"):
@@ -205,10 +221,12 @@ class _Processor(StatefulProcessor):
                 if event[name] is not None:
                     event[name] = kind(event[name])
             review.apply(event)
+        boxes.flush()
+        steps.flush()
         self.head.update((json.dumps(review.head),))
         out = []
         for box_id in sorted(review.changed):
-            box = review.boxes.get(box_id)
+            box = boxes.get(box_id)
             row = dict.fromkeys(_OUT) | (box or {})
             row |= {"doc_id": key[0], "id": box_id, "present": box is not None}
             row |= {"version": review.head["seq"], "dropped": review.head["dropped"]}
