@@ -148,6 +148,21 @@ def test_geometry_joins_match_brute_force(spark):
     assert {(r.doc_id, r.selection_id): (r.x0, r.y0, r.x1, r.y1) for r in around} == expected
 
 
+def test_geometry_joins_have_equal_keys(spark):
+    lines = grid_lines(lines_of(pages(spark, FORM)))
+    box = spark.sql("SELECT id AS doc_id, 'm' id, 0 page_index, 12.0D x0, 0.0D y0, 24.0D x1, 12.0D y1 FROM range(9)")
+    made = bx.as_boxes(box, enabled=F.lit(True), source=F.lit("manual-rect"))
+    drawn = made.withColumnRenamed("id", "selection_id")
+    for df in (
+        redact_glyphs(grid_glyphs(lines), made),
+        offsets_from_geometry(lines, made),
+        text_select_boxes(spans_of_lines(lines), drawn),
+        redact_text(pages(spark, FORM), text_spans(made, lines)),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_drawn_box_hides_only_what_it_overlaps(spark):
     p = pages(spark, "abcdef")
     lines = grid_lines(lines_of(p))
