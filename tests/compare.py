@@ -59,6 +59,8 @@ if __name__ == "__main__":
     for name, query in queries().items():
         if only and not any(name.startswith(o) for o in only):
             continue
+        if name not in oracle:
+            continue
         start = time.time()
         try:
             problem, n = compare(spark, con, name, query, oracle[name], sf_dir)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Up to this much input per core, spreading rows over all cores costs less than idle cores do.
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
-
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     return (
@@ -41,27 +42,28 @@ def stacked(*parts: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, the cluster's shared folder; a temporary one where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    name = f"{purpose}-{uuid.uuid4().hex}"
-    if base:
-        return f"{base.rstrip('/')}/{name}"
-    return os.path.join(tempfile.mkdtemp(prefix="veilframe-"), name)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; it does not run the query."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a small input (a few large row groups, say) over all cores; leave a large one as it lies."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(df) > cores * SPREAD_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, *keys)
+    """A fresh folder in the cluster's shared one: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
+
+    Where neither is set, a local session uses a temporary folder; a cluster's executors would each write to a disk
+    of their own, so there it is an error. Folders of one application lie together and go when its JVM ends.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context._conf.get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_folder()
+    own = f"{base.rstrip('/')}/veilframe-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="veilframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialize(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:

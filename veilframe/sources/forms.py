@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 KINDS = ("rrn", "businessNo", "account", "address", "phone", "email")
 
 
@@ -36,7 +34,7 @@ def korean_forms(customer: DataFrame) -> DataFrame:
             f"'expected', {expected})"
         )
 
-    keys = spread(customer.selectExpr("bigint(c_custkey) AS k"), "k")
+    keys = customer.selectExpr("bigint(c_custkey) AS k")
     return keys.selectExpr(f"inline(array({', '.join(row(i, kind) for i, kind in enumerate(KINDS))}))")
 
 

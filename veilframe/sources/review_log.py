@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DISPLAY_ORDER
 from ..operators.replay import LOG_TYPES
-from ..session import spread
 
 # Operation by event_id % 16; every 97th event resets and every 41st rescans a page.
 OPS = (
@@ -36,7 +35,7 @@ def review_log(events: DataFrame) -> DataFrame:
     op: Column = F.element_at(F.array(*[F.lit(o) for o in OPS]), (k % len(OPS) + 1).cast("int"))
     op = F.when(k % RESET_EVERY == 0, "reset").when(k % RESCAN_EVERY == 0, "rescan").otherwise(op)
     categories = F.array(*[F.lit(c) for c in DISPLAY_ORDER])
-    base = spread(events.select("event_id", "user_id"), "event_id").select(
+    base = events.select(
         F.col("user_id").cast("bigint").alias("doc_id"), k.alias("seq"), op.alias("op"), k.alias("k")
     )
     drawn = F.col("op").isin("add_auto", "add_manual", "add_text_select", "rescan_box") | (

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 LINE_KEY = ("doc_id", "page_index", "line_no")
 
 
@@ -16,18 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages_from_documents(documents: DataFrame) -> DataFrame:
     """One page per document."""
-    pages = documents.select(
+    return documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("page_index"), F.col("text")
     )
-    return spread(pages, "doc_id")
 
 
 def pages_from_conversations(conversations: DataFrame) -> DataFrame:
     """One document per conversation, one page per turn."""
-    pages = conversations.select(
+    return conversations.select(
         F.col("conv_id").cast("bigint").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), "text"
     )
-    return spread(pages, "doc_id", "page_index")
 
 
 def split_lines(text: Column) -> Column:
