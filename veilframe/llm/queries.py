@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
+from .simhash import simhash_components
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "text", "n_lines_removed")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_quality_rules,)
+    f.__name__: f for f in (op3_simhash, op6_line_dedup, op7_quality_rules)
 }
