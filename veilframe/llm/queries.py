@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontaminate import contaminated
 from .line_dedup import dedup_lines
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .token_counts import token_counts
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +32,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash, op6_line_dedup, op7_quality_rules)
+    f.__name__: f
+    for f in (
+        op3_simhash,
+        op5_decontamination,
+        op6_line_dedup,
+        op7_quality_rules,
+        op8_token_counts,
+        op9_packing,
+    )
 }
