@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .decontaminate import contaminated
+from .language_id import identify_languages
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -28,6 +31,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir)).drop("matches")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
@@ -40,14 +51,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
+        op2_quality_classifier,
         op3_simhash,
         op5_decontamination,
         op6_line_dedup,
         op7_quality_rules,
         op8_token_counts,
         op9_packing,
+        op10_language_id,
     )
 }
