@@ -15,9 +15,18 @@ from .packing import pack_documents
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .surrogates import with_surrogates
 from .token_counts import token_counts
 
 
+# Stands in for the secret that a user of the library brings along.
+SURROGATE_KEY = b"surrogate key of the registered query"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -61,6 +70,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_license_scan,
         op2_quality_classifier,
         op3_simhash,
+        op4_surrogates,
         op5_decontamination,
         op6_line_dedup,
         op7_quality_rules,
