@@ -1,4 +1,21 @@
-"""Small texts for the tests."""
+"""Small texts for the tests, and tables of them."""
+
+import pytest
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture
+def docs_of(spark):
+    """Documents from (id, text) pairs, with columns whose names clash with the operators' own."""
+
+    def make(pairs):
+        rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in pairs]
+        df = spark.createDataFrame(rows, SCHEMA)
+        return df.selectExpr("*", "1 AS n_words", "'x' AS kept", "2 AS k1", "3 AS fp", "4 AS n_lines_removed", "'y' AS h1")
+
+    return make
+
 
 EDGES = [
     (None, None),

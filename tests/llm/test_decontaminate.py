@@ -1,6 +1,6 @@
 import random
 
-from llm_data import EDGES, words
+from llm_data import EDGES, docs_of, words  # noqa: F401
 
 from veilframe.llm.decontaminate import Myers, contaminated, without_contaminated
 

@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from llm_data import EDGES
+from llm_data import EDGES, docs_of  # noqa: F401
 
 from veilframe.llm.license_scan import THRESHOLD, compiled, scan_licenses
 from veilframe.llm.license_templates import APACHE_HEADER, MIT, TEMPLATES

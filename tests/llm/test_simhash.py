@@ -2,7 +2,7 @@ import random
 
 import pytest
 import xxhash
-from llm_data import EDGES, words
+from llm_data import EDGES, docs_of, words  # noqa: F401
 
 from veilframe.llm.simhash import simhash_components, without_near_copies
 

@@ -1,7 +1,7 @@
 import random
 import re
 
-from llm_data import EDGES, words
+from llm_data import EDGES, docs_of, words  # noqa: F401
 
 from veilframe.llm.surrogates import _iban_check, detect, dressed, luhn, surrogate, surrogate_table, with_surrogates
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import sentencepiece
-from llm_data import EDGES, words
+from llm_data import EDGES, docs_of, words  # noqa: F401
 from tokenizers import Tokenizer
 
 from veilframe.llm.packing import CAPACITY, OpenSequences, pack_documents, packed_sequences

@@ -1,5 +1,102 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express. The others are tested against brute-force versions in tests/llm."""
 
 from __future__ import annotations
 
-LLM_ORACLE: dict[str, str] = {}
+from .license_scan import THRESHOLD, compiled
+from .license_templates import TEMPLATES
+from .line_dedup import MIN_WORDS
+from .quality_rules import N_SHORT, RULES, STOP_WORDS, SYMBOLS, Rule
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _list(texts) -> str:
+    return "[" + ", ".join(map(_quoted, texts)) + "]"
+
+
+def _failed(rule: Rule) -> str:
+    bounds = [f"{rule.measure} < {rule.low}"] * (rule.low is not None) + [f"{rule.measure} > {rule.high}"] * (rule.high is not None)
+    return f"CASE WHEN coalesce({' OR '.join(bounds)}, false) THEN '{rule.name}' END"
+
+
+_QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+  FROM d
+),
+triples AS (
+  SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+  FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)
+),
+again AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM triples),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again WHERE n > 1) GROUP BY rid),
+base AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines,
+         len(list_filter(ws, lambda x: list_contains({_list(dict.fromkeys(STOP_WORDS.split()))}, lower(x))))::BIGINT AS n_stop_words,
+         (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclamations
+  FROM w LEFT JOIN covered USING (rid)
+),
+judged AS (
+  SELECT *, n_words < {N_SHORT} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         concat_ws(',', {", ".join(map(_failed, RULES))}) AS failed_rules
+  FROM base
+)
+SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM judged
+"""
+
+_LINES = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, text FROM documents),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d),
+counted AS (SELECT rid, no, line, len(regexp_extract_all(line, '{_WORD}')) AS w FROM l),
+placed AS (SELECT *, sum(w) OVER (PARTITION BY rid ORDER BY no)::BIGINT AS upto FROM counted WHERE w > 0),
+starts AS (SELECT *, upto - w AS before FROM placed),
+ahead AS (
+  SELECT rid, no AS first, max(no) OVER f AS last, string_agg(line, chr(10)) OVER f AS content, max(upto) OVER f - before >= {MIN_WORDS} AS whole
+  FROM starts WINDOW f AS (PARTITION BY rid ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)
+),
+behind AS (
+  SELECT rid, min(no) OVER f AS first, no AS last, string_agg(line, chr(10)) OVER f AS content, upto - min(before) OVER f >= {MIN_WORDS} AS whole
+  FROM starts WINDOW f AS (PARTITION BY rid ORDER BY upto RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)
+),
+every AS (SELECT DISTINCT * FROM (FROM ahead UNION ALL FROM behind) WHERE whole),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY rid, first) AS k FROM every),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(first, last)) AS no FROM ranked WHERE k > 1)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE gone.no IS NULL), '') END AS text,
+       count(gone.no)::BIGINT AS n_lines_removed
+FROM d LEFT JOIN l ON d.rid = l.rid LEFT JOIN gone ON l.rid = gone.rid AND l.no = gone.no
+GROUP BY d.rid, d.doc_id, d.text
+"""
+
+_TEMPLATE_ROWS = ", ".join(f"({t.number}, {_quoted(t.license)}, {_list(t.bigrams)})" for t in compiled(TEMPLATES, THRESHOLD))
+_LICENSES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+parts AS (SELECT rid, string_split(text, chr(10)) AS ls, string_split_regex(text, '\n(?:[ \t\r\x0b\f]*\n)+') AS ps, text FROM d),
+passages AS (
+  SELECT rid, unnest(ls || CASE WHEN len(ps) > 1 THEN ps ELSE [] END || CASE WHEN len(ls) > 1 THEN [text] ELSE [] END) AS p FROM parts
+),
+worded AS (SELECT rid, string_split(trim(regexp_replace(lower(p), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS ws FROM passages),
+pairs AS (
+  SELECT rid, list_distinct(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) AS bs FROM worded
+),
+templates(template, license, ts) AS (VALUES {_TEMPLATE_ROWS}),
+matches AS (
+  SELECT rid, license, round(2.0::DOUBLE * len(list_intersect(bs, ts)) / (len(bs) + len(ts)), 6) AS dice FROM pairs, templates
+),
+found AS (
+  SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n, max(dice) AS best
+  FROM matches WHERE dice >= {THRESHOLD} GROUP BY rid
+)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches, best AS best_dice FROM d LEFT JOIN found USING (rid)
+"""
+
+LLM_ORACLE: dict[str, str] = {"op1_license_scan": _LICENSES, "op6_line_dedup": _LINES, "op7_quality_rules": _QUALITY}
