@@ -35,7 +35,7 @@ def compare(spark, con, name, query, sql, sf_dir):
     if got_names != want_names:
         return f"columns {got_names} != {want_names}", len(got)
     kinds = {n: str(t).upper() for n, t in zip((d[0] for d in cursor.description), (d[1] for d in cursor.description))}
-    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     for n, kind in df.dtypes:
         if same.get(kind) != kinds[n]:
             return f"type of {n}: {kind} against {kinds[n]}", len(got)
