@@ -107,6 +107,8 @@ def measures(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
     split = split.withColumn("__triples", _triples(words)).withColumn("__sorted", F.sort_array(triples))
     split = split.withColumn("__repeated", _repeated(triples, F.col("__sorted")))
     split = split.withColumn("__places", _places(triples, F.col("__repeated")))
+    # Zero. Spark does not push conditions below a row number: they would take copies of all of this along, many times over.
+    once = F.least(F.monotonically_increasing_id(), F.lit(0))
     n_of = lambda chars: (F.length("__text") - F.length(F.translate("__text", chars, ""))).cast("bigint")
     return split.select(
         *[F.col(c) for c in keep],
@@ -114,7 +116,7 @@ def measures(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("do
         F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         n_of(SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        _covered(F.col("__places")).alias("n_repeat_words"),
+        (_covered(F.col("__places")) + once).alias("n_repeat_words"),
         F.size(lines).cast("bigint").alias("n_lines"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).cast("bigint").alias("n_stop_words"),
         n_of("!").alias("n_exclamations"),
