@@ -54,14 +54,14 @@ def boxes_from_candidates(candidates: DataFrame, policy: DataFrame | None = None
     if policy is None:
         return as_boxes(candidates, source=F.lit(AUTO), enabled=F.lit(True))
     off = policy.where(~F.col("enabled")).select("doc_id", "category").distinct().withColumn("off", F.lit(True))
-    joined = lookup(candidates, off, ["doc_id", "category"], ["id"])
+    joined = lookup(candidates, off, ["doc_id", "category"])
     return as_boxes(joined, source=F.lit(AUTO), enabled=F.col("off").isNull())
 
 
 def replace_auto_boxes(boxes: DataFrame, fresh: DataFrame, rescanned: DataFrame) -> DataFrame:
     """The auto boxes of the rescanned (doc_id, page_index) give way to the fresh ones; others stay."""
     marks = rescanned.select("doc_id", "page_index").distinct().withColumn("again", F.lit(True))
-    marked = lookup(boxes, marks, ["doc_id", "page_index"], ["id"])
+    marked = lookup(boxes, marks, ["doc_id", "page_index"])
     gone = (F.col("source") == AUTO) & F.col("again").isNotNull()
     return stacked(as_boxes(marked.where(~gone)), as_boxes(fresh))
 
@@ -120,7 +120,7 @@ def toggle_category(boxes: DataFrame, policy: DataFrame, toggles: DataFrame) ->
     named = toggles.select("doc_id", "category").distinct()
     after = toggle_policy(policy, toggles).join(named, ["doc_id", "category"], "left_semi")
     after = after.withColumnRenamed("enabled", "now")
-    joined = lookup(boxes, after, ["doc_id", "category"], ["id"])
+    joined = lookup(boxes, after, ["doc_id", "category"])
     affected = (F.col("source") == AUTO) & F.col("now").isNotNull()
     return as_boxes(joined, enabled=F.when(affected, F.col("now")).otherwise(F.col("enabled")))
 
@@ -128,16 +128,22 @@ def toggle_category(boxes: DataFrame, policy: DataFrame, toggles: DataFrame) ->
 def edit_boxes(boxes: DataFrame, gestures: DataFrame) -> DataFrame:
     """Move or resize boxes by one gesture each: doc_id, id, kind, handle, dx, dy (canvas pixels), scale.
 
-    A result of 1 canvas pixel or less in width or height is not taken over.
+    Of several gestures for one box the last counts, by ``seq`` where there is one. A result of 1 canvas pixel or
+    less in width or height is not taken over. A box that has moved no longer is where it was found: its offsets
+    go, and it reaches the text by its rectangle.
     """
-    joined = boxes.join(gestures.select("doc_id", "id", "kind", "handle", "dx", "dy", "scale"), ["doc_id", "id"], "left")
+    fields = ("kind", "handle", "dx", "dy", "scale")
+    order = ["seq", *fields] if "seq" in gestures.columns else fields
+    last = gestures.groupBy("doc_id", "id").agg(F.max(F.struct(*order)).alias("last"))
+    joined = boxes.join(last.select("doc_id", "id", *[F.col(f"last.{f}") for f in fields]), ["doc_id", "id"], "left")
     shown = pdf_to_canvas(box_of(), F.col("scale"))
     moved = move(shown, F.col("dx"), F.col("dy"))
     resized = resize(shown, F.col("handle"), F.col("dx"), F.col("dy"))
     pending = {k: F.when(F.col("kind") == "move", moved[k]).otherwise(resized[k]) for k in XY}
     taken = F.col("kind").isNotNull() & larger_than(pending, MIN_EDIT_PX)
     page = canvas_to_pdf(pending, F.col("scale"))
-    return as_boxes(joined, **{k: F.when(taken, page[k]).otherwise(F.col(k)) for k in XY})
+    edited = {k: F.when(taken, page[k]).otherwise(F.col(k)) for k in XY}
+    return as_boxes(joined, **edited, **{k: F.when(~taken, F.col(k)) for k in ("line_no", "start", "end")})
 
 
 def delete_boxes(boxes: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -159,9 +165,15 @@ def last_write_wins(writes: DataFrame, keys: list[str], order: str) -> DataFrame
     return newest.select(*keys, "row.*").select(writes.columns)
 
 
-def latest_scan_wins(results: DataFrame) -> DataFrame:
-    """Results (doc_id, page_index, scan_seq, ...) of the newest scan of each page."""
-    newest = results.groupBy("doc_id", "page_index").agg(F.max("scan_seq").alias("newest"))
-    spread_by = [c for c in results.columns if c not in ("doc_id", "page_index")]
-    joined = lookup(results, newest, ["doc_id", "page_index"], spread_by)
-    return joined.where(F.col("scan_seq") == F.col("newest")).select(results.columns)
+def newest_scans(scans: DataFrame) -> DataFrame:
+    """doc_id, page_index and the highest scan_seq of each page."""
+    return scans.groupBy("doc_id", "page_index").agg(F.max("scan_seq").alias("scan_seq"))
+
+
+def latest_scan_wins(results: DataFrame, scans: DataFrame) -> DataFrame:
+    """Results (doc_id, page_index, scan_seq, ...) of the newest scan of each page.
+
+    ``scans`` (doc_id, page_index, scan_seq) has every scan, also those that found nothing: a page whose newest
+    scan is empty has no results. It holds no text, so the newest scans are known without any detection.
+    """
+    return results.join(newest_scans(scans), ["doc_id", "page_index", "scan_seq"], "left_semi").select(results.columns)

@@ -7,11 +7,11 @@ redo only move between versions. So once each event's depth is known, the versio
 final state is the *last* mutation of depth d (a plain aggregate), and the final boxes follow from the events
 on that way with aggregates and key joins.
 
-Depth is the one sequential quantity. Logs are cut into chunks of consecutive ``seq`` values, so a chunk is
-bounded however long a document's log is. A chunk's effect on (undo steps left, redo steps left) is a small
-table, because both are at most 100 together; tables of chunks are combined into tables of chunk groups and
-those into each chunk's starting state. Then all chunks are walked independently. Documents with no more events
-than a chunk may hold are one chunk and skip the tables.
+Depth is the one sequential quantity. The log is sorted by document and ``seq`` over all tasks and cut into chunks
+of so many events, by rank and whatever the numbers in ``seq``, so a chunk is bounded however long a document's log
+is. A chunk's effect on (undo steps left, redo steps left) is a small table, because both are at most 100
+together; a tree of groups combines these tables and gives each chunk its starting state. Then all chunks are
+walked independently. A document within one chunk starts from nothing and needs no table.
 """
 
 from __future__ import annotations
@@ -56,6 +56,9 @@ LOG_TYPES = {
 
 CHUNK_EVENTS = 1 << 14
 FAN_IN = 1 << 12
+MAX_CATEGORIES = 63
+# Chunks of one task are numbered from its own number times this.
+CHUNKS_PER_TASK = 1 << 20
 
 _IN_PLACE, _MUTATE, _UNDO, _REDO = 0, 1, 2, 3
 _START_FIELDS = ("reset_seq", "undo_left", "redo_left", "depth", "policy", "final_depth")
@@ -233,33 +236,24 @@ def _combine(group: pd.DataFrame) -> pd.DataFrame:
     for effect in effects[1:]:
         total = total.then(effect)
     head = group.iloc[0]
-    return pd.DataFrame({"doc_id": [head.doc_id], "chunk_group": [head.chunk_group], "effect": [total.pack()]})
+    return pd.DataFrame({"doc_id": [head.doc_id], "chunk": [head.parent], "effect": [total.pack()]})
 
 
-def _unroll(group: pd.DataFrame, key: str, undo: int, redo: int, depth: int, policy: int) -> pd.DataFrame:
+def _unroll(group: pd.DataFrame) -> pd.DataFrame:
+    """Starting states of the chunks of one group, from that of the group (nothing where it has none)."""
+    head = group.iloc[0]
+    undo, redo, depth, policy = (int(head[n]) for n in ("undo_left", "redo_left", "depth", "policy"))
     rows = []
-    for row in group.sort_values(key).itertuples():
-        rows.append((row.doc_id, getattr(row, key), undo, redo, depth, policy))
+    for row in group.sort_values("chunk").itertuples():
+        rows.append((row.doc_id, row.chunk, undo, redo, depth, policy))
         effect = Effect.unpack(row.effect)
         undo, redo, depth = (int(v) for v in effect.apply(undo, redo, depth))
         policy ^= effect.flips
-    out = pd.DataFrame(rows, columns=["doc_id", key, "undo_left", "redo_left", "depth", "policy"])
-    out["end_depth"] = depth
+    out = pd.DataFrame(rows, columns=["doc_id", "chunk", "undo_left", "redo_left", "depth", "policy"])
+    out["final_depth"] = depth if head.final_depth < 0 else head.final_depth
     return out
 
 
-def _group_starts(group: pd.DataFrame) -> pd.DataFrame:
-    out = _unroll(group, "chunk_group", 0, 0, 0, 0)
-    return out.rename(columns={"end_depth": "final_depth"})
-
-
-def _chunk_starts(group: pd.DataFrame) -> pd.DataFrame:
-    head = group.iloc[0]
-    out = _unroll(group, "chunk", int(head.undo_left), int(head.redo_left), int(head.depth), int(head.policy))
-    out["final_depth"] = int(head.final_depth)
-    return out.drop(columns="end_depth")
-
-
 # ---- depths --------------------------------------------------------------------------------------------
 
 
@@ -280,27 +274,21 @@ def _walked(log: DataFrame, categories: tuple[str, ...], chunk_events: int, fan_
         F.lit(1).alias("place"),
         *[F.lit(None).cast("bigint").alias(n) for n in _START_FIELDS],
     )
+    ranked = events.repartitionByRange("doc_id", "seq").sortWithinPartitions("doc_id", "seq")
+    row = F.monotonically_increasing_id()  # the task's number, and the row's in the task
+    chunk = F.shiftright(row, 33) * CHUNKS_PER_TASK + F.floor(row.bitwiseAND((1 << 33) - 1) / chunk_events)
+    events = materialize(ranked.withColumn("chunk", chunk.cast("bigint")), "review-chunks")
     docs = events.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_events"), F.max(F.when(F.col("op") == RESET, F.col("seq"))).alias("reset_seq")
+        F.max(F.when(F.col("op") == RESET, F.col("seq"))).alias("reset_seq"),
+        F.min("chunk").alias("chunk"),
+        F.max("chunk").alias("last"),
     )
-    docs = materialize(docs, "review-docs")
-    is_long = F.col("n_events") > chunk_events
-    long_docs = docs.where(is_long).select("doc_id", "reset_seq")
-    whole = F.lit(0).cast("bigint").alias("chunk")
-    headers = docs.where(~is_long).select("doc_id", whole, "reset_seq")
-    if long_docs.isEmpty():
-        events = events.select("*", whole)
-    else:
-        marked = lookup(events, long_docs.select("doc_id", F.lit(True).alias("long")), ["doc_id"], ["seq"])
-        chunk = F.when(F.col("long"), F.floor(F.col("seq") / chunk_events).cast("bigint")).otherwise(F.lit(0))
-        marked = marked.withColumn("chunk", chunk)
-        long_events = marked.where("long").drop("long")
-        chunks = long_events.select("doc_id", "chunk").distinct().join(long_docs, "doc_id")
-        chunks = materialize(chunks, "review-chunks")
-        starts = _starts(long_events, chunks, fan_in)
-        headers = stacked(headers, chunks.join(starts, ["doc_id", "chunk"], "left"))
-        events = marked.drop("long")
-    arranged = _with_headers(events, headers)
+    single = docs.where("chunk = last").select("doc_id", "chunk", "reset_seq")
+    several = docs.where("chunk <> last").select("doc_id", "reset_seq")
+    long_events = events.join(several.select("doc_id"), "doc_id", "left_semi")
+    chunks = long_events.select("doc_id", "chunk").distinct().join(several, "doc_id")
+    starts = chunks.join(_starts(long_events, chunks, fan_in), ["doc_id", "chunk"])
+    arranged = _with_headers(events, stacked(single, starts))
     schema = StructType([StructField(f.name, f.dataType, True) for f in arranged.schema])
     return arranged.mapInArrow(_walk, schema)
 
@@ -315,20 +303,27 @@ def _with_headers(events: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def _starts(events: DataFrame, chunks: DataFrame, fan_in: int) -> DataFrame:
-    """State at the start of every chunk of the long logs."""
+    """State at the start of every chunk of the long logs, by a tree of groups of at most ``fan_in`` neighbours.
+
+    The last two levels join a task's chunks, and then runs of tasks; what is left for one group at the top is a
+    document's share of the number of tasks, divided by ``fan_in``.
+    """
     lean = events.select("doc_id", "chunk", "seq", "kind", "bit", "place", "reset_seq")
     effects = _with_headers(lean, chunks).mapInArrow(_summarize, "doc_id bigint, chunk bigint, effect binary")
-    effects = effects.withColumn("chunk_group", F.floor(F.col("chunk") / fan_in).cast("bigint"))
+    effects = materialize(effects, "review-effects")
     state = "undo_left bigint, redo_left bigint, depth bigint, policy bigint, final_depth bigint"
-    totals = effects.groupBy("doc_id", "chunk_group").applyInPandas(
-        _combine, "doc_id bigint, chunk_group bigint, effect binary"
-    )
-    group_starts = totals.groupBy("doc_id").applyInPandas(_group_starts, f"doc_id bigint, chunk_group bigint, {state}")
-    return (
-        effects.join(group_starts, ["doc_id", "chunk_group"])
-        .groupBy("doc_id", "chunk_group")
-        .applyInPandas(_chunk_starts, f"doc_id bigint, chunk bigint, {state}")
-    )
+    levels = []
+    for divisor in (fan_in, max(1, CHUNKS_PER_TASK // fan_in), fan_in):
+        effects = effects.withColumn("parent", F.floor(F.col("chunk") / divisor).cast("bigint"))
+        levels.append(effects)
+        effects = effects.groupBy("doc_id", "parent").applyInPandas(_combine, "doc_id bigint, chunk bigint, effect binary")
+    nothing = [F.lit(v).cast("bigint").alias(n) for n, v in zip(_START_FIELDS[1:], (0, 0, 0, 0, -1))]
+    top = effects.select("*", *nothing)
+    starts = top.groupBy("doc_id").applyInPandas(_unroll, f"doc_id bigint, chunk bigint, {state}")
+    for level in reversed(levels):
+        known = level.join(starts.withColumnRenamed("chunk", "parent"), ["doc_id", "parent"])
+        starts = known.groupBy("doc_id", "parent").applyInPandas(_unroll, f"doc_id bigint, chunk bigint, {state}")
+    return starts
 
 
 # ---- folding -------------------------------------------------------------------------------------------
@@ -368,7 +363,7 @@ def _effective(walked: DataFrame) -> DataFrame:
         .agg(F.max("made").alias("made"), F.max("left").alias("left"))
     )
     in_place = on_way.where(F.col("op").isin(*IN_PLACE))
-    placed = lookup(in_place, slots, ["doc_id", "depth"], ["seq"])
+    placed = lookup(in_place, slots, ["doc_id", "depth"])
     yes = F.lit(True)
     within = F.coalesce(F.col("seq") > F.col("made"), yes) & F.coalesce(F.col("seq") < F.col("left"), yes)
     return stacked(placed.where(within).select(walked.columns), way.select(walked.columns))
@@ -417,7 +412,7 @@ def _final_boxes(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     auto = F.col("life.source") == AUTO
 
     rescans = events.where(op == "rescan").groupBy("doc_id", "page_index").agg(F.max("seq").alias("rescanned"))
-    per_box = lookup(per_box, rescans, ["doc_id", "page_index"], ["id"])
+    per_box = lookup(per_box, rescans, ["doc_id", "page_index"])
     per_box = per_box.where(~(auto & F.coalesce(F.col("rescanned") > F.col("life.seq"), F.lit(False))))
 
     switched = (
@@ -425,7 +420,7 @@ def _final_boxes(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
         .groupBy("doc_id", "category")
         .agg(F.max_by(F.struct("seq", policy_on.alias("enabled")), "seq").alias("switched"))
     )
-    per_box = lookup(per_box, switched, ["doc_id", "category"], ["id"])
+    per_box = lookup(per_box, switched, ["doc_id", "category"])
 
     # The last event that set ``enabled`` outright; box toggles after it flip it.
     def as_set(struct_name: str, applies: Column) -> Column:
@@ -439,7 +434,7 @@ def _final_boxes(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
 
     toggles = events.where(op == "toggle_box").select("doc_id", F.col("box_id").alias("id"), "seq")
     since = per_box.select("doc_id", "id", F.col("outright.seq").alias("set_seq"))
-    counted = lookup(toggles, since, ["doc_id", "id"], ["seq"]).where(F.col("seq") > F.col("set_seq"))
+    counted = lookup(toggles, since, ["doc_id", "id"]).where(F.col("seq") > F.col("set_seq"))
     flips = counted.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("flips"))
     final = per_box.join(flips, ["doc_id", "id"], "left")
 
@@ -500,10 +495,13 @@ def replay_review_log(
 ) -> Replayed:
     """Final boxes and state of every document in the log.
 
-    ``seq`` is unique and not negative within a document. ``categories`` are those a policy exists for.
+    ``seq`` is unique and not negative within a document. ``categories``, 63 at most, are those a policy exists for;
+    toggling another takes an undo step, and leaves its boxes enabled as its policy always is.
     The events with their depths, and those that count, are written to the shared folder, as everything
     after reads them several times.
     """
+    if len(categories) > MAX_CATEGORIES:
+        raise ValueError(f"a policy can hold {MAX_CATEGORIES} categories, not {len(categories)}")
     walked = materialize(_walked(log, tuple(categories), chunk_events, fan_in), "review-walk")
     events = materialize(_effective(walked), "review-events")
     return Replayed(_final_boxes(events, tuple(categories)), _final_state(log, walked, events, tuple(categories)))

@@ -1,19 +1,19 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Look-ups in narrow tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
-
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str]) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 1, spread_by: list[str] | None = None) -> DataFrame:
     """Left join to a narrow table with at most one row per key.
 
-    Left rows of one key go to SALTS partitions by ``spread_by``; each right row is repeated for each of
-    them. Spark still broadcasts the right side by itself where it measures it as small.
+    Adaptive execution splits a key that holds a large share of the left rows by measured size. Where it can't (it is
+    switched off, or the join's result feeds an aggregate by the same keys), ``salts`` deals left rows of one key
+    to that many partitions by ``spread_by`` and repeats each right row for each of them.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if salts <= 1:
+        return left.join(right, keys, "left")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")

@@ -1,8 +1,9 @@
 """Joining boxes on a page by overlap.
 
-Boxes are assigned to square tiles, and only boxes that share a tile meet; so a crowded page is split over
-its tiles and no page is compared all against all. Tiles off the largest page PDF allows (14,400 points)
-are folded into the edge tiles, which bounds the number of tiles a box can cover and loses nothing.
+Lines and drawn rectangles are assigned to horizontal strips of the page, and only those that share a strip meet; so
+a crowded page is split over its strips and no page is compared all against all. A rectangle is first cut to where the
+page has lines, so it covers no more strips than these do, however large it is. Characters never meet rectangles in
+a join of their own: each line gathers the rectangles over it, and its characters are tried in place.
 """
 
 from __future__ import annotations
@@ -14,78 +15,71 @@ from ..functions.geometry import XY, box_of, columns, intersects, overlaps, quad
 from ..sources.tables import LINE_KEY
 from .extract import spans_of_lines
 
-TILE = 64.0
-LAST_TILE = 255
+STRIP = 64.0
+PAGE = ("doc_id", "page_index")
 
 
-def tiles(prefix: str = "") -> Column:
-    """array<int> of the tiles that the box in ``prefix``x0..y1 touches."""
+def strips(top: str, bottom: str) -> Column:
+    """array<bigint> of the strips from ``top`` to ``bottom``; empty where ``bottom`` is above ``top``."""
+    first, last = f"bigint(floor({top} / {STRIP}))", f"bigint(floor({bottom} / {STRIP}))"
+    return F.expr(f"if({bottom} >= {top}, sequence({first}, {last}), cast(array() AS array<bigint>))")
 
-    def tile(edge: str) -> str:
-        return f"int(least(greatest(floor({prefix}{edge} / {TILE}), 0), {LAST_TILE}))"
 
-    across, down = f"sequence({tile('x0')}, {tile('x1')})", f"sequence({tile('y0')}, {tile('y1')})"
-    return F.expr(f"flatten(transform({across}, _x -> transform({down}, _y -> _x * {LAST_TILE + 1} + _y)))")
-
-
-def _tiled(df: DataFrame) -> DataFrame:
-    return df.withColumn("tile", F.explode(tiles()))
+def _met(boxes: DataFrame, rects: DataFrame, condition: Column) -> DataFrame:
+    """Rows of ``boxes`` (page, x0..y1) and ``rects`` (page, dx0..dy1) that share a strip and fulfil the condition."""
+    extent = boxes.groupBy(*PAGE).agg(F.min("y0").alias("_top"), F.max("y1").alias("_bottom"))
+    cut = rects.join(extent, list(PAGE)).withColumn("strip", F.explode(strips("greatest(dy0, _top)", "least(dy1, _bottom)")))
+    striped = boxes.withColumn("strip", F.explode(strips("y0", "y1")))
+    return striped.join(cut.drop("_top", "_bottom"), [*PAGE, "strip"]).where(condition)
 
 
 def text_select_boxes(spans: DataFrame, drawn: DataFrame) -> DataFrame:
     """One box per drawn rectangle that touches text: the box around the spans it touches.
 
     ``drawn`` is doc_id, page_index, selection_id and a rectangle in page points. Equal rectangles and equal
-    span boxes are matched once. A pair may meet in several tiles; minimum and maximum do not mind.
+    span boxes are matched once. A pair may meet in several strips; minimum and maximum do not mind.
     """
-    page = ["doc_id", "page_index"]
     rect = [f"d{k}" for k in XY]
-    drawn = drawn.select(*page, "selection_id", *[F.col(k).alias(f"d{k}") for k in XY])
-    rects = drawn.select(*page, *rect).distinct().withColumn("tile", F.explode(tiles("d")))
-    boxes = _tiled(spans.select(*page, *XY).distinct())
-    met = boxes.join(rects, [*page, "tile"]).where(intersects(box_of(), box_of("d")))
-    around = met.groupBy(*page, *rect).agg(*[(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY])
-    return drawn.join(around, [*page, *rect]).select(*page, "selection_id", *XY)
+    drawn = drawn.select(*PAGE, "selection_id", *[F.col(k).alias(f"d{k}") for k in XY])
+    met = _met(spans.select(*PAGE, *XY).distinct(), drawn.select(*PAGE, *rect).distinct(), intersects(box_of(), box_of("d")))
+    around = met.groupBy(*PAGE, *rect).agg(*[(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY])
+    return drawn.join(around, [*PAGE, *rect]).select(*PAGE, "selection_id", *XY)
 
 
-def _areas(boxes: DataFrame) -> DataFrame:
-    """Distinct rectangles of the enabled boxes, by tile."""
-    areas = boxes.where(F.col("enabled") & F.col("x0").isNotNull()).select("doc_id", "page_index", *XY)
-    return _tiled(areas.distinct())
+def _line_areas(line_boxes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Line key and ``areas``, the distinct rectangles of enabled boxes over the line, of lines that have any."""
+    areas = boxes.where(F.col("enabled") & F.col("x0").isNotNull())
+    rects = areas.select(*PAGE, *[F.col(k).alias(f"d{k}") for k in XY]).distinct()
+    met = _met(line_boxes.select(*LINE_KEY, *XY), rects, overlaps(box_of(), box_of("d")))
+    area = F.struct(*[F.col(f"d{k}").alias(k) for k in XY])
+    return met.groupBy(*LINE_KEY).agg(F.collect_set(area).alias("areas"))
 
 
-def _overlapped(things: DataFrame, areas: DataFrame, key: list[str]) -> DataFrame:
-    """Keys of the boxed things that some area overlaps. A semi join: no pairs come out of it."""
-    t, a = _tiled(things.select(*key, *XY)).alias("t"), areas.alias("a")
-    together = [F.col(f"t.{k}") == F.col(f"a.{k}") for k in ("doc_id", "page_index", "tile")]
-    over = overlaps({k: F.col(f"t.{k}") for k in XY}, {k: F.col(f"a.{k}") for k in XY})
-    return t.join(a, together[0] & together[1] & together[2] & over, "left_semi").select(*key).distinct()
+def _covered(box: dict[str, Column], areas: Column) -> Column:
+    return F.exists(areas, lambda a: overlaps(box, {k: a[k] for k in XY}))
 
 
 def redact_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
     """Glyphs that no enabled box overlaps. Glyphs that only touch a box stay.
 
-    Whole lines are tried first, so that only the glyphs of lines with something to hide are assigned to tiles.
+    Glyphs are dealt out by line once; finding the lines' boxes and the join with the areas over them both use that.
     """
-    areas = _areas(boxes)
-    boxed = glyphs.select(*LINE_KEY, "char_no", *columns(quad_to_box(F.col("quad"))))
+    dealt = glyphs.repartition(*LINE_KEY)
     edges = [(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY]
-    touched = _overlapped(boxed.groupBy(*LINE_KEY).agg(*edges), areas, list(LINE_KEY))
-    inside = boxed.join(touched, list(LINE_KEY), "left_semi")
-    covered = _overlapped(inside, areas, [*LINE_KEY, "char_no"])
-    return glyphs.join(covered, [*LINE_KEY, "char_no"], "left_anti")
+    line_boxes = dealt.select(*LINE_KEY, *columns(quad_to_box(F.col("quad")))).groupBy(*LINE_KEY).agg(*edges)
+    joined = dealt.join(_line_areas(line_boxes, boxes), list(LINE_KEY), "left")
+    covered = F.col("areas").isNotNull() & _covered(quad_to_box(F.col("quad")), F.col("areas"))
+    return joined.where(~covered).select(*glyphs.columns)
 
 
 def offsets_from_geometry(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """line key, start, end of every character that an enabled box without offsets overlaps.
 
-    ``lines`` carry ``char_bboxes``. This is how drawn boxes reach the text. As with glyphs, lines are tried
-    before their characters.
+    ``lines`` carry ``char_bboxes``. This is how drawn and moved boxes reach the text. Only lines under some
+    rectangle are taken apart.
     """
-    areas = _areas(boxes.where(F.col("start").isNull()))
-    touched = _overlapped(spans_of_lines(lines), areas, list(LINE_KEY))
-    inside = lines.join(touched, list(LINE_KEY), "left_semi")
-    chars = inside.select(*LINE_KEY, F.posexplode("char_bboxes").alias("char_no", "box"))
-    chars = chars.select(*LINE_KEY, "char_no", *[F.col(f"box.{k}") for k in XY])
-    hit = _overlapped(chars, areas, [*LINE_KEY, "char_no"])
+    areas = _line_areas(spans_of_lines(lines), boxes.where(F.col("start").isNull()))
+    inside = lines.select(*LINE_KEY, "char_bboxes").join(areas, list(LINE_KEY))
+    chars = inside.select(*LINE_KEY, "areas", F.posexplode("char_bboxes").alias("char_no", "box"))
+    hit = chars.where(_covered({k: F.col("box")[k] for k in XY}, F.col("areas")))
     return hit.select(*LINE_KEY, F.col("char_no").alias("start"), (F.col("char_no") + 1).alias("end"))

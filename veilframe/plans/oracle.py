@@ -180,6 +180,18 @@ ORACLE["K1_register_rule"] = select(
     ],
     f"{MATCHES} UNION ALL {MATCHES.replace('cand', 'own')}",
 )
+ORACLE["K1_reported"] = select(
+    [
+        *CORPUS_LINES,
+        candidates("email"),
+        "own AS (" + by_pattern("orderNo", "주문번호: ([0-9-]+)", 1, f"length({DIGITS}) >= 6", "0.6", "lines") + ")",
+        "both_ AS (SELECT doc_id, page_index, category FROM cand UNION ALL SELECT doc_id, page_index, category FROM own)",
+    ],
+    """SELECT d.doc_id, count(b.doc_id) AS total_boxes, count(*) FILTER (WHERE category = 'email') AS n_email,
+  count(*) FILTER (WHERE category = 'orderNo') AS "n_orderNo", count(DISTINCT b.page_index) AS pages_affected,
+  CASE WHEN count(b.doc_id) = 0 THEN 'skipped_no_boxes' ELSE 'applied' END AS status
+  FROM (SELECT DISTINCT doc_id FROM pages_) d LEFT JOIN both_ b ON b.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
 ORACLE["K1_register_python_rule"] = select(
     CORPUS_LINES,
     """SELECT doc_id, page_index, line_no, 'taxpayer' AS category, CAST(strpos(text, '사업자번호') - 1 AS INTEGER) AS "start",
@@ -483,6 +495,7 @@ def plan(source: str) -> str:
 
 N = ", ".join(f'"n_{c}"' for c in COUNTED)
 N0 = ", ".join(f'coalesce("n_{c}", 0) AS "n_{c}"' for c in COUNTED)
+ALL_DOCS = "(SELECT DISTINCT doc_id FROM pages_) d"
 REPORT = f"""SELECT d.doc_id, coalesce(total_boxes, 0) AS total_boxes, {N0}, coalesce(pages_affected, 0) AS pages_affected,
   CAST(coalesce(l.leaks, 0) AS BIGINT) AS leaks,
   CASE WHEN coalesce(total_boxes, 0) = 0 THEN 'skipped_no_boxes' ELSE 'applied' END AS status
@@ -514,6 +527,61 @@ ORACLE["E3_redact_text_drawn"] = select(
     [DOCUMENTS, lines(), SELECTIONS, DOC_LINES, DRAWN, _IN_TEXT, masked()],
     "SELECT doc_id, page_index, text FROM out_pages",
 )
+# Offsets of boxes that did not move; of those that did, every character cell that the new rectangle overlaps.
+_MOVED = f"""moved AS (
+  SELECT t.doc_id, b.page_index, b.enabled, least(c0, c1) / {_S} AS x0, least(d0, d1) / {_S} AS y0, greatest(c0, c1) / {_S} AS x1,
+    greatest(d0, d1) / {_S} AS y1 FROM t JOIN boxes b ON b.doc_id = t.doc_id AND b.id = t.id WHERE taken
+), spots AS (
+  SELECT doc_id, page_index, line_no, "start", "end", enabled FROM boxes WHERE (doc_id, id) IN (SELECT (doc_id, id) FROM t WHERE NOT taken)
+  UNION ALL
+  SELECT l.doc_id, l.page_index, line_no, pos, pos + 1, enabled
+  FROM (SELECT *, unnest(range(length(text))) AS pos FROM lines WHERE doc_id IN (SELECT doc_id FROM moved)) l
+    JOIN moved m ON m.doc_id = l.doc_id AND m.page_index = l.page_index
+      AND 6 * pos < x1 AND x0 < 6 * (pos + 1) AND 12 * line_no < y1 AND y0 < 12 * (line_no + 1)
+)"""
+ORACLE["E3_redact_text_moved"] = select(
+    [*CORPUS_BOXES, _D8, _MOVED, masked().replace("FROM boxes WHERE", "FROM spots WHERE")], "SELECT doc_id, page_index, text FROM out_pages"
+)
+
+
+def drawn_report(areas: str, n_manual: str = "count(*) FILTER (WHERE category IS NULL)") -> list[str]:
+    """CTEs ``out_pages`` and ``done`` (a report) for enabled rectangles in ``areas`` over grid lines."""
+    cells = f"""spots AS (
+  SELECT l.doc_id, l.page_index, line_no, pos AS "start", pos + 1 AS "end", true AS enabled
+  FROM (SELECT *, unnest(range(length(text))) AS pos FROM lines) l JOIN {areas} d ON d.enabled AND d.doc_id = l.doc_id
+    AND d.page_index = l.page_index AND 6 * pos < x1 AND x0 < 6 * (pos + 1) AND 12 * line_no < y1 AND y0 < 12 * (line_no + 1)
+)"""
+    left = candidates(*_RULES, name="left_over", source="out_lines")
+    report = f"""done AS (
+  SELECT d.doc_id, coalesce(b.n, 0) AS total_boxes, coalesce(b.m, 0) AS n_manual, CAST(0 AS BIGINT) AS unplaced, coalesce(k.n, 0) AS leaks,
+    CASE WHEN coalesce(b.n, 0) = 0 THEN 'skipped_no_boxes' ELSE 'applied' END AS status
+  FROM {ALL_DOCS} LEFT JOIN (SELECT doc_id, count(*) AS n, {n_manual} AS m FROM {areas} WHERE enabled GROUP BY doc_id) b ON b.doc_id = d.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM left_over GROUP BY doc_id) k ON k.doc_id = d.doc_id
+)"""
+    return [cells, masked().replace("FROM boxes WHERE", "FROM spots WHERE"), left, report]
+
+
+_DONE = "SELECT doc_id, page_index, text, total_boxes, n_manual, unplaced, leaks, status FROM out_pages JOIN done USING (doc_id)"
+_DRAWN_DOCS = [DOCUMENTS, lines(), SELECTIONS, DOC_LINES, DRAWN]
+ORACLE["E7_anonymize_drawn"] = select([*_DRAWN_DOCS, *drawn_report("drawn")], _DONE)
+# Without geometry nothing can be masked, and the report has to say so.
+ORACLE["E7_anonymize_unplaced"] = select(
+    [*_DRAWN_DOCS, candidates(*_RULES, name="left_over", source="lines")],
+    f"""SELECT d.doc_id, 0 AS page_index, p.text, CAST(0 AS BIGINT) AS total_boxes, CAST(0 AS BIGINT) AS n_manual, coalesce(b.n, 0) AS unplaced,
+  coalesce(k.n, 0) AS leaks, CASE WHEN b.n > 0 THEN 'incomplete' ELSE 'skipped_no_boxes' END AS status
+  FROM {ALL_DOCS} JOIN pages_ p ON p.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM drawn GROUP BY doc_id) b ON b.doc_id = d.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM left_over GROUP BY doc_id) k ON k.doc_id = d.doc_id""",
+)
+_TURNS = "pages_ AS (SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn AS INTEGER) AS page_index, text, NULL AS expected FROM conversations)"
+_KEPT = """kept AS (
+  SELECT r.doc_id, b.page_index AS page_index, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1, b.category AS category, b.enabled AS enabled
+  FROM (SELECT doc_id, unnest(boxes) AS b FROM final) r WHERE (r.doc_id, b.page_index) IN (SELECT (doc_id, page_index) FROM pages_)
+)"""
+ORACLE["E7_replayed"] = select(
+    [LOG, REPLAY, _TURNS, lines(), _KEPT, *drawn_report("kept")],
+    f"""SELECT o.*, '' AS title, '' AS author, lang FROM ({_DONE}) o JOIN (SELECT CAST(doc_id AS BIGINT) AS doc_id, lang FROM documents) m USING (doc_id)""",
+    recursive=True,
+)
 ORACLE["E4_redact_glyphs"] = select(
     REVIEWED,
     f"""SELECT {LINE}, count(*) AS n_left, CAST(sum(pos) AS BIGINT) AS sum_char_no
@@ -524,14 +592,17 @@ ORACLE["E4_redact_glyphs"] = select(
 )
 ORACLE["E5_clear_metadata"] = "SELECT CAST(doc_id AS BIGINT) AS doc_id, '' AS title, '' AS author, '' AS subject, lang FROM documents"
 ORACLE["E6_post_check"] = select(
-    [*CORPUS_BOXES, masked(), LEAKS], "SELECT doc_id, CAST(sum(leaks) AS BIGINT) AS leaks FROM leaks GROUP BY doc_id"
+    [*CORPUS_BOXES, masked(), LEAKS],
+    f"SELECT d.doc_id, CAST(coalesce(sum(leaks), 0) AS BIGINT) AS leaks FROM {ALL_DOCS} LEFT JOIN leaks USING (doc_id) GROUP BY d.doc_id",
 )
 ORACLE["E7_anonymize"] = select(
     [*CORPUS_LINES, candidates(), ALL_BOXES, masked(), LEAKS, plan("boxes")],
     f"""SELECT o.doc_id, o.page_index, o.text, coalesce(total_boxes, 0) AS total_boxes, {N0}, CAST(coalesce(leaks, 0) AS BIGINT) AS leaks
   FROM out_pages o LEFT JOIN plan p ON p.doc_id = o.doc_id LEFT JOIN leaks l ON l.doc_id = o.doc_id AND l.page_index = o.page_index""",
 )
-ORACLE["E7_anonymize_reviewed"] = select([*CORPUS_BOXES, masked(), LEAKS, plan("boxes")], REPORT)
+ORACLE["E7_anonymize_reviewed"] = select(
+    [*CORPUS_BOXES, masked(), LEAKS, plan("boxes")], f"SELECT *, CAST(0 AS BIGINT) AS unplaced FROM ({REPORT}) r"
+)
 
 # ---- reports -------------------------------------------------------------------------------------------
 
@@ -540,7 +611,7 @@ ORACLE["F2_category_page_tree"] = select(
     [*BOOK_BOXES, f"dim AS (SELECT unnest({listed(DISPLAY_ORDER)}) AS category, CAST(unnest(range(1, 8)) AS INTEGER) AS position)"],
     """SELECT b.doc_id, position, b.category, page_index, count(*) AS n FROM boxes b JOIN dim USING (category)
   GROUP BY b.doc_id, position, b.category, page_index
-  UNION ALL SELECT d.doc_id, position, dim.category, NULL, count(b.id) FROM (SELECT DISTINCT doc_id FROM boxes) d CROSS JOIN dim
+  UNION ALL SELECT d.doc_id, position, dim.category, NULL, count(b.id) FROM (SELECT DISTINCT doc_id FROM pages_) d CROSS JOIN dim
     LEFT JOIN boxes b ON b.doc_id = d.doc_id AND b.category = dim.category GROUP BY d.doc_id, position, dim.category""",
 )
 ORACLE["F3_manual_page_tree"] = select(
@@ -548,16 +619,15 @@ ORACLE["F3_manual_page_tree"] = select(
 )
 ORACLE["F4_auto_manual_totals"] = select(
     REVIEWED,
-    """SELECT doc_id, count(*) FILTER (WHERE source = 'auto') AS n_auto, count(*) FILTER (WHERE source <> 'auto') AS n_manual
-  FROM reviewed GROUP BY doc_id""",
+    f"""SELECT d.doc_id, count(*) FILTER (WHERE source = 'auto') AS n_auto, count(*) FILTER (WHERE source <> 'auto') AS n_manual
+  FROM {ALL_DOCS} LEFT JOIN reviewed r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 ORACLE["F5_active_categories"] = select(
     CORPUS_BOXES, "SELECT doc_id, category, count(*) AS n FROM boxes WHERE enabled GROUP BY doc_id, category"
 )
 ORACLE["F6_audit_status"] = select(
     [*CORPUS_BOXES, masked(), LEAKS, plan("boxes")],
-    f"""SELECT doc_id, CASE WHEN leaks = 0 THEN 'ok' ELSE 'leaks' END AS status, pages_affected, leaks FROM ({REPORT}) r
-  WHERE total_boxes > 0 OR leaks > 0""",
+    f"""SELECT doc_id, CASE WHEN leaks = 0 THEN 'ok' ELSE 'leaks' END AS status, pages_affected, leaks FROM ({REPORT}) r""",
 )
 _LABEL = "CASE category " + " ".join(f"WHEN {quoted(c)} THEN {quoted(v)}" for c, v in LABELS.items()) + " END"
 ORACLE["F7_category_labels"] = select(
@@ -603,11 +673,20 @@ ORACLE["H2_size_budget"] = """SELECT doc_id, round(n_chars * 300 / CAST(1048576
 
 # ---- scans ---------------------------------------------------------------------------------------------
 
+# Scan 1 took all pages with all rules, scan 2 those of even documents with two; a page's results are its newest scan's.
 ORACLE["J3_latest_scan_wins"] = select(
-    [*CORPUS_LINES, candidates(), "twice AS (SELECT doc_id, page_index FROM cand WHERE doc_id % 2 = 0 AND category IN ('email', 'phone'))"],
-    """SELECT CAST(2 AS BIGINT) AS scan_seq, doc_id, page_index, line_no, category, "start" FROM cand
-  WHERE doc_id % 2 = 0 AND category IN ('email', 'phone')
-  UNION ALL SELECT 1, doc_id, page_index, line_no, category, "start" FROM cand
-  WHERE (doc_id, page_index) NOT IN (SELECT doc_id, page_index FROM twice)""",
+    [
+        *CORPUS_LINES,
+        candidates(),
+        """scans AS (
+  SELECT doc_id, page_index, CAST(1 AS BIGINT) AS scan_seq FROM pages_ UNION ALL SELECT doc_id, page_index, 2 FROM pages_ WHERE doc_id % 2 = 0
+)""",
+        """results AS (
+  SELECT CAST(1 AS BIGINT) AS scan_seq, * FROM cand
+  UNION ALL SELECT 2, * FROM cand WHERE doc_id % 2 = 0 AND category IN ('email', 'phone')
+)""",
+    ],
+    """SELECT scan_seq, doc_id, page_index, line_no, category, "start" FROM results r
+  WHERE scan_seq = (SELECT max(scan_seq) FROM scans s WHERE s.doc_id = r.doc_id AND s.page_index = r.page_index)""",
 )
 ORACLE["J3_stream_latest_scan_wins"] = ORACLE["J3_latest_scan_wins"]
