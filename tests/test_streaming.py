@@ -1,14 +1,14 @@
 import random
 
 from conftest import SF_SMALL
-from review_model import box_rows, fold
-from test_replay import BOX, MIXED, SCHEMA, add, event, random_log, rows
+from review_model import box_rows, fold, state_rows
+from test_replay import BOX, MIXED, SCHEMA, STATE, add, event, random_log, rows
 
-from veilframe.operators.replay import LOG_TYPES
+from veilframe.operators.replay import LOG_TYPES, replay_review_log
 from veilframe.plans import inputs
 from veilframe.sources.tables import table
 from veilframe.streaming.detect import read_latest_scans, stream_detect, stream_latest_scans, stream_table
-from veilframe.streaming.replay import read_review_boxes, stream_review_replay
+from veilframe.streaming.replay import read_review, read_review_boxes, stream_review_replay
 
 
 def write_in_order(spark, folder, parts):
@@ -37,11 +37,25 @@ def test_review_over_micro_batches(spark, tmp_path):
     assert len(spark.read.parquet(out).select("batch_id").distinct().collect()) == 3
 
 
-def test_late_events_are_dropped_and_counted(spark, tmp_path):
-    parts = [[add(1, 5, "a"), add(1, 6, "b")], [event(1, 4, "delete_box", box_id="a"), event(1, 7, "delete_box", box_id="b")]]
+def test_late_events_are_not_lost(spark, tmp_path):
+    parts = [[add(1, 5, "a"), add(1, 6, "b"), add(2, 1, "c")], [event(1, 4, "toggle_box", box_id="a"), event(1, 7, "delete_box", box_id="b")]]
+    parts += [[event(1, 3, "focus", box_id="b")]]
     out = run(spark, tmp_path, parts)
-    assert [r.id for r in read_review_boxes(spark, out).collect()] == ["a"]
-    assert spark.read.parquet(out).agg({"dropped": "max"}).collect()[0][0] == 1
+    review = read_review(spark, out)
+    expected = fold([e for p in parts for e in p])
+    assert rows(review.boxes, BOX) == sorted(box_rows(expected), key=repr)
+    assert rows(review.state, STATE) == sorted(state_rows(expected), key=repr)
+    # A micro-batch of late events alone is told, too.
+    last = spark.read.parquet(out).where("kind = 'state' AND batch_id = 2").collect()
+    assert [(r.doc_id, r.late) for r in last] == [(1, 2)]
+
+
+def test_categories_without_a_policy(spark, tmp_path):
+    auto = {"op": "add_auto", "category": "orderNo"}
+    events = [add(1, 0, "a", **auto), event(1, 1, "toggle_box", box_id="a"), event(1, 2, "toggle_category", category="orderNo")]
+    streamed = read_review(spark, run(spark, tmp_path, [events]))
+    batch = replay_review_log(spark.createDataFrame([tuple(e[n] for n in LOG_TYPES) for e in events], SCHEMA))
+    assert rows(streamed.boxes, BOX) == rows(batch.boxes, BOX) and rows(streamed.state, STATE) == rows(batch.state, STATE)
 
 
 def test_detection_picks_up_where_it_stopped(spark, tmp_path):
@@ -60,10 +74,16 @@ def test_detection_picks_up_where_it_stopped(spark, tmp_path):
 
 def test_latest_scan_over_micro_batches(spark, tmp_path):
     source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
-    schema = "doc_id bigint, page_index int, scan_seq bigint, v string"
-    for part in ([(1, 0, 2, "new"), (2, 0, 1, "only")], [(1, 0, 1, "old"), (1, 1, 3, "other page")], [(2, 0, 4, "x"), (2, 0, 4, "y")]):
+    schema = "doc_id bigint, page_index int, scan_seq bigint, category string"
+    parts = [
+        [(1, 0, 2, "new"), (1, 0, 2, None), (2, 0, 1, "only"), (3, 0, 1, "gone")],
+        [(1, 0, 1, "old"), (1, 0, 1, None), (1, 1, 3, "other page")],
+        # The newest scan of document 3 found nothing.
+        [(2, 0, 4, "x"), (2, 0, 4, "y"), (3, 0, 5, None)],
+    ]
+    for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     arriving = stream_table(spark, source, spark.read.parquet(source).schema, max_files=1)
     stream_latest_scans(arriving, out, marks).awaitTermination()
-    got = sorted((r.doc_id, r.page_index, r.v) for r in read_latest_scans(spark, out).collect())
+    got = sorted((r.doc_id, r.page_index, r.category) for r in read_latest_scans(spark, out).collect())
     assert got == [(1, 0, "new"), (1, 1, "other page"), (2, 0, "x"), (2, 0, "y")]

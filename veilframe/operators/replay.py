@@ -371,7 +371,8 @@ def _effective(walked: DataFrame) -> DataFrame:
 
 def _final_boxes(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     op = F.col("op")
-    position = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category")) - 1
+    place = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category"))
+    position = F.when(place > 0, place - 1)
     policy_on = F.coalesce(F.getbit(F.col("policy"), position.cast("int")) == 0, F.lit(True))
 
     adds = (*SOURCE_OF_ADD, "rescan_box")

@@ -445,6 +445,8 @@ ORACLE["D14_select_and_focus"] = select(
     + " FROM final",
     recursive=True,
 )
+ORACLE["J2_stream_state"] = ORACLE["D14_select_and_focus"]
+ORACLE["J2_stream_late_events"] = ORACLE["D12_replay_review_log"]
 ORACLE["D15_dedupe_by_id"] = select(
     [LOG],
     """SELECT doc_id, box_id, seq, op, category, page_index, x0, y0, x1, y1 FROM (

@@ -487,13 +487,30 @@ def _(spark, sf):
     return spark.read.parquet(out).select(*MATCH_COLUMNS)
 
 
-@query("J2_stream_review_replay")
-def _(spark, sf):
-    schema = table(spark, sf, "events").schema
-    log = review_log(stream_detect.stream_table(spark, sf, schema, "events.parquet"))
+def _reviewed_in_stream(spark, sf, folder, pattern, max_files):
+    log = review_log(stream_detect.stream_table(spark, folder, table(spark, sf, "events").schema, pattern, max_files))
     out, marks = shared_folder(spark, "stream-review"), shared_folder(spark, "stream-review-marks")
     stream_replay.stream_review_replay(log, out, marks).awaitTermination()
-    return flat(stream_replay.read_review_boxes(spark, out), *BOX_OUT)
+    return stream_replay.read_review(spark, out)
+
+
+@query("J2_stream_review_replay")
+def _(spark, sf):
+    return flat(_reviewed_in_stream(spark, sf, sf, "events.parquet", 1000).boxes, *BOX_OUT)
+
+
+@query("J2_stream_state")
+def _(spark, sf):
+    state = _reviewed_in_stream(spark, sf, sf, "events.parquet", 1000).state
+    return flat(state, *state.columns)
+
+
+@query("J2_stream_late_events")
+def _(spark, sf):
+    """Events spread over files by hash, one file a micro-batch: most come after later ones of their document."""
+    mixed = shared_folder(spark, "events-mixed")
+    table(spark, sf, "events").repartition(3, F.xxhash64("event_id")).write.parquet(mixed)
+    return flat(_reviewed_in_stream(spark, sf, mixed, "*.parquet", 1).boxes, *BOX_OUT)
 
 
 def _two_scans(spark, sf):

@@ -1,17 +1,20 @@
 """Review events as a stream: boxes per document are kept up to date while events arrive.
 
 State is keyed by document. What one micro-batch holds of a document is bounded by the source's admission
-limit (``max_files`` of ``stream_table``). Events are applied in ``seq`` order within a micro-batch; an event
-that is not newer than the last one applied to its document is dropped and counted.
+limit (``max_files`` of ``stream_table``). Events are applied in ``seq`` order within a micro-batch. An event
+that is not newer than the last one applied to its document is late: it is counted and not applied, but no event is
+lost, since all are kept beside the results. ``read_review`` takes documents without late events as the stream left
+them, and replays the kept events of the others with the batch operator.
 
 Undo steps are kept as changes, not as copies of all boxes: a step lists the boxes it changed, with their
-values on both sides. Output is the boxes a micro-batch changed.
+values on both sides. Output is, for each micro-batch, its events, the boxes it changed, and the state of every
+document it touched.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -20,19 +23,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..fixed_values import UNDO_DEPTH
+from ..fixed_values import DISPLAY_ORDER, UNDO_DEPTH
 from ..operators.boxes import AUTO, BOX_TYPES, MANUAL_RECT, as_boxes, last_write_wins
-from ..operators.replay import MUTATIONS, REDO, RESET, SOURCE_OF_ADD, UNDO
+from ..operators.replay import LOG_TYPES, MUTATIONS, REDO, RESET, SOURCE_OF_ADD, UNDO, Replayed, replay_review_log
+from ..session import stacked
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEPT = ("page_index", "x0", "y0", "x1", "y1", "source", "category", "label", "enabled")
+# Rows are of three kinds: ``event`` (``version`` is its seq), ``box`` and ``state``.
 _OUT = {
+    "kind": "string",
     "doc_id": "bigint",
     "id": "string",
+    "op": "string",
     **{n: BOX_TYPES[n] for n in _KEPT},
     "present": "boolean",
     "version": "bigint",
-    "dropped": "bigint",
+    "late": "bigint",
+    "selected_box_id": "string",
+    "focus_count": "bigint",
+    "undo_left": "bigint",
+    "redo_left": "bigint",
+    "off": "string",
 }
 _TEXT = StructType([StructField("v", StringType())])
 
@@ -80,13 +92,13 @@ class _Table:
 class ReviewStep:
     """Applies events to one document's boxes; ``changed`` collects the ids it touched."""
 
-    def __init__(self, head: dict[str, Any], boxes, steps) -> None:
-        self.head, self.boxes, self.steps = head, boxes, steps
+    def __init__(self, head: dict[str, Any], boxes, steps, categories: Sequence[str] = DISPLAY_ORDER) -> None:
+        self.head, self.boxes, self.steps, self.categories = head, boxes, steps, categories
         self.changed: set[str] = set()
 
     @staticmethod
     def new_head() -> dict[str, Any]:
-        return {"seq": -1, "dropped": 0, "selected": None, "focus": 0, "off": [], "depth": 0, "undo": 0, "redo": 0}
+        return {"seq": -1, "late": 0, "selected": None, "focus": 0, "off": [], "depth": 0, "undo": 0, "redo": 0}
 
     def _store(self, values: dict[str, Box]) -> None:
         for box_id, box in values.items():
@@ -160,14 +172,14 @@ class ReviewStep:
     def apply(self, e: dict[str, Any]) -> None:
         h, op, box_id = self.head, e["op"], e["box_id"]
         if e["seq"] <= h["seq"]:
-            h["dropped"] += 1
+            h["late"] += 1
             return
         h["seq"] = e["seq"]
         if op == RESET:
             self.changed.update(b for b, _ in self.boxes.items())
             self.boxes.clear()
             self.steps.clear()
-            self.head = {**self.new_head(), "seq": h["seq"], "dropped": h["dropped"]}
+            self.head = {**self.new_head(), "seq": h["seq"], "late": h["late"]}
         elif op == UNDO:
             self._back()
         elif op == REDO:
@@ -189,8 +201,10 @@ class ReviewStep:
         if op in SOURCE_OF_ADD:
             return {box_id: self._made(e, SOURCE_OF_ADD[op], True)}, h["selected"]
         if op == "toggle_category":
-            on = e["category"] in h["off"]
-            h["off"] = sorted(set(h["off"]) ^ {e["category"]})
+            known = e["category"] in self.categories  # others have no policy: always on
+            on = not known or e["category"] in h["off"]
+            if known:
+                h["off"] = sorted(set(h["off"]) ^ {e["category"]})
             mine = {b: v for b, v in self.boxes.items() if v["source"] == AUTO and v["category"] == e["category"]}
             return {b: {**v, "enabled": on} for b, v in mine.items()}, h["selected"]
         if op == "delete_box":
@@ -205,6 +219,9 @@ class ReviewStep:
 
 
 class _Processor(StatefulProcessor):
+    def __init__(self, categories: Sequence[str]) -> None:
+        self.categories = tuple(categories)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", _TEXT)
         self.boxes = handle.getMapState("boxes", _TEXT, _TEXT)
@@ -213,10 +230,13 @@ class _Processor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         head = json.loads(self.head.get()[0]) if self.head.exists() else ReviewStep.new_head()
         boxes, steps = _Table(self.boxes), _Table(self.steps)
-        review = ReviewStep(head, boxes, steps)
+        review = ReviewStep(head, boxes, steps, self.categories)
         batch = pd.concat(list(rows)).sort_values("seq")
         plain = batch.astype(object).where(batch.notna(), None)
+        out = []
         for event in plain.to_dict("records"):
+            kept = {n: event[n] for n in ("op", "category", "page_index", "x0", "y0", "x1", "y1", "label", "enabled")}
+            out.append(dict.fromkeys(_OUT) | kept | {"kind": "event", "doc_id": key[0], "id": event["box_id"], "version": event["seq"]})
             for name, kind in (("seq", int), ("page_index", int), ("enabled", bool)):
                 if event[name] is not None:
                     event[name] = kind(event[name])
@@ -224,48 +244,62 @@ class _Processor(StatefulProcessor):
         boxes.flush()
         steps.flush()
         self.head.update((json.dumps(review.head),))
-        out = []
+        h = review.head
         for box_id in sorted(review.changed):
             box = boxes.get(box_id)
-            row = dict.fromkeys(_OUT) | (box or {})
-            row |= {"doc_id": key[0], "id": box_id, "present": box is not None}
-            row |= {"version": review.head["seq"], "dropped": review.head["dropped"]}
-            out.append(row)
+            row = dict.fromkeys(_OUT) | (box or {}) | {"kind": "box", "doc_id": key[0], "id": box_id}
+            out.append(row | {"present": box is not None, "version": h["seq"]})
+        state = {"kind": "state", "doc_id": key[0], "version": h["seq"], "late": h["late"], "selected_box_id": h["selected"]}
+        state |= {"focus_count": h["focus"], "undo_left": h["undo"], "redo_left": h["redo"], "off": json.dumps(h["off"])}
+        out.append(dict.fromkeys(_OUT) | state)
         frame = pd.DataFrame(out, columns=list(_OUT))
-        frame["page_index"] = frame["page_index"].astype("Int32")
-        frame["enabled"] = frame["enabled"].astype("boolean")
-        for name in ("x0", "y0", "x1", "y1"):
-            frame[name] = frame[name].astype("float64")
-        for name in ("doc_id", "version", "dropped"):
-            frame[name] = frame[name].astype("int64")
-        frame["present"] = frame["present"].astype("bool")
-        yield frame
+        types = {"int": "Int32", "bigint": "Int64", "boolean": "boolean", "double": "float64", "string": "object"}
+        yield frame.astype({n: types[t] for n, t in _OUT.items()})
 
     def close(self) -> None:
         pass
 
 
-def review_changes(log: DataFrame) -> DataFrame:
-    """Streaming log to the boxes each micro-batch changed."""
+def review_changes(log: DataFrame, categories: Sequence[str] = DISPLAY_ORDER) -> DataFrame:
+    """Streaming log to each micro-batch's events, changed boxes and states."""
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = ", ".join(f"{n} {t}" for n, t in _OUT.items())
     return log.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=_Processor(), outputStructType=schema, outputMode="Update", timeMode="None"
+        statefulProcessor=_Processor(categories), outputStructType=schema, outputMode="Update", timeMode="None"
     )
 
 
-def stream_review_replay(log: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Append what changed to ``output``; a micro-batch that is run again replaces its own files."""
+def stream_review_replay(
+    log: DataFrame, output: str, checkpoint: str, categories: Sequence[str] = DISPLAY_ORDER
+) -> StreamingQuery:
+    """Append what came and what changed to ``output``; a micro-batch that is run again replaces its own files."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{output}/batch_id={batch_id}")
 
-    writer = review_changes(log).writeStream.outputMode("update").foreachBatch(keep)
+    writer = review_changes(log, categories).writeStream.outputMode("update").foreachBatch(keep)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_review(spark: SparkSession, output: str, categories: Sequence[str] = DISPLAY_ORDER) -> Replayed:
+    """Current boxes and state of every document from what ``stream_review_replay`` has written, as the batch replay of the
+    same events gives them, in whatever order they came."""
+    rows = spark.read.parquet(output).drop("batch_id")
+    states = rows.where("kind = 'state'")
+    late = states.where("late > 0").select("doc_id").distinct()
+    events = rows.where("kind = 'event'").join(late, "doc_id", "left_semi")
+    names = {"seq": "version", "box_id": "id"}
+    again = replay_review_log(events.select(*[F.col(names.get(n, n)).alias(n) for n in LOG_TYPES]), tuple(categories))
+
+    newest = last_write_wins(rows.where("kind = 'box'").join(late, "doc_id", "left_anti"), ["doc_id", "id"], "version")
+    boxes = stacked(as_boxes(newest.where(F.col("present"))), again.boxes)
+
+    last = last_write_wins(states.join(late, "doc_id", "left_anti"), ["doc_id"], "version")
+    off = F.from_json("off", "array<string>")
+    on = [(~F.array_contains(off, c)).alias(f"{c}_on") for c in categories]
+    plain = last.select("doc_id", "selected_box_id", "focus_count", "undo_left", "redo_left", *on)
+    return Replayed(boxes, stacked(plain, again.state))
+
+
 def read_review_boxes(spark: SparkSession, output: str) -> DataFrame:
-    """Current boxes from what ``stream_review_replay`` has written."""
-    changes = spark.read.parquet(output).drop("batch_id")
-    newest = last_write_wins(changes, ["doc_id", "id"], "version")
-    return as_boxes(newest.where(F.col("present")))
+    return read_review(spark, output).boxes
