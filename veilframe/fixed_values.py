@@ -12,20 +12,16 @@ CARD = r"\b(?:\d[ -]?){13,19}\b"
 BUSINESS_NO = r"\b(\d{3})-?(\d{2})-?(\d{5})\b"
 ACCOUNT = r"(계좌(?:번호)?|입금|예금주)[^\d\n]{0,30}((?:\d[\s-]?){6,20})"
 
-# Address vocabulary, longest form first.
-PROVINCES = (
-    "서울특별시|서울시|서울|부산광역시|부산시|부산|대구광역시|대구시|대구|인천광역시|인천시|인천|"
-    "광주광역시|광주시|광주|대전광역시|대전시|대전|울산광역시|울산시|울산|세종특별자치시|세종시|세종|"
-    "경기도|경기|강원특별자치도|강원도|강원|충청북도|충북|충청남도|충남|전북특별자치도|전라북도|전북|"
-    "전라남도|전남|경상북도|경북|경상남도|경남|제주특별자치도|제주도|제주"
+ADDRESS = (
+    r"(?<![가-힣A-Za-z])(?:"
+    r"서울특별시|서울시|서울|부산광역시|부산시|부산|대구광역시|대구시|대구|인천광역시|인천시|인천|광주광역시|"
+    r"광주시|광주|대전광역시|대전시|대전|울산광역시|울산시|울산|세종특별자치시|세종시|세종|경기도|경기|"
+    r"강원특별자치도|강원도|강원|충청북도|충북|충청남도|충남|전북특별자치도|전라북도|전북|전라남도|전남|경상북도|"
+    r"경북|경상남도|경남|제주특별자치도|제주도|제주"
+    r")[\s,]*[가-힣]{1,12}(?:시|군|구)"
+    r"(?:[\s,]*(?:[가-힣A-Za-z0-9]+(?:동|읍|면|리|로|길|가|호|층|번지|번길|아파트|빌딩|타워|오피스텔|빌라|단지)"
+    r"|\d+(?:-\d+)?(?=[\s,()]|$))){1,6}(?:\s*\([^)]{1,80}\))?"
 )
-DISTRICT = r"[가-힣]{1,12}(?:시|군|구)"
-DETAIL_ENDINGS = "동|읍|면|리|로|길|가|호|층|번지|번길|아파트|빌딩|타워|오피스텔|빌라|단지"
-BARE_NUMBER = r"\d+(?:-\d+)?(?=[\s,()]|$)"
-SEPARATORS = r"[\s,]*"
-BRACKETED_TAIL = r"\s*\([^)]{1,80}\)"
-NOT_INSIDE_A_WORD = r"(?<![가-힣A-Za-z])"
-MIN_DETAILS, MAX_DETAILS = 1, 6
 
 # Checksum weights.
 RRN_WEIGHTS = (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)

@@ -102,16 +102,12 @@ AnyRule = Rule | PandasRule
 # An e-mail match starts where a run of local-part characters starts or where the last match ended. Saying
 # so changes no match and keeps the search linear on long runs without an @.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + V.EMAIL
-_DETAIL = f"(?:[가-힣A-Za-z0-9]+(?:{V.DETAIL_ENDINGS})|{V.BARE_NUMBER})"
-_ADDRESS = (
-    f"{V.NOT_INSIDE_A_WORD}(?:{V.PROVINCES}){V.SEPARATORS}{V.DISTRICT}"
-    f"(?:{V.SEPARATORS}{_DETAIL}){{{V.MIN_DETAILS},{V.MAX_DETAILS}}}(?:{V.BRACKETED_TAIL})?"
-)
 
 # Six digits with at most one separator between neighbours: every number detector needs at least that.
 _DIGIT_RUN = to_java(r"\d(?:[\s-]?\d){5}")
 _HANGUL = "[가-힣]"
-_PROVINCE_STARTS = tuple(dict.fromkeys(name[:2] for name in V.PROVINCES.split("|")))
+PROVINCES = tuple(V.ADDRESS.split("(?:")[1].split(")")[0].split("|"))
+_PROVINCE_STARTS = tuple(dict.fromkeys(name[:2] for name in PROVINCES))
 
 EMAIL = Rule("email", to_java(_EMAIL), conf_ok=V.CONFIDENCE["email"], needs_text=("@",))
 PHONE = Rule(
@@ -158,7 +154,7 @@ ACCOUNT = Rule(
 )
 ADDRESS = Rule(
     "address",
-    to_java(_ADDRESS),
+    to_java(V.ADDRESS),
     conf_ok=V.CONFIDENCE["address"],
     needs_regex=_HANGUL,
     needs_text=_PROVINCE_STARTS,

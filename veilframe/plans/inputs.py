@@ -135,6 +135,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         (d % 4 == 1).alias("needs_password"),
         F.when(d % 3 == 1, True).when(d % 3 == 2, False).alias("password_ok"),
         (d % 6).cast("int").alias("attempts"),
+        (d % 7 == 3).alias("cancelled"),
+        F.when(d % 11 == 5, "bad xref").alias("open_error"),
     )
 
 

@@ -17,6 +17,8 @@ from ..fixed_values import (
     RRN_WEIGHTS,
 )
 from ..functions.dialect import to_re2
+from ..operators.rules import PROVINCES
+from ..sources.forms import address_sql
 from ..sources.review_log import OPS, RESCAN_EVERY, RESET_EVERY
 
 ORACLE: dict[str, str] = {}
@@ -41,18 +43,17 @@ def select(ctes: list[str], body: str, recursive: bool = False) -> str:
 # ---- texts ---------------------------------------------------------------------------------------------
 
 _K = "CAST(c_custkey AS BIGINT)"
+_ADDRESS_TEXT, _ADDRESS_TRUTH = address_sql(f"{listed(PROVINCES)}[CAST(k % {len(PROVINCES)} AS INTEGER) + 1]")
 FORMS = f"""k AS (SELECT {_K} AS k FROM customer),
 forms AS (
   SELECT k * 6 AS form_id, 'rrn' AS kind, '주민번호 ' || lpad(CAST(k * 7919 % 1000000 AS VARCHAR), 6, '0')
     || CASE WHEN k % 2 = 0 THEN '-' ELSE '' END
     || lpad(CAST((k * 104729 + 1) % 10000000 AS VARCHAR), 7, '0') AS text, NULL AS expected FROM k
-  UNION ALL SELECT k * 6 + 1, 'businessNo', '사업자번호 ' || lpad(CAST(k * 31 % 1000 AS VARCHAR), 3, '0') || '-'
-    || lpad(CAST(k * 17 % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(k * 7907 % 100000 AS VARCHAR), 5, '0'), NULL FROM k
-  UNION ALL SELECT k * 6 + 2, 'account', CASE WHEN k % 3 = 0 THEN '주문번호: ' ELSE '계좌번호: ' END || '110-'
+  UNION ALL SELECT k * 6 + 1, 'businessNo', '사업자번호 ' || lpad(CAST(k * 31 % 1000 AS VARCHAR), 3, '0')
+    || CASE WHEN k % 3 = 0 THEN '' ELSE '-' END || lpad(CAST(k * 17 % 100 AS VARCHAR), 2, '0') || CASE WHEN k % 3 = 0 THEN '' ELSE '-' END || lpad(CAST(k * 7907 % 100000 AS VARCHAR), 5, '0'), NULL FROM k
+  UNION ALL SELECT k * 6 + 2, 'account', ['주문번호: ', '계좌번호: ', '계좌 ', '입금 ', '예금주 홍길동 '][CAST(k % 5 AS INTEGER) + 1] || '110-'
     || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(k * 7919 % 1000000 AS VARCHAR), 6, '0'), NULL FROM k
-  UNION ALL SELECT k * 6 + 3, 'address', '주소: 서울특별시 강남구 '
-    || CASE WHEN k % 4 = 0 THEN '사람들이 많다' ELSE '테헤란로 ' || CAST(k + 1 AS VARCHAR) END,
-    CASE WHEN k % 4 <> 0 THEN '서울특별시 강남구 테헤란로 ' || CAST(k + 1 AS VARCHAR) END FROM k
+  UNION ALL SELECT k * 6 + 3, 'address', {_ADDRESS_TEXT}, {_ADDRESS_TRUTH} FROM k
   UNION ALL SELECT k * 6 + 4, 'phone', '전화 010-' || lpad(CAST(k * 37 % 10000 AS VARCHAR), 4, '0') || '-'
     || lpad(CAST(k * 7919 % 10000 AS VARCHAR), 4, '0'), NULL FROM k
   UNION ALL SELECT k * 6 + 5, 'email', '메일 user' || CAST(k AS VARCHAR) || '@example.com 입니다', NULL FROM k
@@ -169,7 +170,7 @@ ORACLE["C15_detect_page"] = select([*BOOK_LINES, candidates()], f"{MATCHES} WHER
 ORACLE["C14_candidate_id"] = select(
     [*CORPUS_LINES, candidates()], f'SELECT {ID} AS id, doc_id, page_index, line_no, category, "start" FROM cand'
 )
-ORACLE["J1_stream_detect"] = select([DOCUMENTS, lines(), candidates()], MATCHES)
+ORACLE["J1_stream_detect"] = select([*CORPUS_LINES, candidates()], MATCHES)
 ORACLE["K1_register_rule"] = select(
     [
         *CORPUS_LINES,
@@ -208,7 +209,8 @@ for _name, _kind, _ok in (("C8_rrn_checksum", "rrn", rrn_ok), ("C9_biz_checksum"
 ORACLE["C10_luhn"] = select(
     [FORMS],
     f"""SELECT form_id, digits, CAST({luhn_ok('digits')} AS INTEGER) AS ok
-  FROM (SELECT form_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM forms) d WHERE length(digits) > 0""",
+  FROM (SELECT form_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM forms
+    UNION ALL SELECT -1 - CAST(doc_id AS BIGINT), regexp_replace(text, '[^0-9]', '', 'g') FROM documents) d WHERE length(digits) > 0""",
 )
 
 # ---- lines, files, names -------------------------------------------------------------------------------
@@ -223,12 +225,15 @@ ORACLE["A3_intake_triage"] = """WITH f AS (
   SELECT 'doc' || CAST(doc_id AS VARCHAR) AS path,
     CASE WHEN doc_id % 5 = 0 THEN 'text/plain' WHEN doc_id % 5 < 4 THEN 'application/pdf' END AS mime,
     n_chars * 20000 AS len, doc_id % 4 = 1 AS locked,
-    CASE WHEN doc_id % 3 = 1 THEN true WHEN doc_id % 3 = 2 THEN false END AS pw, doc_id % 6 AS attempts FROM documents)
+    CASE WHEN doc_id % 3 = 1 THEN true WHEN doc_id % 3 = 2 THEN false END AS pw, doc_id % 6 AS attempts,
+    doc_id % 7 = 3 AS cancelled, doc_id % 11 = 5 AS broken FROM documents)
 SELECT path, CAST(coalesce(mime = 'application/pdf', false) AS INTEGER) AS accepted,
   CAST(len > 209715200 AS INTEGER) AS large, CAST(floor(len / 1048576.0 + 0.5) AS BIGINT) AS size_mb,
-  CASE WHEN NOT coalesce(mime = 'application/pdf', false) THEN 'rejected' WHEN NOT locked THEN 'ready'
-    WHEN pw THEN 'ready' WHEN attempts > 3 THEN 'error' WHEN pw IS NULL THEN 'PASSWORD_REQUIRED'
-    ELSE 'PASSWORD_WRONG' END AS status FROM f"""
+  CASE WHEN NOT coalesce(mime = 'application/pdf', false) THEN 'rejected' WHEN broken THEN 'error' WHEN NOT locked THEN 'ready'
+    WHEN pw THEN 'ready' WHEN attempts > 3 OR cancelled THEN 'error' WHEN pw IS NULL THEN 'PASSWORD_REQUIRED'
+    ELSE 'PASSWORD_WRONG' END AS status,
+  CASE WHEN NOT coalesce(mime = 'application/pdf', false) THEN NULL WHEN broken THEN 'bad xref' WHEN NOT locked OR pw THEN NULL
+    WHEN attempts > 3 THEN 'too many attempts' WHEN cancelled THEN 'cancelled' END AS reason FROM f"""
 ORACLE["A4_page_meta"] = """SELECT CAST(page_id AS BIGINT) AS doc_id, 0 AS page_index, CAST(595 AS DOUBLE) AS width_pt,
   CAST(842 + page_id % 2 AS DOUBLE) AS height_pt FROM pages"""
 ORACLE["A5_normalize_rotation"] = """SELECT CAST(page_id AS BIGINT) AS doc_id, 0 AS page_index,
@@ -433,9 +438,10 @@ _FINAL_BOXES = """SELECT doc_id, b.id, b.page_index, b.x0, b.y0, b.x1, b.y1, b.s
 ORACLE["D12_replay_review_log"] = select([LOG, REPLAY], _FINAL_BOXES, recursive=True)
 ORACLE["J2_stream_review_replay"] = ORACLE["D12_replay_review_log"]
 ORACLE["D13_reset"] = select(
-    [LOG],
-    """SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n_boxes, CAST(0 AS BIGINT) AS undo_left, CAST(0 AS BIGINT) AS redo_left,
-  CAST(0 AS BIGINT) AS focus_count FROM log WHERE op = 'reset'""",
+    [LOG, REPLAY],
+    """SELECT doc_id, CAST(len(boxes) AS BIGINT) AS n_boxes, CAST(len(past) AS BIGINT) AS undo_left, CAST(len(future) AS BIGINT) AS redo_left,
+  focus AS focus_count FROM final WHERE doc_id IN (SELECT doc_id FROM log WHERE op = 'reset')""",
+    recursive=True,
 )
 ORACLE["D14_select_and_focus"] = select(
     [LOG, REPLAY],
@@ -669,7 +675,10 @@ ORACLE["G5_move_box"] = select([GEO], "SELECT k, x0 + dx AS x0, y0 + dy AS y0, x
 _ALLOWED = " OR ".join(f"starts_with(u, {quoted(a)})" for a in ALLOWED_URL_PREFIXES)
 ORACLE["H1_external_url_audit"] = f"""SELECT page_id, field, u AS url FROM (
   SELECT page_id, 'url' AS field, unnest(regexp_extract_all(url, {quoted(to_re2(ABSOLUTE_URL))})) AS u FROM pages
-  UNION ALL SELECT page_id, 'html', unnest(regexp_extract_all(html, {quoted(to_re2(ABSOLUTE_URL))})) FROM pages) f WHERE NOT ({_ALLOWED})"""
+  UNION ALL SELECT page_id, 'html', unnest(regexp_extract_all(html, {quoted(to_re2(ABSOLUTE_URL))})) FROM pages
+  UNION ALL SELECT page_id, 'markup', unnest(CASE WHEN page_id % 2 = 0
+    THEN ['http://www.w3.org/2000/svg', 'https://react.dev/errors/' || page_id, 'https://cdn' || page_id || '.test/x.js']
+    ELSE ['http://www.w3.org/2000/svg', 'http://www.w3.org/1999/xlin'] END) FROM pages) f WHERE NOT ({_ALLOWED})"""
 ORACLE["H2_size_budget"] = """SELECT doc_id, round(n_chars * 300 / CAST(1048576 AS DOUBLE), 2) AS size_mib, CAST(18 AS DOUBLE) AS budget_mib,
   CAST(n_chars * 300 > 18874368 AS INTEGER) AS over_budget FROM documents"""
 

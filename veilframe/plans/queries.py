@@ -15,10 +15,10 @@ from ..operators.replay import RESET, replay_review_log
 from ..operators.rules import PandasRule, Rule, pick_rules, register_rule
 from ..session import shared_folder, stacked
 from ..sources import files
-from ..sources.forms import korean_forms
+from ..sources.forms import form_pages, korean_forms
 from ..sources.grid import grid_glyphs
 from ..sources.review_log import review_log
-from ..sources.tables import LINE_KEY, lines_of, pages_from_conversations, table
+from ..sources.tables import LINE_KEY, lines_of, pages_from_conversations, pages_from_documents, table
 from ..streaming import detect as stream_detect, replay as stream_replay
 from . import inputs
 from .anonymize import anonymize, anonymize_pages, report_of_pages
@@ -59,7 +59,7 @@ def _(spark, sf):
 
 @query("A3_intake_triage")
 def _(spark, sf):
-    return flat(intake.intake_triage(inputs.files(spark, sf)), "path", "accepted", "large", "size_mb", "status")
+    return flat(intake.intake_triage(inputs.files(spark, sf)), "path", "accepted", "large", "size_mb", "status", "reason")
 
 
 @query("A4_page_meta")
@@ -154,7 +154,8 @@ def _(spark, sf):
 @query("C10_luhn")
 def _(spark, sf):
     forms = korean_forms(table(spark, sf, "customer"))
-    d = forms.select("form_id", F.expr(checksums.digits_of("text")).alias("digits")).where(F.length("digits") > 0)
+    texts = stacked(forms.select("form_id", "text"), inputs.documents(spark, sf).selectExpr("-1 - bigint(doc_id) AS form_id", "text"))
+    d = texts.select("form_id", F.expr(checksums.digits_of("text")).alias("digits")).where(F.length("digits") > 0)
     return d.select("form_id", "digits", F.expr(checksums.luhn("digits")).cast("int").alias("ok"))
 
 
@@ -264,11 +265,10 @@ def _(spark, sf):
 @query("D13_reset")
 def _(spark, sf):
     log = review_log(table(spark, sf, "events"))
-    resets = log.where(F.col("op") == RESET).groupBy("doc_id").agg(F.max("seq").alias("last_reset"))
-    until = log.join(resets, "doc_id").where(F.col("seq") <= F.col("last_reset")).drop("last_reset")
-    replayed = replay_review_log(until)
+    replayed = replay_review_log(log)
     counts = replayed.boxes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_boxes"))
     state = replayed.state.join(counts, "doc_id", "left").fillna(0, ["n_boxes"])
+    state = state.join(log.where(F.col("op") == RESET).select("doc_id"), "doc_id", "left_semi")
     return flat(state, "doc_id", "n_boxes", "undo_left", "redo_left", "focus_count")
 
 
@@ -465,7 +465,14 @@ def _(spark, sf):
 
 @query("H1_external_url_audit")
 def _(spark, sf):
-    return audit.external_url_audit(table(spark, sf, "pages"), "page_id", ["url", "html"])
+    pages = table(spark, sf, "pages").withColumn(
+        "markup",
+        F.expr(
+            """'<svg xmlns="http://www.w3.org/2000/svg">' || if(page_id % 2 = 0, "<a href='https://react.dev/errors/" || page_id ||
+            "'><script src='https://cdn" || page_id || ".test/x.js'>", '<use href="http://www.w3.org/1999/xlin">')"""
+        ),
+    )
+    return audit.external_url_audit(pages, "page_id", ["url", "html", "markup"])
 
 
 @query("H2_size_budget")
@@ -479,9 +486,10 @@ def _(spark, sf):
 
 @query("J1_stream_detect")
 def _(spark, sf):
-    schema = table(spark, sf, "documents").select("doc_id", "text").schema
-    arriving = stream_detect.stream_table(spark, sf, schema, "documents.parquet")
-    pages = arriving.select("doc_id", F.lit(0).alias("page_index"), "text")
+    def arriving(name, *columns):
+        return stream_detect.stream_table(spark, sf, table(spark, sf, name).select(*columns).schema, f"{name}.parquet")
+
+    pages = stacked(pages_from_documents(arriving("documents", "doc_id", "text")), form_pages(arriving("customer", "c_custkey")))
     out, marks = shared_folder(spark, "stream-detect"), shared_folder(spark, "stream-detect-marks")
     stream_detect.stream_detect(pages, out, marks).awaitTermination()
     return spark.read.parquet(out).select(*MATCH_COLUMNS)
