@@ -6,10 +6,13 @@ from veilframe.functions.matching import mask_spans
 from veilframe.operators import boxes as bx
 from veilframe.operators.detect import detect_pages, run_detectors
 from veilframe.operators.extract import extract_lines, extract_spans, spans_of_lines
+from veilframe.operators.keyfilter import with_maybe
 from veilframe.operators.redact import clear_metadata, merge_spans, post_check, redact_text, text_spans
-from veilframe.operators.report import apply_report, redaction_plan
+from veilframe.operators.report import apply_report, categories_of, category_page_tree, redaction_plan
+from veilframe.operators.rules import Rule, pick_rules, register_rule
 from veilframe.operators.spatial import offsets_from_geometry, redact_glyphs, text_select_boxes
 from veilframe.plans.anonymize import anonymize, anonymize_pages, report_of_pages
+from veilframe.session import materialize
 from veilframe.sources.grid import grid_glyphs, grid_lines, grid_spans
 from veilframe.sources.tables import lines_of
 
@@ -176,6 +179,56 @@ def test_boxes_carry_no_text(spark):
     assert "matched" not in made.columns and "text" not in made.columns
 
 
+def test_pages_without_a_box_are_not_shuffled(spark):
+    p = spark.range(3000).selectExpr("id AS doc_id", "0 AS page_index", "concat('text ', id) AS text")
+    box = spark.sql("SELECT id * 100 AS doc_id, 'm' id, 0 page_index, 0 line_no, 0 start, 4 `end` FROM range(5)")
+    made = materialize(bx.as_boxes(box, enabled=F.lit(True), source=F.lit("auto")), "boxes")
+    out = redact_text(p, text_spans(made), made.select("doc_id", "page_index"))
+    assert {r.doc_id for r in out.where("text LIKE '████%'").collect()} == {0, 100, 200, 300, 400}
+    assert out.count() == 3000
+    marked = with_maybe(p, made, ["doc_id", "page_index"])
+    assert 5 <= marked.where("maybe").count() <= 20
+    plan = marked.where("NOT maybe")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_report_counts_what_was_masked(spark):
+    """A drawn box without geometry to place it by masks nothing, and a moved box masks where it is now."""
+    p = pages(spark, "mail a@b.io and secret")
+    lines = grid_lines(lines_of(p))
+    drawn = spark.sql("SELECT 0L doc_id, 'm' id, 0 page_index, 96.0D x0, 0.0D y0, 132.0D x1, 12.0D y1")
+    drawn = bx.as_boxes(drawn, enabled=F.lit(True), source=F.lit("manual-rect"))
+    blind = anonymize(p, drawn)
+    assert blind.pages.collect()[0].text == "mail a@b.io and secret"
+    r = blind.report.collect()[0]
+    assert (r.total_boxes, r.n_manual, r.unplaced, r.status) == (0, 0, 1, "incomplete")
+    seen = anonymize(p, drawn, lines)
+    r = seen.report.collect()[0]
+    assert (r.total_boxes, r.n_manual, r.unplaced, r.status) == (1, 1, 0, "applied")
+    assert seen.pages.collect()[0].text == "mail a@b.io and ██████"
+
+    made = bx.boxes_from_candidates(run_detectors(grid_lines(lines_of(p))))
+    twice = [(1, 600.0), (2, 66.0)]
+    moves = spark.createDataFrame(twice, "seq int, dx double").selectExpr(
+        "0L AS doc_id", "seq", "'move' AS kind", "0 AS handle", "dx", "0.0D AS dy", "1.0D AS scale"
+    )
+    moved = bx.edit_boxes(made, moves.crossJoin(made.select("id")))
+    assert moved.count() == 1 and moved.collect()[0].start is None
+    assert anonymize(p, moved, lines).pages.collect()[0].text == "mail a@b.io and ██████"
+
+
+def test_counts_of_own_categories_add_up(spark):
+    rules = register_rule(Rule("orderNo", "order ([0-9]+)", group=1), pick_rules("email"))
+    p = pages(spark, "order 12 by a@b.io")
+    report = anonymize(p, rules=rules).report.collect()[0]
+    assert (report.total_boxes, report.n_email, report.n_orderNo) == (2, 1, 1)
+    page = anonymize_pages(p, rules)
+    r = report_of_pages(page, categories_of(rules)).collect()[0]
+    assert (r.total_boxes, r.n_email, r.n_orderNo) == (2, 1, 1)
+    tree = category_page_tree(bx.boxes_from_candidates(run_detectors(lines_of(p), rules)), p, categories_of(rules))
+    assert tree.where("page_index IS NULL").agg({"n": "sum"}).collect()[0][0] == 2
+
+
 def test_clear_metadata(spark):
     df = spark.sql("SELECT 1 doc_id, 'T' title, 'P' producer, 'x' other")
     assert clear_metadata(df).collect()[0].asDict() == {"doc_id": 1, "title": "", "producer": "", "other": "x"}

@@ -13,6 +13,7 @@ from ..functions.sqltext import let
 from ..session import stacked
 from ..sources.tables import LINE_KEY
 from .detect import detect_pages
+from .keyfilter import with_maybe
 from .rules import ALL_RULES, AnyRule
 from .spatial import offsets_from_geometry
 
@@ -67,12 +68,17 @@ def _page_with_masks(text: str, entries: str) -> str:
     return let("_ls", f"split({text}, '\\n', -1)", page)
 
 
-def redact_text(pages: DataFrame, spans: DataFrame) -> DataFrame:
+def redact_text(pages: DataFrame, spans: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """Pages with every character the spans cover replaced by the mask; offsets stay valid.
 
     Spans are merged and gathered per page, which bounds what a page gathers by its own text. Pages and
-    gathered spans meet in one join with unique keys on both sides.
+    gathered spans meet in one join with unique keys on both sides. ``touched`` (doc_id, page_index of all spans, as a
+    table that costs little to read) lets pages without a span pass where they lie; only the others are shuffled.
     """
+    if touched is not None:
+        marked = with_maybe(pages, touched, ["doc_id", "page_index"])
+        rest, some = (marked.where(c).drop("maybe") for c in ("NOT maybe", "maybe"))
+        return stacked(rest, redact_text(some, spans))
     per_line = merge_spans(spans).groupBy(*LINE_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     per_page = per_line.groupBy("doc_id", "page_index").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "spans"))).alias("entries")
