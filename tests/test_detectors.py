@@ -1,7 +1,9 @@
 import pytest
+from conftest import SF_SMALL
 
 from veilframe.operators.detect import detect_pages, run_detectors
 from veilframe.operators.rules import ALL_RULES, PandasRule, Rule, all_matches, pick_rules, register_rule
+from veilframe.plans.queries import QUERIES
 
 VECTORS = [
     ("email", "연락처는 hong@example.com 입니다.", ["hong@example.com"]),
@@ -128,6 +130,11 @@ def test_detection_is_one_scan_without_shuffle(spark, tmp_path):
     assert "Exchange" not in plan and "Python" not in plan and "other" not in plan
 
 
+def test_registered_detection_has_no_exchange(spark):
+    plan = QUERIES["C11_run_detectors"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
 def test_null_text(spark):
     lines = spark.createDataFrame([(1, 0, 0, None)], "doc_id bigint, page_index int, line_no int, text string")
     assert run_detectors(lines).count() == 0

@@ -262,6 +262,13 @@ def _(spark, sf):
     return flat(replay_review_log(review_log(table(spark, sf, "events"))).boxes, *BOX_OUT)
 
 
+@query("D12_replay_hot_documents")
+def _(spark, sf):
+    """The same events as the log of four documents, so that each log spans many chunks."""
+    log = review_log(table(spark, sf, "events")).withColumn("doc_id", F.col("doc_id") % 4)
+    return flat(replay_review_log(log, chunk_events=256, fan_in=8).boxes, *BOX_OUT)
+
+
 @query("D13_reset")
 def _(spark, sf):
     log = review_log(table(spark, sf, "events"))
