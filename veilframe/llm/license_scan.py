@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_templates import TEMPLATES
+from .quality_rules import STOP_WORDS
 
 THRESHOLD = 0.8
 
@@ -48,8 +49,8 @@ def compiled(templates: Sequence[tuple[str, str]], threshold: float) -> list[Tem
         # 2 s / (m + n) >= t and s <= min(m, n) bound m, and s from below.
         least, most = math.ceil(threshold * n / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
         left, markers = list(bigrams), []
-        # Longest words first: they are the rarest in other text.
-        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        # Longest words first, common ones last among equals: so markers are rare in other text.
+        for word in sorted(set(words), key=lambda w: (-len(w), w in STOP_WORDS.split(), w)):
             if len(left) < least:
                 break
             markers.append(word)
@@ -62,9 +63,8 @@ def _normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _bigrams(text: Column) -> Column:
-    """Distinct bigrams of a normalized passage."""
-    words = F.split(text, " ")
+def _bigrams(words: Column) -> Column:
+    """Distinct bigrams of a list of words, which is a variable or a column: it is looked into at every place."""
     pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
     return F.array_distinct(pairs)
 
@@ -83,7 +83,8 @@ def scan_licenses(
     Null, empty and other texts without a match have an empty list. Rows stay as they are, repeated ones included.
     """
     table = compiled(templates, threshold)
-    marker = r"(?:" + "|".join(sorted({re.escape(m) for t in table for m in t.markers})) + ")"
+    markers = "|".join(sorted({m for t in table for m in t.markers}))
+    marker = rf"(?<![\p{{L}}\p{{N}}])(?:{markers})(?![\p{{L}}\p{{N}}])"
     text = F.col(text_col)
     numbered = lambda parts, kind: F.transform(
         parts, lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), _normalized(p).alias("words"))
@@ -96,7 +97,8 @@ def scan_licenses(
     )
     # Texts without any marker word are done here.
     some = F.when(F.rlike(F.lower(text), F.lit(marker)), F.filter(passages, lambda p: F.rlike(p["words"], F.lit(marker))))
-    sized = F.transform(some, lambda p: F.struct(p["kind"].alias("kind"), p["no"].alias("no"), _bigrams(p["words"]).alias("bigrams")))
+    split = F.transform(some, lambda p: F.struct(p["kind"].alias("kind"), p["no"].alias("no"), F.split(p["words"], " ").alias("words")))
+    sized = F.transform(split, lambda p: F.struct(p["kind"].alias("kind"), p["no"].alias("no"), _bigrams(p["words"]).alias("bigrams")))
 
     def match(p: Column, t: Template) -> Column:
         n = F.size(p["bigrams"])
