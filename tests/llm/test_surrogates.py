@@ -30,6 +30,8 @@ def test_values_are_found():
         ("surname", "jones"),
         ("surname", "иванов"),
     }
+    more = {(m.type, m.value) for m in detect("Name: Ana Lund, +49 30 1234567 or +442079460958.")}
+    assert more == {("given_n", "ana"), ("surname", "lund"), ("phone", "49301234567"), ("phone", "442079460958")}
     assert detect("Version 300.1.2.3 of mr nobody, 12 of 2020-10-10, GB00WEST12345698765432") == []
 
 

@@ -32,6 +32,7 @@ FEMALE = "Mrs Ms Miss Frau Señora Sra Señorita Madame Mme Mlle Doña Госп
 NEUTRAL = "Dr Prof Доктор"
 _GENDER = {t: g for g, ts in (("m", MALE), ("f", FEMALE), ("n", NEUTRAL)) for t in ts.split()}
 _TITLES = "|".join(sorted(_GENDER, key=len, reverse=True))
+_NAMES = "Name|Nom|Nombre|Имя"
 _SECRETS = r"password|passwd|pwd|secret|token|api[_-]?key"
 
 # In the order of precedence; what overlaps an earlier find is left out. Repeats are bounded, so searches are linear.
@@ -42,12 +43,15 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"),
     "card": re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?!\w)"),
-    "name": re.compile(rf"(?<!\w)({_TITLES})\.?(?= [^\W\d_])"),
+    "phone": re.compile(
+        r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
+        r"|\+[0-9](?:[ .()-]{0,2}[0-9]){7,14})(?!\w)"
+    ),
+    "name": re.compile(rf"(?<!\w)(?:({_TITLES})\.?|(?:{_NAMES}) ?:)(?= [^\W\d_])"),
 }
 _NAME_WORD = re.compile(r" ([^\W\d_][\w'’-]{1,40})")
 # A text with a value matches this; Spark tests it before any Python runs.
-POSSIBLE = rf"[0-9@]|(?:{_TITLES})|(?i:{_SECRETS})"
+POSSIBLE = rf"[0-9@]|(?:{_TITLES}|{_NAMES})|(?i:{_SECRETS})"
 
 _LATIN = ("ba be bo da de do fa fe ga go ka ke ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti to va ve vi", "l n r s", "a ia ina", "o an us", "e en is")
 _CYRILLIC = ("ба бе бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се та те ти то ва ве ви", "л н р с", "а ия ина", "о ан ус", "е ен ис")
@@ -77,8 +81,8 @@ def _iban_check(country: str, account: str) -> str:
 
 
 def detect(text: str) -> list[Mention]:
-    """Values in a text by position, none overlapping. Of names only capitalized words behind a title count; each word is a
-    value of its own, the last one a surname."""
+    """Values in a text by position, none overlapping. Of names only capitalized words behind a title or "Name:" count; each
+    word is a value of its own, the last one a surname."""
     taken: list[Mention] = []
     spans: list[tuple[int, int]] = []
 
@@ -98,7 +102,7 @@ def detect(text: str) -> list[Mention]:
                     b = w.end()
                 for at, w in words:
                     last = at == words[-1][0]
-                    taken.append(Mention(at, at + len(w), "surname" if last else f"given_{_GENDER[m[1]]}", w.lower()))
+                    taken.append(Mention(at, at + len(w), "surname" if last else f"given_{_GENDER.get(m[1], 'n')}", w.lower()))
                 if words:
                     spans.append((a, b))
                 continue
