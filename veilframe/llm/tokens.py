@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 
-# Words that a cache holds before it is emptied; about 200 bytes each.
+# Words that a cache takes up before it becomes the older one, which takes the place of the one before; about 200 bytes each.
 MAX_CACHED = 600_000
 
 
@@ -35,7 +36,7 @@ class WordIds:
 
     # Characters whose lower case may depend on place or version, or which only one side takes for white space.
     ODD = re.compile("[\x1c-\x1fİɐ-\U0010ffff]")
-    TAIL = re.compile(r"[.,;:!?%$#&*|]+\Z")
+    TAIL = ".,;:!?%$#&*|"
 
     def __init__(self, path: str):
         import os
@@ -45,53 +46,73 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, words: set[str]) -> None:
-        parts: dict[str, tuple[str, str]] = {}
-        new: set[str] = set()
+        """Ids of words that are not in the cache: from the older one, else from the tokenizer."""
+        cache, older = self.cache, self.older
+        # Of letters alone, a word is one unit to the tokenizer's model; in ASCII it is spelt there as it is.
+        plain: set[str] = set()
+        parts: list[tuple[str, str, str]] = []
         for word in words:
-            tail = self.TAIL.search(word)
-            body = word[: tail.start()] if tail else word
-            if tail and (not body or body.isalpha()):
-                parts[word] = body, tail[0]
-                new.update((body, tail[0]))
+            ids = older.get(word)
+            if ids is not None:
+                cache[word] = ids
+            elif word.isalpha():
+                plain.add(word)
+            elif (body := word.rstrip(self.TAIL)) == "" or body.isalpha() and body != word:
+                parts.append((word, body, word[len(body) :]))
             else:
-                new.add(word)
-        new = {w for w in new if w and w not in self.cache}
-        plain = [w for w in new if w.isalpha()]
-        if plain:
-            ids = self._ids(" ".join(plain))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(plain):
-                for word, a, b in zip(plain, [0, *stops[:-1].tolist()], stops.tolist()):
-                    self.cache[word] = ids[a:b].tobytes()
-        for word in new:
-            if word not in self.cache:
-                self.cache[word] = self._ids(word).tobytes()
-        for word, (body, tail) in parts.items():
-            self.cache[word] = (self.cache[body] if body else b"") + self.cache[tail]
+                cache[word] = self._ids(word).tobytes()
+        for _, body, tail in parts:
+            if body and body not in cache:
+                plain.add(body)
+            if tail not in cache:
+                cache[tail] = self._ids(tail).tobytes()
+        tokenize = self.tokenizer.model.tokenize
+        for word in filter(str.isascii, plain):
+            cache[word] = array("I", [t.id for t in tokenize(word)]).tobytes()
+        order = [w for w in plain if not w.isascii()]
+        if order:
+            ids = self._ids(" ".join(order))
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(order):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(order, stops.tolist()):
+                    cache[word] = data[at:stop]
+                    at = stop
+            else:  # a letter that is cut off from its word
+                for word in order:
+                    cache[word] = self._ids(word).tobytes()
+        for word, body, tail in parts:
+            cache[word] = (cache[body] if body else b"") + cache[tail]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         split: list[list[str] | None] = []
         missed: set[str] = set()
-        get = self.cache.get
+        out: list[bytes | None] = []
+        get, odd = self.cache.get, self.ODD.search
         for text in texts:
-            words = None if "<|" in text or self.ODD.search(text) else text.lower().split()
-            if words and None in (found := list(map(get, words))):
-                missed.update(w for w, ids in zip(words, found) if ids is None)
+            words = None if "<|" in text or odd(text) else text.lower().split()
+            found: list = [] if words is None else list(map(get, words))
+            if None in found:
+                missed.update([w for w, ids in zip(words, found) if ids is None])
+                out.append(None)
+            else:
+                out.append(self._ids(text).tobytes() if words is None else b"".join(found))
             split.append(words)
         if missed:
             self._learn(missed)
-        return [self._ids(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+        return [b"".join(map(get, w)) if x is None else x for x, w in zip(out, split)]
 
 
 class PieceCounts:
@@ -106,6 +127,7 @@ class PieceCounts:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.tails: dict[str, int] = {}
 
     def _sizes(self, texts: list[str]) -> Iterator[int]:
@@ -113,6 +135,9 @@ class PieceCounts:
 
     def learn(self, words: set[str]) -> None:
         """Sizes of words. What stands behind a line end in a word has no space in front and is kept apart."""
+        known = {w: self.older[w] for w in words & self.older.keys()}
+        self.cache.update(known)
+        words = words - known.keys()
         broken = {w: w.split("\n") for w in words if "\n" in w}
         fresh = list({w for w in words if w not in broken} | {ps[0] for ps in broken.values()})
         for word, n in zip(fresh, self._sizes(fresh)):
@@ -125,8 +150,9 @@ class PieceCounts:
             self.cache[word] = self.cache[head] + sum(map(self.tails.__getitem__, rest))
 
     def count(self, texts: Sequence[str]) -> list[int]:
-        if len(self.cache) + len(self.tails) > MAX_CACHED:
-            self.cache.clear()
+        if len(self.cache) > MAX_CACHED:
+            self.older, self.cache = self.cache, {}
+        if len(self.tails) > MAX_CACHED:
             self.tails.clear()
         split, missed, get = [], set(), self.cache.get
         for text in texts:
