@@ -86,3 +86,18 @@ def test_whole_table(docs_of):
     again = {x.doc_id: x.text for x in with_surrogates(docs, KEY).collect() if x.n_replaced}
     assert again == hit
     assert with_surrogates(docs_of([]), KEY).count() == 0
+
+
+def test_secrets_are_replaced_whole():
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    for text, value in (
+        ("secret=" + "aZ9" * 300 + " end", "aZ9" * 300),
+        (f'token="{jwt}", next', jwt),
+        ("password: p!a.ss#w0rd$ and more", "p!a.ss#w0rd$"),
+        ("pwd='correct horse; battery' left", "correct horse; battery"),
+        ("password=ab!cd@host.com!xyz.", "ab!cd@host.com!xyz"),
+    ):
+        assert [(m.type, m.value) for m in detect(text)] == [("secret", value)]
+        assert text[(m := detect(text)[0]).start : m.end] == value
+    assert not set("пароль") & set(surrogate(KEY, "secret", "пароль12"))
+    assert surrogate(KEY, "secret", "!!!!!!!!", 5) != "!!!!!!!!"

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, stacked
 
 MAX_ROUNDS = 50
+# From so many draws on the space of replacements grows.
+WIDER = 3
 
 # Titles that go before names, by gender.
 MALE = "Mr Herr Señor Sr Monsieur Don Господин Mister"
@@ -35,10 +37,14 @@ _TITLES = "|".join(sorted(_GENDER, key=len, reverse=True))
 _NAMES = "Name|Nom|Nombre|Имя"
 _SECRETS = r"password|passwd|pwd|secret|token|api[_-]?key"
 
-# In the order of precedence; what overlaps an earlier find is left out. Repeats are bounded, so searches are linear.
+# In the order of precedence; what overlaps an earlier find is left out. Repeats are bounded or possessive, so searches are linear.
 PATTERNS = {
+    # The whole value: up to the closing quote, or else up to white space or a delimiter. Possessive, so linear.
+    "secret": re.compile(
+        rf"(?i:{_SECRETS})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}"
+        r"(?:\"((?:[^\"\\\n]|\\.){8,}+)\"|'((?:[^'\\\n]|\\.){8,}+)'|[\"']?([^\s\"'`<>,;&]{8,}+))"
+    ),
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"),
-    "secret": re.compile(rf"(?i:{_SECRETS})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?([A-Za-z0-9+/_=-]{{8,512}})"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ip": re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"),
     "card": re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"),
@@ -91,7 +97,11 @@ def detect(text: str) -> list[Mention]:
 
     for kind, pattern in PATTERNS.items():
         for m in pattern.finditer(text):
-            a, b = m.span(1) if kind == "secret" else m.span()
+            a, b = m.span(m.lastindex) if kind == "secret" else m.span()
+            if kind == "secret" and m.lastindex == 3:
+                b = a + len(text[a:b].rstrip(".:)]}"))  # of the sentence around it
+                if b - a < 8:
+                    continue
             found = text[a:b]
             if not free(a, b):
                 continue
@@ -163,7 +173,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         for hexadecimal in ("0123456789abcdef", "0123456789ABCDEF"):
             if set(value) <= set(hexadecimal):
                 return "".join(hexadecimal[s.below(16)] for _ in value)
-        return s.alike(value)
+        # Letters that alike() leaves become Latin ones; after some draws signs become letters too, and more are added.
+        plain = "".join(c if c.isascii() and (c.isalnum() or attempt < WIDER) else "A" if c.isupper() else "a" for c in value)
+        return s.alike(plain + "a" * max(0, attempt - WIDER))
     if kind == "iban":
         account = s.alike(value[4:])
         return value[:2] + _iban_check(value[:2], account) + account
