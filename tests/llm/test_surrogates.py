@@ -101,3 +101,17 @@ def test_secrets_are_replaced_whole():
         assert text[(m := detect(text)[0]).start : m.end] == value
     assert not set("пароль") & set(surrogate(KEY, "secret", "пароль12"))
     assert surrogate(KEY, "secret", "!!!!!!!!", 5) != "!!!!!!!!"
+
+
+def test_small_spaces_are_widened(spark):
+    values = [("ip", f"192.168.{a}.{b}") for a in range(10) for b in range(10)]
+    values += [("email", f"{c}@mail.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"joe@{c}.com") for c in "abcdefghijklmnop"]
+    rows = surrogate_table(spark.createDataFrame(values, "type string, value string"), KEY).collect()
+    assert {(r.type, r.value) for r in rows} == set(values) and len(rows) == len(values)
+    assert len({(r.type, r.surrogate) for r in rows}) == len(values) and not {(r.type, r.surrogate) for r in rows} & set(values)
+    assert all(r.surrogate.startswith(("192.168.", "10.")) for r in rows if r.type == "ip")
+    domains = {(r.value.split("@")[1], r.surrogate.split("@")[1]) for r in rows if r.type == "email"}
+    assert len(domains) == len({d for d, _ in domains}) == len({n for _, n in domains}) == 17
+    assert not {d for d, _ in domains} & {n for _, n in domains}
+    assert dressed("A.b@C.com", "email", "x.yz@qr.com") == "X.yz@Qr.com"
+    assert re.fullmatch("[α-ω]+", surrogate(KEY, "surname", "παπάς"))

@@ -61,6 +61,9 @@ POSSIBLE = rf"[0-9@]|(?:{_TITLES}|{_NAMES})|(?i:{_SECRETS})"
 
 _LATIN = ("ba be bo da de do fa fe ga go ka ke ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti to va ve vi", "l n r s", "a ia ina", "o an us", "e en is")
 _CYRILLIC = ("ба бе бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се та те ти то ва ве ви", "л н р с", "а ия ина", "о ан ус", "е ен ис")
+_GREEK = ("βα βε βο δα δε δο γα γο κα κε κο λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε τα τε τι το", "λ ν ρ μ", "α ια ινα", "ο αν ος", "ε εν ις")
+_ARMENIAN = ("բա բե բո դա դե դո գա գո կա կե կո լա լե լի լո մա մե մի մո նա նե նի նո պա պե րա րե րի րո սա սե տա տե տի տո", "լ ն ր մ", "ա իա ինա", "ո ան ուս", "ե են իս")
+_SCRIPTS = (("[Ѐ-ӿ]", _CYRILLIC), ("[Ͱ-Ͽἀ-῿]", _GREEK), ("[԰-֏]", _ARMENIAN))
 
 
 @dataclass(frozen=True)
@@ -162,13 +165,16 @@ class Stream:
         return "".join(out)
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """Replacement of a value, in the value's own form."""
+def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, domain: str | None = None) -> str:
+    """Replacement of a value, in the value's own form; of an e-mail with the given new domain, if any."""
     s = Stream(key, kind, value, attempt)
+    more = "a" * max(0, attempt - WIDER + 1)
+    if kind == "domain":
+        *labels, top = value.split(".")
+        return f"{Stream(key, 'domain', *labels, *[attempt] * (attempt > 0)).alike('.'.join(labels) + more)}.{top}"
     if kind == "email":
-        local, domain = value.split("@")
-        *labels, top = domain.split(".")
-        return f"{s.alike(local)}@{Stream(key, 'domain', *labels).alike('.'.join(labels))}.{top}"
+        local, old = value.split("@")
+        return f"{s.alike(local + more)}@{domain or surrogate(key, 'domain', old)}"
     if kind == "secret":
         for hexadecimal in ("0123456789abcdef", "0123456789ABCDEF"):
             if set(value) <= set(hexadecimal):
@@ -182,6 +188,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         kept = 1 if parts[0] in (10, 127) else 2 if parts[:2] == [192, 168] or parts[0] == 172 and 16 <= parts[1] < 32 else 0
+        if attempt >= WIDER:
+            if kept == 2 and attempt >= 4 * WIDER:  # other private ranges: the own one may be full
+                return ".".join(["10", *(str(s.below(256)) for _ in range(3))])
+            return ".".join([*value.split(".")[:kept], *(str((1 if not kept and k == 0 else 0) + s.below(223 if not kept and k == 0 else 256)) for k in range(4 - kept))])
         bounds = {1: (0, 9), 2: (10, 99), 3: (100, 254)}
         new = [str(lo + s.below(hi - lo + 1)) for lo, hi in (bounds[len(x)] for x in value.split(".")[kept:])]
         return ".".join([*value.split(".")[:kept], *new])
@@ -195,7 +205,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local = s.alike(value[kept:])
         first = value[kept]
         return value[:kept] + (first if first == "0" else str(2 + s.below(8))) + local[1:]
-    syllables, middle, female, male, neutral = _CYRILLIC if re.search("[Ѐ-ӿ]", value) else _LATIN
+    syllables, middle, female, male, neutral = next((x for script, x in _SCRIPTS if re.search(script, value)), _LATIN)
     ending = {"given_f": female, "given_m": male}.get(kind, neutral)
     # More attempts make longer names, so there is always one left.
     stem = [syllables.split()[s.below(len(syllables.split()))] for _ in range(2 + s.below(2) + attempt // 2)]
@@ -208,7 +218,8 @@ def dressed(found: str, kind: str, new: str) -> str:
         letters = iter(new)
         return "".join(next(letters) if c.isalnum() else c for c in found)
     if kind == "email":
-        return "".join(n.upper() if f.isupper() else n for f, n in zip(found, new))
+        parts = zip(found.split("@"), new.split("@"))  # either part may have become longer
+        return "@".join("".join(n.upper() if f.isupper() else n for f, n in zip(old.ljust(len(x)), x)) for old, x in parts)
     if kind == "surname" or kind.startswith("given_"):
         return new.upper() if found.isupper() and len(found) > 1 else new.capitalize()
     return new
@@ -224,24 +235,33 @@ def replaced(text: str, found: Sequence[tuple[int, int, str, str]]) -> str:
 
 
 def surrogate_table(values: DataFrame, key: bytes) -> DataFrame:
-    """``type``, ``value`` and ``surrogate`` of distinct values, without collisions.
+    """``type``, ``value`` and ``surrogate`` of distinct values, without collisions; mail domains are drawn first, as values."""
+    domain = F.when(F.col("type") == "email", F.substring_index("value", "@", -1))
+    domains = values.select(F.lit("domain").alias("type"), domain.alias("value"), F.lit(None).cast("string").alias("domain"))
+    new = _drawn(domains.where("value IS NOT NULL").distinct(), key).select(F.col("value").alias("old"), F.col("surrogate").alias("domain"))
+    with_domain = values.select("type", "value", domain.alias("old")).join(new, "old", "left").select("type", "value", "domain")
+    return _drawn(materialize(with_domain, "values-with-domains"), key)
 
-    A value is drawn again while its surrogate is a value of the corpus or a smaller value has the same one."""
+
+def _drawn(values: DataFrame, key: bytes) -> DataFrame:
+    """A value (``type``, ``value``, ``domain``) is drawn again while its surrogate is a value of the corpus or another has it.
+
+    Of several that draw the same, the one with the fewest draws keeps it, then the least; later draws are wider, see ``surrogate``."""
 
     @F.pandas_udf("string")
-    def drawn(kinds: pd.Series, texts: pd.Series, attempts: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k, v, a) for k, v, a in zip(kinds, texts, attempts)], dtype="object")
+    def drawn(kinds: pd.Series, texts: pd.Series, attempts: pd.Series, domains: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, v, a, d) for k, v, a, d in zip(kinds, texts, attempts, domains)], dtype="object")
 
-    state = values.select("type", "value", F.lit(0).alias("attempt"))
+    state = values.select("type", "value", "domain", F.lit(0).alias("attempt"))
     real = values.select("type", F.col("value").alias("surrogate"), F.lit(True).alias("real"))
     for _ in range(MAX_ROUNDS):
-        state = materialize(state.withColumn("surrogate", drawn("type", "value", "attempt")), "surrogates")
-        first = state.groupBy("type", "surrogate").agg(F.min("value").alias("first"))
+        state = materialize(state.withColumn("surrogate", drawn("type", "value", "attempt", "domain")), "surrogates")
+        first = state.groupBy("type", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
         checked = state.join(first, ["type", "surrogate"]).join(real, ["type", "surrogate"], "left")
-        lost = checked.withColumn("lost", F.col("real").isNotNull() | (F.col("value") != F.col("first")))
+        lost = checked.withColumn("lost", F.col("real").isNotNull() | (F.col("value") != F.col("first.value")))
         if lost.where("lost").limit(1).count() == 0:
-            return state.drop("attempt")
-        state = lost.select("type", "value", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
+            return state.drop("attempt", "domain")
+        state = lost.select("type", "value", "domain", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
     raise RuntimeError(f"values and surrogates still collide after {MAX_ROUNDS} draws")
 
 
