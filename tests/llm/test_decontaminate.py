@@ -84,3 +84,14 @@ def test_empty_tables(spark, docs_of):
     assert without_contaminated(docs_of(EDGES), none).count() == len(EDGES)
     some = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert contaminated(docs_of([]), some).count() == 0
+
+
+def test_repeated_and_long_items(spark, docs_of):
+    r = random.Random(6)
+    same, long = words(r, 10), words(r, 60)
+    benchmark = spark.createDataFrame([*((k, same) for k in range(30)), (50, long), (51, "other one")], "item_id bigint, text string")
+    docs = docs_of([(1, words(r, 20) + " " + same), (2, long), (3, words(r, 30))])
+    bound = len(same) + 40
+    rows = contaminated(docs, benchmark, max_block_chars=bound).collect()
+    assert sorted((x.doc_id, x.item_id) for x in rows) == [*((1, k) for k in range(30)), (2, 50)]
+    assert [x.doc_id for x in without_contaminated(docs, benchmark, max_block_chars=bound).collect()] == [3]

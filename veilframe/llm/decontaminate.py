@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stacked
+from .common import row_key
 from .tokens import per_worker
 
 EDITS_PER_CHAR = 0.08
@@ -119,23 +120,32 @@ def _matcher(items: tuple[str, ...], edits_per_char: float) -> Matcher:
     return per_worker("matcher", (items, edits_per_char), lambda: Matcher(items, edits_per_char))
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, max_chars: int) -> Iterator[tuple[list, tuple[str, ...]]]:
-    """Ids and normalized texts of the items, a bounded number of characters at a time; items without a letter or digit
-    can't be found and are left out. An item longer than the bound is an error."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """Ids, normalized texts and the texts' keys; items without a letter or digit can't be found and are left out."""
     items = benchmark.select(F.col(item_col).alias("item"), normalized(text_col).alias("text")).where("length(text) > 2")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    k1, k2 = row_key("text")
+    return items.select("item", "text", k1.alias("k1"), k2.alias("k2"))
+
+
+def blocks(items: DataFrame, max_chars: int) -> Iterator[tuple[list[tuple[int, int]], tuple[str, ...]]]:
+    """Keys and texts of the distinct items, a bounded number of characters at a time; an item over the bound is a block
+    of its own."""
+    every = items.select("text", "k1", "k2").distinct()
+    texts = every.where(F.length("text") <= max_chars)
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 2 * total // max_chars + 1
     while True:
         at = F.pmod(F.xxhash64("text", F.lit(n)), F.lit(n))
-        sizes = dict(tuple(r) for r in items.groupBy(at.alias("at")).agg(F.sum(F.length("text"))).collect())
+        sizes = dict(tuple(r) for r in texts.groupBy(at.alias("at")).agg(F.sum(F.length("text"))).collect())
         if max(sizes.values(), default=0) <= max_chars:
             break
-        if n > 4 * total:
-            raise ValueError(f"an item is longer than {max_chars} characters")
         n *= 2
     for k in sorted(sizes):
-        rows = items.where(at == k).orderBy("text", "item").collect()
-        yield [r.item for r in rows], tuple(r.text for r in rows)
+        rows = texts.where(at == k).orderBy("text").collect()
+        yield [(r.k1, r.k2) for r in rows], tuple(r.text for r in rows)
+    long = every.where(F.length("text") > max_chars)
+    for k1, k2 in sorted(tuple(r) for r in long.select("k1", "k2").collect()):
+        yield [(k1, k2)], (long.where((F.col("k1") == k1) & (F.col("k2") == k2)).first().text,)
 
 
 def contaminated(
@@ -156,31 +166,33 @@ def contaminated(
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col), normalized(text_col).alias("__text"))
-    item_type = benchmark.schema[item_col].dataType
+    items = _items(benchmark, item_col, item_text_col)
     schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, item_type)]
+        [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("__k1", T.LongType()), T.StructField("__k2", T.LongType())]
         + [T.StructField(c, T.IntegerType()) for c in ("distance", "start", "end")]
     )
     parts = [spark.createDataFrame([], schema)]
-    for ids, texts in blocks(benchmark, item_col, item_text_col, max_block_chars):
-        shared = spark.sparkContext.broadcast((ids, texts))
+    for keys, texts in blocks(items, max_block_chars):
+        shared = spark.sparkContext.broadcast((keys, texts))
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, texts = shared.value
+            keys, texts = shared.value
             matcher = _matcher(texts, edits_per_char)
             for batch in batches:
                 at, rows = [], []
                 for i, text in enumerate(batch.column(1)):
                     for n, *rest in matcher.search(text.as_py() or ""):
                         at.append(i)
-                        rows.append((ids[n], *rest))
+                        rows.append((*keys[n], *rest))
                 if at:
-                    item, *numbers = zip(*rows)
-                    columns = [pa.array(x, pa.int32()) for x in numbers]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(item), *columns], names=schema.names)
+                    k1, k2, *numbers = zip(*rows)
+                    columns = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *(pa.array(x, pa.int32()) for x in numbers)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=schema.names)
 
         parts.append(slim.mapInArrow(found, schema))
-    return stacked(*parts[1:]) if parts[1:] else parts[0]
+    rows = stacked(*parts[1:]) if parts[1:] else parts[0]
+    ids = items.select(F.col("item").alias(item_col), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    return rows.join(ids, ["__k1", "__k2"]).select(id_col, item_col, "distance", "start", "end")
 
 
 def without_contaminated(
@@ -194,7 +206,7 @@ def without_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, in which ``contaminated`` finds nothing. Narrow: rows are tested where they lie."""
     spark = docs.sparkSession
-    for _, texts in blocks(benchmark, item_col, item_text_col, max_block_chars):
+    for _, texts in blocks(_items(benchmark, item_col, item_text_col), max_block_chars):
         shared = spark.sparkContext.broadcast(texts)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
