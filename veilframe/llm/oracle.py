@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .collocations import MIN_COUNT, TOP
 from .license_scan import THRESHOLD, compiled
 from .license_templates import TEMPLATES
 from .line_dedup import MIN_WORDS
+from .prefix_trie import FAMILY, HEAD_TURNS
 from .quality_rules import N_SHORT, RULES, STOP_WORDS, SYMBOLS, Rule
+from .topk_search import EVERY, SCALE
+from .topk_search import TOP as TOP_K
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,4 +103,110 @@ found AS (
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches, best AS best_dice FROM d LEFT JOIN found USING (rid)
 """
 
-LLM_ORACLE: dict[str, str] = {"op1_license_scan": _LICENSES, "op6_line_dedup": _LINES, "op7_quality_rules": _QUALITY}
+_TOP_K = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.w, c.w), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT, 0) AS score
+  FROM rows q JOIN rows c ON q.row <> c.row WHERE q.vec_id % {EVERY} = 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= {TOP_K}
+"""
+
+_TRIE = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+crc AS (
+  SELECT conv_id, count(*) AS size, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::BIGINT, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::BIGINT)),
+                             lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % {HEAD_TURNS} AS h
+  FROM own GROUP BY conv_id
+),
+convs AS (
+  SELECT c.conv_id, c.conv_id - c.conv_id % {FAMILY} AS head_id, c.h, least(c.h, coalesce(p.size, 0)) AS taken
+  FROM crc c LEFT JOIN crc p ON p.conv_id = c.conv_id - c.conv_id % {FAMILY}
+),
+turns AS (
+  SELECT c.conv_id, place AS depth, role, text FROM convs c JOIN own o ON o.conv_id = c.head_id WHERE place <= h
+  UNION ALL
+  SELECT c.conv_id, place - h + taken, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id WHERE place > h
+),
+prefixes AS (
+  SELECT conv_id, depth, sha256(string_agg(sha256(role) || sha256(text), '' ORDER BY depth) OVER w) AS k, length(text) AS n_chars,
+         max(depth) OVER (PARTITION BY conv_id) = depth AS whole
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL
+  SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM turns) FROM convs
+),
+nodes AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_chars) AS n_chars,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole), '') AS ends, count(*) FILTER (WHERE whole) AS n_ends
+  FROM prefixes GROUP BY depth, k
+),
+placed AS (SELECT p.conv_id AS member, n.* FROM prefixes p JOIN nodes n USING (depth, k)),
+totals AS (
+  SELECT a.depth, a.conv_id, sum((n.n_ends = n.n_convs)::INT)::BIGINT AS n_leaves, sum((n.n_convs - 1) * n.n_chars)::BIGINT AS saved_tokens
+  FROM nodes n JOIN placed a ON a.member = n.conv_id AND a.depth <= n.depth GROUP BY a.depth, a.conv_id
+),
+up AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN placed p ON p.member = n.conv_id AND p.depth = n.depth - 1),
+children AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n FROM up WHERE depth > 0 GROUP BY ALL)
+SELECT u.conv_id, u.depth, u.parent_conv_id, u.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, t.n_leaves, t.saved_tokens, sha256(u.ends) AS ends_sha256
+FROM up u JOIN totals t USING (depth, conv_id) LEFT JOIN children c USING (depth, conv_id)
+"""
+
+_PHRASES = rf"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS pid, * FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS p
+    FROM documents WHERE text IS NOT NULL)
+),
+worded AS (SELECT pid, lang, regexp_extract_all(p, '[^ 	]+') AS ws FROM pieces),
+w AS (SELECT pid, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM worded),
+ahead AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4, lead(w1, 4) OVER p AS w5 FROM w WINDOW p AS (PARTITION BY pid ORDER BY i)
+),
+f AS (
+  SELECT lang, [w1] AS ws, count(*) AS f FROM ahead GROUP BY ALL HAVING f >= {MIN_COUNT}
+  UNION ALL SELECT lang, [w1, w2], count(*) AS f FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= {MIN_COUNT}
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) AS f FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= {MIN_COUNT}
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) AS f FROM ahead WHERE w4 IS NOT NULL GROUP BY ALL HAVING f >= {MIN_COUNT}
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) AS f FROM ahead WHERE w5 IS NOT NULL GROUP BY ALL HAVING f >= {MIN_COUNT}
+),
+totals AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+candidates AS (SELECT lang, ws, f AS a FROM f WHERE len(ws) > 1),
+parts AS (
+  SELECT lang, a, len(ws) AS m, ws[x:x + y - 1] AS ws
+  FROM candidates, LATERAL (SELECT unnest(range(1, 6)) AS x), LATERAL (SELECT unnest(range(2, 5)) AS y) WHERE y < len(ws) AND x + y - 1 <= len(ws)
+),
+held AS (SELECT DISTINCT c.lang, c.ws FROM candidates c JOIN parts p ON p.lang = c.lang AND p.ws = c.ws WHERE 100 * p.a >= 100 * c.a),
+cuts AS (
+  SELECT c.lang, c.ws, c.a, n, k, l.f AS l, r.f AS r, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM candidates ANTI JOIN held USING (lang, ws)) c
+  JOIN f l ON l.lang = c.lang AND l.ws = c.ws[:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:] JOIN totals t ON t.lang = c.lang
+),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ws, ' ')) AS rank, array_to_string(ws, ' ') AS phrase, a, l, r, n, score FROM least
+)
+SELECT * FROM ranked WHERE rank <= {TOP}
+"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op1_license_scan": _LICENSES,
+    "op6_line_dedup": _LINES,
+    "op7_quality_rules": _QUALITY,
+    "op11_topk_search": _TOP_K,
+    "op12_prefix_trie": _TRIE,
+    "op13_collocations": _PHRASES,
+}

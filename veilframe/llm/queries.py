@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import documents
 from .decontaminate import contaminated
 from .language_id import identify_languages
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .surrogates import with_surrogates
 from .token_counts import token_counts
+from .topk_search import EVERY, top_k_search
 
 
 # Stands in for the secret that a user of the library brings along.
@@ -64,6 +68,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % EVERY == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,5 +93,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_packing,
         op10_language_id,
+        op11_topk_search,
+        op12_prefix_trie,
+        op13_collocations,
     )
 }
