@@ -10,8 +10,8 @@
    with their counts; pairs are summed over shards, and a shard gets back which of its intervals are frequent enough.
 4. Three to five words. The same extension, from intervals of frequent pairs only.
 
-A phrase that is frequent has frequent parts, so nothing is lost by this. All counts of a shard are sums already: a phrase
-sends one row for each shard, however often it occurs. Separators differ from each other in order, so no phrase crosses one.
+A phrase that is frequent has frequent parts, so nothing is lost by this. All counts of a shard are sums already: a shard
+sends a phrase once, however often it occurs. Separators differ from each other in order, so no phrase crosses one.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, stacked
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-SHARD_WORDS = 3 << 19
+SHARD_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 21
 SHARDS_OF_TASK, PLACES = 1 << 10, 1 << 31
 SALT = 64
 
@@ -171,68 +172,148 @@ def _shards(size: int):
     return build
 
 
-_PAIRS = "shard bigint, lo bigint, size bigint, p bigint, s bigint"
-_LONG = "length int, b1 bigint, b2 bigint, b3 bigint, size bigint"
-
-
-def _table(schema: str, **columns) -> pa.Table:
-    kinds = {"bigint": pa.int64(), "int": pa.int32()}
-    named = [x.split() for x in schema.split(", ")]
-    return pa.Table.from_arrays([pa.array(columns[n], kinds[k]) for n, k in named], [n for n, _ in named])
-
-
-def _nothing(schema: str) -> pa.Table:
-    return _table(schema, **{x.split()[0]: [] for x in schema.split(", ")})
-
-
-def _two_words(index: pa.Table, frequent: pa.Table) -> pa.Table:
-    """Intervals of two frequent words in a shard; p and s are the numbers of first and second word."""
-    if not index.num_rows or not frequent.num_rows:
-        return _nothing(_PAIRS)
-    bwt = _unpacked(index["bwt"][0].as_py())
-    sizes = np.bincount(bwt)
-    gid = np.full(len(sizes), -1, np.int64)
-    gid[frequent["place"].to_numpy() + 1] = frequent["gid"].to_numpy()
-    first = np.repeat(np.arange(len(sizes)), sizes)
-    second = first[behind_of(bwt)]
-    label = gid[first]
-    lo, n = _intervals((label >= 0) & (gid[second] >= 0), first, second)
-    return _table(_PAIRS, shard=np.full(len(lo), index["shard"][0].as_py()), lo=lo, size=n, p=label[lo], s=gid[second[lo]])
-
-
-def _more_words(index: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Intervals of three to five words in which every pair is frequent, by the pairs they are made of."""
-    if not index.num_rows or not pairs.num_rows:
-        return _nothing(_LONG)
-    bwt = _unpacked(index["bwt"][0].as_py())
-    lo, size = pairs["lo"].to_numpy(), pairs["size"].to_numpy()
-    label = np.full(len(bwt), -1, np.int64)
-    label[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)] = np.repeat(pairs["gid"].to_numpy(), size)
-    behind, steps, valid, out = behind_of(bwt), [label], label >= 0, []
-    at = np.arange(len(bwt))
-    for length in range(3, LONGEST + 1):
-        at = behind[at]
-        steps.append(label[at])
-        valid &= steps[-1] >= 0
-        lo, n = _intervals(valid, *steps)
-        # Of overlapping pairs every second one tells the words, and the last.
-        b = [steps[k][lo] for k in (0, min(2, length - 2), length - 2)]
-        out.append(_table(_LONG, length=np.full(len(lo), length), b1=b[0], b2=b[1], b3=b[2], size=n))
-    return pa.concat_tables(out)
+# What shards send is dealt to buckets by a hash of the phrase, so a bucket sums whole phrases. It goes as blocks of numbers,
+# a row for each shard and bucket, not as a row for each phrase.
+_BLOCKS = "bucket bigint, shard bigint, block binary"
+_FOUND = "shard bigint, block binary, gid bigint, p bigint, s bigint, f bigint"
+_LONG = "length bigint, b1 bigint, b2 bigint, b3 bigint, f bigint"
+_KINDS = {"bigint": pa.int64(), "binary": pa.binary()}
 
 
-# ---- the whole -----------------------------------------------------------------------------------------
+def _table(schema: str, n: int, **columns) -> pa.Table:
+    """Columns that aren't given are null."""
+    fields = [pa.field(name, _KINDS[kind]) for name, kind in (x.split() for x in schema.split(", "))]
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields]
+    return pa.Table.from_arrays(arrays, schema=pa.schema(fields))
+
+
+def _block(*columns: np.ndarray) -> bytes:
+    """The first column rises, so its steps are kept; bytes of equal weight lie together, as most are zero."""
+    steps = np.diff(columns[0], prepend=0)
+    return zlib.compress(np.stack([steps, *columns[1:]]).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _columns(block: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(n, 8, -1)
+    out = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(n, -1).astype(np.int64)
+    out[0] = np.cumsum(out[0])
+    return out
+
 
+def _mixed(keys: list[np.ndarray]) -> np.ndarray:
+    """Hash of a phrase's numbers."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for key in keys:
+        h = (h ^ key.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
-def _numbered(rows: DataFrame, by: list[str], min_count: int) -> DataFrame:
-    """Rows of phrases with ``min_count`` occurrences over all shards: ``n`` and ``gid``, a number made of the first place it has."""
-    phrase = Window.partitionBy(*by)
-    summed = rows.withColumns({"n": F.sum("size").over(phrase), "gid": F.min(F.col("shard") * PLACES + F.col("lo")).over(phrase)})
-    return summed.where(F.col("n") >= min_count)
 
+def _dealt(shard: int, buckets: int, keys: list[np.ndarray], lo: np.ndarray, size: np.ndarray) -> pa.Table:
+    to = (_mixed(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    parts = np.split(order, starts[1:]) if len(order) else []
+    blocks = [_block(lo[at], size[at], *(k[at] for k in keys)) for at in parts]
+    return _table(_BLOCKS, len(parts), bucket=to[order][starts], shard=np.full(len(parts), shard), block=blocks)
 
-def _once(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("gid") == F.col("shard") * PLACES + F.col("lo"))
+
+def _frequent(keys: list[np.ndarray], size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of phrases with ``least`` occurrences: their positions phrase by phrase, where each phrase starts, and its sum."""
+    slot = (_mixed(keys) >> np.uint64(42)).astype(np.int64)
+    # A slot holds all rows of a phrase, so where it falls short, the phrase does.
+    at = np.flatnonzero(np.bincount(slot, size)[slot] >= least) if len(slot) else np.empty(0, np.int64)
+    at = at[np.lexsort([k[at] for k in keys])]
+    new = np.ones(len(at), bool)
+    new[1:] = np.any([k[at[1:]] != k[at[:-1]] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(size[at], starts) if len(at) else starts
+    held = np.repeat(sums >= least, np.diff(starts, append=len(at)))
+    at, new = at[held], new[held]
+    return at, np.flatnonzero(new), sums[sums >= least]
+
+
+def _two_words(buckets: int):
+    def pairs(index: pa.Table, frequent: pa.Table) -> pa.Table:
+        """Intervals of two frequent words in a shard, by the numbers of first and second word."""
+        if not index.num_rows or not frequent.num_rows:
+            return _table(_BLOCKS, 0)
+        bwt = _unpacked(index["bwt"][0].as_py())
+        sizes = np.bincount(bwt)
+        gid = np.full(len(sizes), -1, np.int64)
+        gid[frequent["place"].to_numpy() + 1] = frequent["gid"].to_numpy()
+        first = np.repeat(np.arange(len(sizes)), sizes)
+        second = first[behind_of(bwt)]
+        lo, size = _intervals((gid[first] >= 0) & (gid[second] >= 0), first, second)
+        return _dealt(index["shard"][0].as_py(), buckets, [gid[first[lo]], gid[second[lo]]], lo, size)
+
+    return pairs
+
+
+def _blocks(table: pa.Table, n: int) -> np.ndarray:
+    """All blocks of a bucket side by side, their shards in the last row."""
+    parts = [_columns(b.as_py(), n) for b in table["block"]]
+    shards = np.repeat(table["shard"].to_numpy(), [x.shape[1] for x in parts])
+    return np.vstack([np.concatenate(parts, axis=1), shards])
+
+
+def _summed_pairs(least: int):
+    def summed(blocks: pa.Table) -> pa.Table:
+        """Frequent pairs with their sum, and for each shard a block of its intervals of such pairs."""
+        lo, size, p, s, shard = _blocks(blocks, 4)
+        at, starts, sums = _frequent([p, s], size, least)
+        if not len(at):
+            return _table(_FOUND, 0)
+        place = shard[at] * PLACES + lo[at]
+        gid = np.minimum.reduceat(place, starts)
+        once = at[starts]
+        pairs = _table(_FOUND, len(gid), gid=gid, p=p[once], s=s[once], f=sums)
+        of_row = np.repeat(gid, np.diff(starts, append=len(at)))
+        order = np.argsort(place)
+        at, of_row = at[order], of_row[order]
+        cuts = np.flatnonzero(np.diff(shard[at], prepend=-1))
+        packed = [_block(lo[x], size[x], g) for x, g in zip(np.split(at, cuts[1:]), np.split(of_row, cuts[1:]))]
+        return pa.concat_tables([pairs, _table(_FOUND, len(packed), shard=shard[at[cuts]], block=packed)])
+
+    return summed
+
+
+def _more_words(buckets: int):
+    def extend(index: pa.Table, pairs: pa.Table) -> pa.Table:
+        """Intervals of three to five words in which every pair is frequent, by the pairs they are made of."""
+        if not index.num_rows or not pairs.num_rows:
+            return _table(_BLOCKS, 0)
+        bwt = _unpacked(index["bwt"][0].as_py())
+        label = np.full(len(bwt), -1, np.int64)
+        for block in pairs["block"]:
+            lo, size, gid = _columns(block.as_py(), 3)
+            label[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)] = np.repeat(gid, size)
+        behind, steps, valid, out = behind_of(bwt), [label], label >= 0, []
+        at = np.arange(len(bwt))
+        for length in range(3, LONGEST + 1):
+            at = behind[at]
+            steps.append(label[at])
+            valid &= steps[-1] >= 0
+            lo, size = _intervals(valid, *steps)
+            # Of overlapping pairs every second one tells the words, and the last.
+            keys = [np.full(len(lo), length), *(steps[k][lo] for k in (0, min(2, length - 2), length - 2))]
+            out.append(_dealt(index["shard"][0].as_py(), buckets, keys, lo, size))
+        return pa.concat_tables(out)
+
+    return extend
+
+
+def _summed_phrases(least: int):
+    def summed(blocks: pa.Table) -> pa.Table:
+        _, size, *keys, _ = _blocks(blocks, 6)
+        at, starts, sums = _frequent(keys, size, least)
+        once = at[starts]
+        return _table(_LONG, len(once), length=keys[0][once], b1=keys[1][once], b2=keys[2][once], b3=keys[3][once], f=sums)
+
+    return summed
+
+
+# ---- the whole -----------------------------------------------------------------------------------------
 
 
 def phrases(docs: DataFrame, text_col: str, lang_col: str, min_count: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
@@ -240,21 +321,25 @@ def phrases(docs: DataFrame, text_col: str, lang_col: str, min_count: int, shard
     slim = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     kept = slim.mapInArrow(_shards(shard_words), "shard bigint, bwt binary, words array<struct<lang: string, word: string, size: int>>")
     kept = materialize(kept, "shards")
-    words = kept.select("shard", F.posexplode("words").alias("lo", "w")).select("shard", F.col("lo").cast("bigint"), "w.*")
-    totals = words.groupBy("lang").agg(F.sum("size").alias("n"))
-    frequent = materialize(_numbered(words, ["lang", "word"], min_count), "frequent-words")
-    index = kept.select("shard", "bwt")
-
-    pairs = index.groupBy("shard").cogroup(frequent.select("shard", F.col("lo").alias("place"), "gid").groupBy("shard")).applyInArrow(_two_words, _PAIRS)
-    pairs = materialize(_numbered(pairs, ["p", "s"], min_count), "frequent-pairs")
-    longer = index.groupBy("shard").cogroup(pairs.select("shard", "lo", "size", "gid").groupBy("shard")).applyInArrow(_more_words, _LONG)
-    longer = longer.groupBy("length", "b1", "b2", "b3").agg(F.sum("size").alias("f")).where(F.col("f") >= min_count)
-    longer = materialize(longer, "frequent-phrases")
-
-    word = _once(frequent).select("gid", "lang", "word", F.col("n").alias("f"))
+    words = kept.select("shard", F.posexplode("words").alias("place", "w")).select("shard", F.col("place").cast("bigint"), "w.*")
+    totals = materialize(words.groupBy("lang").agg(F.sum("size").alias("n")), "words-of-languages")
+    buckets = -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS) or 1
+    # A word's number is made of the first place it has.
+    same, place = Window.partitionBy("lang", "word"), F.col("shard") * PLACES + F.col("place")
+    frequent = words.withColumns({"f": F.sum("size").over(same), "gid": F.min(place).over(same)}).where(F.col("f") >= min_count)
+    frequent = materialize(frequent, "frequent-words")
+    index = kept.select("shard", "bwt").groupBy("shard")
+
+    pairs = index.cogroup(frequent.select("shard", "place", "gid").groupBy("shard")).applyInArrow(_two_words(buckets), _BLOCKS)
+    pairs = materialize(pairs.groupBy("bucket").applyInArrow(_summed_pairs(min_count), _FOUND), "frequent-pairs")
+    placed = pairs.where("block IS NOT NULL").select("shard", "block").groupBy("shard")
+    longer = index.cogroup(placed).applyInArrow(_more_words(buckets), _BLOCKS)
+    longer = materialize(longer.groupBy("bucket").applyInArrow(_summed_phrases(min_count), _LONG), "frequent-phrases")
+
+    word = frequent.where(F.col("gid") == place).select("gid", "lang", "word", "f")
     first = word.select(F.col("gid").alias("p"), "lang", F.col("word").alias("w1"))
     second = word.select(F.col("gid").alias("s"), F.col("word").alias("w2"))
-    two = materialize(_once(pairs).select("gid", "p", "s", F.col("n").alias("f")).join(first, "p").join(second, "s").select("gid", "lang", "w1", "w2", "f"), "pairs")
+    two = materialize(pairs.where("gid IS NOT NULL").join(first, "p").join(second, "s").select("gid", "lang", "w1", "w2", "f"), "pairs")
     named = longer
     for k in (1, 2, 3):
         named = named.join(two.select(F.col("gid").alias(f"b{k}"), F.array("w1", "w2").alias(f"t{k}"), *(["lang"] if k == 1 else [])), f"b{k}")
