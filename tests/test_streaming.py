@@ -5,6 +5,8 @@ from review_model import box_rows, fold, state_rows
 from test_replay import BOX, MIXED, SCHEMA, STATE, add, event, random_log, rows
 
 from veilframe.operators.replay import LOG_TYPES, replay_review_log
+from veilframe.operators import replay
+from veilframe.operators.review_store import append_events, states_of
 from veilframe.plans import inputs
 from veilframe.sources.tables import table
 from veilframe.streaming.detect import read_latest_scans, stream_detect, stream_latest_scans, stream_table
@@ -34,7 +36,7 @@ def test_review_over_micro_batches(spark, tmp_path):
     out = run(spark, tmp_path, parts)
     expected = fold([e for log in logs for e in log])
     assert rows(read_review_boxes(spark, out), BOX) == sorted(box_rows(expected), key=repr)
-    assert len(spark.read.parquet(out).select("batch_id").distinct().collect()) == 3
+    assert len(states_of(spark, out).select("batch_id").distinct().collect()) == 3
 
 
 def test_late_events_are_not_lost(spark, tmp_path):
@@ -46,10 +48,62 @@ def test_late_events_are_not_lost(spark, tmp_path):
     assert rows(review.boxes, BOX) == sorted(box_rows(expected), key=repr)
     assert rows(review.state, STATE) == sorted(state_rows(expected), key=repr)
     # A micro-batch of late events alone is told, too.
-    last = spark.read.parquet(out).where("kind = 'state' AND batch_id = 2").collect()
+    last = states_of(spark, out).where("batch_id = 2").collect()
     assert [(r.doc_id, r.late) for r in last] == [(1, 2)]
 
 
+def test_hot_document_is_cut_into_chunks(spark, tmp_path):
+    """A document with all events of a file, in chunks of 16 over many tasks, and steps that reach back to earlier files."""
+    rng = random.Random(8)
+    logs = [random_log(rng, 1, 700, {**MIXED, "reset": 0.3}, 2), random_log(rng, 2, 40, MIXED, 1)]
+    events = [e for log in logs for e in log]
+    parts = [[e for e in events if low <= e["seq"] < high] for low, high in ((0, 250), (250, 251), (251, 10_000))]
+    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for part in parts:
+        rng.shuffle(part)
+    write_in_order(spark, folder, parts)
+    log = stream_table(spark, folder, spark.read.parquet(folder).schema, max_files=1)
+    stream_review_replay(log, out, str(tmp_path / "marks"), chunk_events=16, fan_in=4).awaitTermination()
+    review = read_review(spark, out)
+    expected = fold(events)
+    assert rows(review.boxes, BOX) == sorted(box_rows(expected), key=repr)
+    assert rows(review.state, STATE) == sorted(state_rows(expected), key=repr)
+
+
+def test_no_task_gets_more_than_a_chunk(spark, tmp_path):
+    """Of one document's events in one file, what a task walks in one go is a chunk."""
+    rng = random.Random(9)
+    events = [e for e in random_log(rng, 1, 400, MIXED, 2) if e["op"] != "reset"]
+    log = spark.createDataFrame([tuple(e[n] for n in LOG_TYPES) for e in events], SCHEMA)
+    done = replay.walked(log, replay.DISPLAY_ORDER, 16, 4)
+    per_chunk = done.groupBy("doc_id", "chunk").count().collect()
+    assert len(per_chunk) > 20 and max(r["count"] for r in per_chunk) <= 16
+
+
+def test_appended_log(spark, tmp_path):
+    """New events don't make the earlier ones be walked again, and an append may be repeated."""
+    rng = random.Random(10)
+    logs = [random_log(rng, d, 120, {**MIXED, "reset": 0.5}, 2) for d in range(5)]
+    events = [e for log in logs for e in log]
+    store = str(tmp_path / "store")
+    for batch, (low, high) in enumerate(((0, 80), (80, 100), (100, 10_000))):
+        part = [tuple(e[n] for n in LOG_TYPES) for e in events if low <= e["seq"] < high]
+        for _ in range(2 if batch == 1 else 1):
+            append_events(spark.createDataFrame(part, SCHEMA), store, batch)
+        kept = spark.read.parquet(f"{store}/batch_id={batch}/part=events")
+        assert kept.count() <= len(part) and kept.agg({"seq": "min"}).first()[0] >= low
+    review, expected = read_review(spark, store), fold(events)
+    assert rows(review.boxes, BOX) == sorted(box_rows(expected), key=repr)
+    assert rows(review.state, STATE) == sorted(state_rows(expected), key=repr)
+
+
+def test_nothing_appended(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert read_review(spark, store).boxes.count() == 0
+    append_events(spark.createDataFrame([], SCHEMA), store, 0)
+    assert read_review(spark, store).state.count() == 0
+
+
 def test_categories_without_a_policy(spark, tmp_path):
     auto = {"op": "add_auto", "category": "orderNo"}
     events = [add(1, 0, "a", **auto), event(1, 1, "toggle_box", box_id="a"), event(1, 2, "toggle_category", category="orderNo")]

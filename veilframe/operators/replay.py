@@ -16,7 +16,7 @@ walked independently. A document within one chunk starts from nothing and needs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,7 +61,8 @@ MAX_CATEGORIES = 63
 CHUNKS_PER_TASK = 1 << 20
 
 _IN_PLACE, _MUTATE, _UNDO, _REDO = 0, 1, 2, 3
-_START_FIELDS = ("reset_seq", "undo_left", "redo_left", "depth", "policy", "final_depth")
+_START = ("undo_left", "redo_left", "depth", "policy")
+_START_FIELDS = ("reset_seq", *_START, "final_depth")
 
 
 # ---- effect tables -------------------------------------------------------------------------------------
@@ -257,8 +258,18 @@ def _unroll(group: pd.DataFrame) -> pd.DataFrame:
 # ---- depths --------------------------------------------------------------------------------------------
 
 
-def _walked(log: DataFrame, categories: tuple[str, ...], chunk_events: int, fan_in: int) -> DataFrame:
-    """Events after each document's last reset, with undo_left, redo_left, depth and policy after each."""
+def walked(
+    log: DataFrame,
+    categories: tuple[str, ...],
+    chunk_events: int = CHUNK_EVENTS,
+    fan_in: int = FAN_IN,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """Events after each document's last reset, with undo_left, redo_left, depth and policy after each.
+
+    ``known`` (doc_id, undo_left, redo_left, depth, policy) says where documents stand whose earlier events are not in
+    the log; the others start from nothing.
+    """
     kind = (
         F.when(F.col("op").isin(*MUTATIONS), _MUTATE)
         .when(F.col("op") == UNDO, _UNDO)
@@ -283,11 +294,16 @@ def _walked(log: DataFrame, categories: tuple[str, ...], chunk_events: int, fan_
         F.min("chunk").alias("chunk"),
         F.max("chunk").alias("last"),
     )
-    single = docs.where("chunk = last").select("doc_id", "chunk", "reset_seq")
-    several = docs.where("chunk <> last").select("doc_id", "reset_seq")
+    if known is not None:
+        # A reset in the log makes an end of what was before it.
+        docs = docs.join(known.select("doc_id", *_START), "doc_id", "left")
+        docs = docs.withColumns({n: F.when(F.col("reset_seq").isNull(), F.col(n)) for n in _START})
+    there = [n for n in _START if n in docs.columns]
+    single = docs.where("chunk = last").select("doc_id", "chunk", "reset_seq", *there)
+    several = docs.where("chunk <> last").select("doc_id", "reset_seq", *there)
     long_events = events.join(several.select("doc_id"), "doc_id", "left_semi")
-    chunks = long_events.select("doc_id", "chunk").distinct().join(several, "doc_id")
-    starts = chunks.join(_starts(long_events, chunks, fan_in), ["doc_id", "chunk"])
+    chunks = long_events.select("doc_id", "chunk").distinct().join(several.select("doc_id", "reset_seq"), "doc_id")
+    starts = chunks.join(_starts(long_events, chunks, fan_in, several if there else None), ["doc_id", "chunk"])
     arranged = _with_headers(events, stacked(single, starts))
     schema = StructType([StructField(f.name, f.dataType, True) for f in arranged.schema])
     return arranged.mapInArrow(_walk, schema)
@@ -302,7 +318,7 @@ def _with_headers(events: DataFrame, headers: DataFrame) -> DataFrame:
     return both.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "place", "seq")
 
 
-def _starts(events: DataFrame, chunks: DataFrame, fan_in: int) -> DataFrame:
+def _starts(events: DataFrame, chunks: DataFrame, fan_in: int, known: DataFrame | None) -> DataFrame:
     """State at the start of every chunk of the long logs, by a tree of groups of at most ``fan_in`` neighbours.
 
     The last two levels join a task's chunks, and then runs of tasks; what is left for one group at the top is a
@@ -317,8 +333,12 @@ def _starts(events: DataFrame, chunks: DataFrame, fan_in: int) -> DataFrame:
         effects = effects.withColumn("parent", F.floor(F.col("chunk") / divisor).cast("bigint"))
         levels.append(effects)
         effects = effects.groupBy("doc_id", "parent").applyInPandas(_combine, "doc_id bigint, chunk bigint, effect binary")
-    nothing = [F.lit(v).cast("bigint").alias(n) for n, v in zip(_START_FIELDS[1:], (0, 0, 0, 0, -1))]
-    top = effects.select("*", *nothing)
+    zero = F.lit(0).cast("bigint")
+    if known is None:
+        top = effects.withColumns(dict.fromkeys(_START, zero))
+    else:
+        top = effects.join(known.drop("reset_seq"), "doc_id").withColumns({n: F.coalesce(n, zero) for n in _START})
+    top = top.withColumn("final_depth", F.lit(-1).cast("bigint"))
     starts = top.groupBy("doc_id").applyInPandas(_unroll, f"doc_id bigint, chunk bigint, {state}")
     for level in reversed(levels):
         known = level.join(starts.withColumnRenamed("chunk", "parent"), ["doc_id", "parent"])
@@ -488,6 +508,18 @@ def _final_state(log: DataFrame, walked: DataFrame, events: DataFrame, categorie
     )
 
 
+def checked(categories: Sequence[str]) -> tuple[str, ...]:
+    if len(categories) > MAX_CATEGORIES:
+        raise ValueError(f"a policy can hold {MAX_CATEGORIES} categories, not {len(categories)}")
+    return tuple(categories)
+
+
+def folded(docs: DataFrame, done: DataFrame, categories: tuple[str, ...]) -> Replayed:
+    """Boxes and states of ``docs`` from their walked events; nothing in this needs the events in order."""
+    events = materialize(_effective(done), "review-events")
+    return Replayed(_final_boxes(events, categories), _final_state(docs, done, events, categories))
+
+
 def replay_review_log(
     log: DataFrame,
     categories: tuple[str, ...] = DISPLAY_ORDER,
@@ -501,8 +533,5 @@ def replay_review_log(
     The events with their depths, and those that count, are written to the shared folder, as everything
     after reads them several times.
     """
-    if len(categories) > MAX_CATEGORIES:
-        raise ValueError(f"a policy can hold {MAX_CATEGORIES} categories, not {len(categories)}")
-    walked = materialize(_walked(log, tuple(categories), chunk_events, fan_in), "review-walk")
-    events = materialize(_effective(walked), "review-events")
-    return Replayed(_final_boxes(events, tuple(categories)), _final_state(log, walked, events, tuple(categories)))
+    done = materialize(walked(log, checked(categories), chunk_events, fan_in), "review-walk")
+    return folded(log, done, tuple(categories))

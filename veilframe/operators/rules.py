@@ -34,7 +34,8 @@ class Rule:
     ``group`` is what to report of a match, and must be what a match ends with. ``validator`` gives SQL that
     tells from SQL for a match's digits whether they are valid. ``needs_regex`` and ``needs_text`` (any of
     several substrings) are cheap, unanchored conditions that hold wherever there is a match; texts that fail
-    one are not searched. ``utf16`` is set when the pattern's repeat limits can span characters above U+FFFF.
+    one are not searched. ``needs_run`` is a condition of this kind on a run of six digits or more with single separators,
+    for rules whose matches hold such a run; a line's runs are found once for all rules. ``utf16`` is set when the pattern's repeat limits can span characters above U+FFFF.
     """
 
     category: str
@@ -47,14 +48,17 @@ class Rule:
     conf_fail: float = 0.5
     needs_regex: str | None = None
     needs_text: tuple[str, ...] = ()
+    needs_run: str | None = None
     utf16: bool = False
 
     def possible(self, text: str) -> str:
         return _possible(text, self.needs_regex, self.needs_text)
 
-    def search(self, text: str) -> str:
+    def search(self, text: str, runs: str) -> str:
         hit = search(text, self.pattern, self.group, self.utf16, category=literal(self.category))
-        return f"if({self.possible(text)}, {hit}, null)"
+        if self.needs_run is None:
+            return f"if({self.possible(text)}, {hit}, null)"
+        return f"if(rlike({runs}, {literal(self.needs_run)}) AND {_possible(text, None, self.needs_text)}, {hit}, null)"
 
     def accepts(self, digits: str) -> str:
         low, high = self.min_digits or 0, self.max_digits or 2**31 - 1
@@ -105,6 +109,7 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))" + V.EMAIL
 
 # Six digits with at most one separator between neighbours: every number detector needs at least that.
 _DIGIT_RUN = to_java(r"\d(?:[\s-]?\d){5}")
+_DIGIT_RUNS = to_java(r"\d(?:[\s-]?\d){5,}")
 _HANGUL = "[가-힣]"
 PROVINCES = tuple(V.ADDRESS.split("(?:")[1].split(")")[0].split("|"))
 _PROVINCE_STARTS = tuple(dict.fromkeys(name[:2] for name in PROVINCES))
@@ -117,6 +122,7 @@ PHONE = Rule(
     max_digits=V.PHONE_DIGITS[1],
     conf_ok=V.CONFIDENCE["phone"],
     needs_regex=_DIGIT_RUN,
+    needs_run=to_java(r"(?:0|1[016789])(?:[\s-]?\d){7}"),
 )
 RRN = Rule(
     "rrn",
@@ -125,6 +131,7 @@ RRN = Rule(
     conf_ok=V.CHECKSUM_PASS,
     conf_fail=V.CHECKSUM_FAIL,
     needs_regex=_DIGIT_RUN,
+    needs_run=to_java(r"\d{6}-?\d{7}"),
 )
 CARD = Rule(
     "card",
@@ -135,6 +142,7 @@ CARD = Rule(
     conf_ok=V.CHECKSUM_PASS,
     conf_fail=V.CHECKSUM_FAIL,
     needs_regex=_DIGIT_RUN,
+    needs_run=to_java(r"\d(?:[ -]?\d){12}"),
 )
 BUSINESS_NO = Rule(
     "businessNo",
@@ -143,6 +151,7 @@ BUSINESS_NO = Rule(
     conf_ok=V.CHECKSUM_PASS,
     conf_fail=V.CHECKSUM_FAIL,
     needs_regex=_DIGIT_RUN,
+    needs_run=to_java(r"\d{3}-?\d{2}-?\d{5}"),
 )
 ACCOUNT = Rule(
     "account",
@@ -150,6 +159,8 @@ ACCOUNT = Rule(
     group=2,
     conf_ok=V.CONFIDENCE["account"],
     needs_regex=_DIGIT_RUN,
+    needs_text=("계좌", "입금", "예금주"),
+    needs_run=to_java(r"\d"),
     utf16=True,
 )
 ADDRESS = Rule(
@@ -188,7 +199,9 @@ def native_matches(text: str, rules: Iterable[Rule]) -> str:
     Every rule only searches; offsets, digit limits and confidences are worked out once, for whatever was found.
     """
     rules = tuple(rules)
-    hits = "array(" + ", ".join(r.search(text) for r in rules) + ")"
+    hits = "array(" + ", ".join(r.search(text, "_runs") for r in rules) + ")"
+    if any(r.needs_run is not None for r in rules):
+        hits = let("_runs", f"array_join(regexp_extract_all({text}, {literal(_DIGIT_RUNS)}, 0), '|')", hits)
     found = f"flatten(transform(filter({hits}, _h -> _h IS NOT NULL), _h -> {spans('_h', 'category')}))"
 
     def by_category(value: Callable[[Rule], str]) -> str:

@@ -454,6 +454,8 @@ ORACLE["D14_select_and_focus"] = select(
 ORACLE["D12_replay_hot_documents"] = select(
     [LOG.replace("CAST(user_id AS BIGINT) AS doc_id", "CAST(user_id % 4 AS BIGINT) AS doc_id"), REPLAY], _FINAL_BOXES, recursive=True
 )
+ORACLE["J2_stream_hot_documents"] = ORACLE["D12_replay_hot_documents"]
+ORACLE["D12_appended"] = ORACLE["D12_replay_review_log"]
 ORACLE["J2_stream_state"] = ORACLE["D14_select_and_focus"]
 ORACLE["J2_stream_late_events"] = ORACLE["D12_replay_review_log"]
 ORACLE["D15_dedupe_by_id"] = select(

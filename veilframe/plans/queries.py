@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums, geometry, names
 from ..operators import audit, boxes as bx, extract, intake, redact, report, spatial
 from ..operators.detect import detect_page, detect_pages, run_detectors
 from ..operators.replay import RESET, replay_review_log
+from ..operators.review_store import append_events, read_review
 from ..operators.rules import PandasRule, Rule, pick_rules, register_rule
 from ..session import shared_folder, stacked
 from ..sources import files
@@ -502,10 +503,10 @@ def _(spark, sf):
     return spark.read.parquet(out).select(*MATCH_COLUMNS)
 
 
-def _reviewed_in_stream(spark, sf, folder, pattern, max_files):
+def _reviewed_in_stream(spark, sf, folder, pattern, max_files, change=lambda log: log, **cut):
     log = review_log(stream_detect.stream_table(spark, folder, table(spark, sf, "events").schema, pattern, max_files))
     out, marks = shared_folder(spark, "stream-review"), shared_folder(spark, "stream-review-marks")
-    stream_replay.stream_review_replay(log, out, marks).awaitTermination()
+    stream_replay.stream_review_replay(change(log), out, marks, **cut).awaitTermination()
     return stream_replay.read_review(spark, out)
 
 
@@ -514,12 +515,32 @@ def _(spark, sf):
     return flat(_reviewed_in_stream(spark, sf, sf, "events.parquet", 1000).boxes, *BOX_OUT)
 
 
+@query("J2_stream_hot_documents")
+def _(spark, sf):
+    """The same events as those of four documents, all in one file: a micro-batch of many chunks for each."""
+    review = _reviewed_in_stream(
+        spark, sf, sf, "events.parquet", 1000, lambda log: log.withColumn("doc_id", F.col("doc_id") % 4), chunk_events=256, fan_in=8
+    )
+    return flat(review.boxes, *BOX_OUT)
+
+
 @query("J2_stream_state")
 def _(spark, sf):
     state = _reviewed_in_stream(spark, sf, sf, "events.parquet", 1000).state
     return flat(state, *state.columns)
 
 
+@query("D12_appended")
+def _(spark, sf):
+    """The log in three appends, each document cut where its seq says; later appends walk only what is new."""
+    log, store = review_log(table(spark, sf, "events")), shared_folder(spark, "review-store")
+    third = F.greatest(F.max("seq").over(Window.partitionBy("doc_id")) / 3, F.lit(1))
+    parts = log.withColumn("part", F.least(F.floor(F.col("seq") / third), F.lit(2)))
+    for part in range(3):
+        append_events(parts.where(F.col("part") == part), store, part)
+    return flat(read_review(spark, store).boxes, *BOX_OUT)
+
+
 @query("J2_stream_late_events")
 def _(spark, sf):
     """Events spread over files by hash, one file a micro-batch: most come after later ones of their document."""

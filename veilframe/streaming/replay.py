@@ -1,305 +1,44 @@
-"""Review events as a stream: boxes per document are kept up to date while events arrive.
+"""Review events as a stream: each micro-batch is appended to a review store.
 
-State is keyed by document. What one micro-batch holds of a document is bounded by the source's admission
-limit (``max_files`` of ``stream_table``). Events are applied in ``seq`` order within a micro-batch. An event
-that is not newer than the last one applied to its document is late: it is counted and not applied, but no event is
-lost, since all are kept beside the results. ``read_review`` takes documents without late events as the stream left
-them, and replays the kept events of the others with the batch operator.
-
-Undo steps are kept as changes, not as copies of all boxes: a step lists the boxes it changed, with their
-values on both sides. Output is, for each micro-batch, its events, the boxes it changed, and the state of every
-document it touched.
+A micro-batch is a table like any other there, so the events that one document brings are cut into chunks over all tasks;
+what is carried from one micro-batch to the next is a row for each document. See ``operators.review_store``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
-
-from ..fixed_values import DISPLAY_ORDER, UNDO_DEPTH
-from ..operators.boxes import AUTO, BOX_TYPES, MANUAL_RECT, as_boxes, last_write_wins
-from ..operators.replay import LOG_TYPES, MUTATIONS, REDO, RESET, SOURCE_OF_ADD, UNDO, Replayed, replay_review_log
-from ..session import stacked
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_KEPT = ("page_index", "x0", "y0", "x1", "y1", "source", "category", "label", "enabled")
-# Rows are of three kinds: ``event`` (``version`` is its seq), ``box`` and ``state``.
-_OUT = {
-    "kind": "string",
-    "doc_id": "bigint",
-    "id": "string",
-    "op": "string",
-    **{n: BOX_TYPES[n] for n in _KEPT},
-    "present": "boolean",
-    "version": "bigint",
-    "late": "bigint",
-    "selected_box_id": "string",
-    "focus_count": "bigint",
-    "undo_left": "bigint",
-    "redo_left": "bigint",
-    "off": "string",
-}
-_TEXT = StructType([StructField("v", StringType())])
-
-Box = dict[str, Any] | None
-
-
-class _Table:
-    """String-keyed values of a state map; read when first asked for, written back once by ``flush``."""
-
-    def __init__(self, state) -> None:
-        self.state = state
-        self.known: dict[str, Any] = {}
-        self.touched: set[str] = set()
-        self.complete = False
-
-    def get(self, key: str):
-        if key not in self.known:
-            there = not self.complete and self.state.containsKey((key,))
-            self.known[key] = json.loads(self.state.getValue((key,))[0]) if there else None
-        return self.known[key]
-
-    def put(self, key: str, value) -> None:
-        self.known[key] = value
-        self.touched.add(key)
-
-    def items(self) -> list[tuple[str, Any]]:
-        if not self.complete:
-            for key, value in self.state.iterator():
-                self.known.setdefault(key[0], json.loads(value[0]))
-            self.complete = True
-        return [(k, v) for k, v in self.known.items() if v is not None]
-
-    def clear(self) -> None:
-        self.state.clear()
-        self.known, self.touched, self.complete = {}, set(), True
-
-    def flush(self) -> None:
-        for key in self.touched:
-            if self.known[key] is not None:
-                self.state.updateValue((key,), (json.dumps(self.known[key]),))
-            elif self.state.containsKey((key,)):
-                self.state.removeKey((key,))
-
-
-class ReviewStep:
-    """Applies events to one document's boxes; ``changed`` collects the ids it touched."""
-
-    def __init__(self, head: dict[str, Any], boxes, steps, categories: Sequence[str] = DISPLAY_ORDER) -> None:
-        self.head, self.boxes, self.steps, self.categories = head, boxes, steps, categories
-        self.changed: set[str] = set()
-
-    @staticmethod
-    def new_head() -> dict[str, Any]:
-        return {"seq": -1, "late": 0, "selected": None, "focus": 0, "off": [], "depth": 0, "undo": 0, "redo": 0}
-
-    def _store(self, values: dict[str, Box]) -> None:
-        for box_id, box in values.items():
-            self.boxes.put(box_id, box)
-            self.changed.add(box_id)
-
-    def _step(self, depth: int, there: bool):
-        return self.steps.get(str(depth)) if there else None
+from pyspark.sql.streaming import StreamingQuery
 
-    def _mutate(self, new: dict[str, Box], selected: str | None) -> None:
-        h = self.head
-        for gone in range(h["depth"] + 1, h["depth"] + h["redo"] + 1):
-            self.steps.put(str(gone), None)
-        old = {b: self.boxes.get(b) for b in new}
-        new = {b: v for b, v in new.items() if v != old[b]}
-        step = {
-            "before": {b: old[b] for b in new},
-            "after": new,
-            "selected_before": h["selected"],
-            "selected_after": selected,
-        }
-        h["depth"] += 1
-        h["undo"], h["redo"], h["selected"] = h["undo"] + 1, 0, selected
-        self.steps.put(str(h["depth"]), step)
-        if h["undo"] > UNDO_DEPTH:
-            self.steps.put(str(h["depth"] - UNDO_DEPTH), None)
-            h["undo"] = UNDO_DEPTH
-        self._store(new)
+from ..fixed_values import DISPLAY_ORDER
+from ..operators.replay import CHUNK_EVENTS, FAN_IN
+from ..operators.review_store import append_events, read_review
 
-    def _in_place(self, new: dict[str, Box], selected: str | None) -> None:
-        """Change this version only: the steps into and out of it must still end where they ended."""
-        h = self.head
-        old = {b: self.boxes.get(b) for b in new}
-        into, out = self._step(h["depth"], h["undo"] > 0), self._step(h["depth"] + 1, h["redo"] > 0)
-        for step, here, beyond, depth in ((into, "after", "before", h["depth"]), (out, "before", "after", h["depth"] + 1)):
-            if step is None:
-                continue
-            for b, value in new.items():
-                step[beyond].setdefault(b, old[b])
-                step[here][b] = value
-            step[f"selected_{here}"] = selected
-            self.steps.put(str(depth), step)
-        h["selected"] = selected
-        self._store(new)
-
-    def _back(self) -> None:
-        h = self.head
-        if h["undo"] == 0:
-            return
-        step = self.steps.get(str(h["depth"]))
-        self._store(step["before"])
-        h["selected"] = step["selected_before"]
-        h["depth"], h["undo"], h["redo"] = h["depth"] - 1, h["undo"] - 1, h["redo"] + 1
-
-    def _forth(self) -> None:
-        h = self.head
-        if h["redo"] == 0:
-            return
-        step = self.steps.get(str(h["depth"] + 1))
-        self._store(step["after"])
-        h["selected"] = step["selected_after"]
-        h["depth"], h["undo"], h["redo"] = h["depth"] + 1, h["undo"] + 1, h["redo"] - 1
-
-    def _made(self, e: dict[str, Any], source: str, enabled: bool) -> Box:
-        box = {n: e[n] for n in ("page_index", "x0", "y0", "x1", "y1")}
-        box["source"], box["enabled"] = source, enabled
-        box["category"] = e["category"] if source == AUTO else None
-        box["label"] = e["label"] if source == MANUAL_RECT else None
-        return box
-
-    def apply(self, e: dict[str, Any]) -> None:
-        h, op, box_id = self.head, e["op"], e["box_id"]
-        if e["seq"] <= h["seq"]:
-            h["late"] += 1
-            return
-        h["seq"] = e["seq"]
-        if op == RESET:
-            self.changed.update(b for b, _ in self.boxes.items())
-            self.boxes.clear()
-            self.steps.clear()
-            self.head = {**self.new_head(), "seq": h["seq"], "late": h["late"]}
-        elif op == UNDO:
-            self._back()
-        elif op == REDO:
-            self._forth()
-        elif op in MUTATIONS:
-            new, selected = self._mutation(e)
-            self._mutate(new, selected)
-        elif op in ("select", "focus"):
-            h["focus"] += op == "focus"
-            self._in_place({}, box_id)
-        elif op == "rescan":
-            gone = [b for b, v in self.boxes.items() if v["source"] == AUTO and v["page_index"] == e["page_index"]]
-            self._in_place(dict.fromkeys(gone), h["selected"])
-        elif op == "rescan_box":
-            self._in_place({box_id: self._made(e, AUTO, e["category"] not in h["off"])}, h["selected"])
-
-    def _mutation(self, e: dict[str, Any]) -> tuple[dict[str, Box], str | None]:
-        h, op, box_id = self.head, e["op"], e["box_id"]
-        if op in SOURCE_OF_ADD:
-            return {box_id: self._made(e, SOURCE_OF_ADD[op], True)}, h["selected"]
-        if op == "toggle_category":
-            known = e["category"] in self.categories  # others have no policy: always on
-            on = not known or e["category"] in h["off"]
-            if known:
-                h["off"] = sorted(set(h["off"]) ^ {e["category"]})
-            mine = {b: v for b, v in self.boxes.items() if v["source"] == AUTO and v["category"] == e["category"]}
-            return {b: {**v, "enabled": on} for b, v in mine.items()}, h["selected"]
-        if op == "delete_box":
-            return {box_id: None}, None if h["selected"] == box_id else h["selected"]
-        box = self.boxes.get(box_id)
-        if box is None:
-            return {}, h["selected"]
-        if op == "toggle_box":
-            return {box_id: {**box, "enabled": not box["enabled"]}}, h["selected"]
-        patch = {n: e[n] for n in ("x0", "y0", "x1", "y1", "label", "enabled") if e[n] is not None}
-        return {box_id: {**box, **patch}}, h["selected"]
-
-
-class _Processor(StatefulProcessor):
-    def __init__(self, categories: Sequence[str]) -> None:
-        self.categories = tuple(categories)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", _TEXT)
-        self.boxes = handle.getMapState("boxes", _TEXT, _TEXT)
-        self.steps = handle.getMapState("steps", _TEXT, _TEXT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = json.loads(self.head.get()[0]) if self.head.exists() else ReviewStep.new_head()
-        boxes, steps = _Table(self.boxes), _Table(self.steps)
-        review = ReviewStep(head, boxes, steps, self.categories)
-        batch = pd.concat(list(rows)).sort_values("seq")
-        plain = batch.astype(object).where(batch.notna(), None)
-        out = []
-        for event in plain.to_dict("records"):
-            kept = {n: event[n] for n in ("op", "category", "page_index", "x0", "y0", "x1", "y1", "label", "enabled")}
-            out.append(dict.fromkeys(_OUT) | kept | {"kind": "event", "doc_id": key[0], "id": event["box_id"], "version": event["seq"]})
-            for name, kind in (("seq", int), ("page_index", int), ("enabled", bool)):
-                if event[name] is not None:
-                    event[name] = kind(event[name])
-            review.apply(event)
-        boxes.flush()
-        steps.flush()
-        self.head.update((json.dumps(review.head),))
-        h = review.head
-        for box_id in sorted(review.changed):
-            box = boxes.get(box_id)
-            row = dict.fromkeys(_OUT) | (box or {}) | {"kind": "box", "doc_id": key[0], "id": box_id}
-            out.append(row | {"present": box is not None, "version": h["seq"]})
-        state = {"kind": "state", "doc_id": key[0], "version": h["seq"], "late": h["late"], "selected_box_id": h["selected"]}
-        state |= {"focus_count": h["focus"], "undo_left": h["undo"], "redo_left": h["redo"], "off": json.dumps(h["off"])}
-        out.append(dict.fromkeys(_OUT) | state)
-        frame = pd.DataFrame(out, columns=list(_OUT))
-        types = {"int": "Int32", "bigint": "Int64", "boolean": "boolean", "double": "float64", "string": "object"}
-        yield frame.astype({n: types[t] for n, t in _OUT.items()})
-
-    def close(self) -> None:
-        pass
-
-
-def review_changes(log: DataFrame, categories: Sequence[str] = DISPLAY_ORDER) -> DataFrame:
-    """Streaming log to each micro-batch's events, changed boxes and states."""
-    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = ", ".join(f"{n} {t}" for n, t in _OUT.items())
-    return log.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=_Processor(categories), outputStructType=schema, outputMode="Update", timeMode="None"
-    )
+__all__ = ["read_review", "read_review_boxes", "stream_review_replay"]
 
 
 def stream_review_replay(
-    log: DataFrame, output: str, checkpoint: str, categories: Sequence[str] = DISPLAY_ORDER
+    log: DataFrame,
+    output: str,
+    checkpoint: str,
+    categories: Sequence[str] = DISPLAY_ORDER,
+    chunk_events: int = CHUNK_EVENTS,
+    fan_in: int = FAN_IN,
 ) -> StreamingQuery:
-    """Append what came and what changed to ``output``; a micro-batch that is run again replaces its own files."""
+    """Append the streaming log to the store at ``output``; a micro-batch that is run again replaces its own files."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{output}/batch_id={batch_id}")
-
-    writer = review_changes(log, categories).writeStream.outputMode("update").foreachBatch(keep)
+        # Read several times below, and a source is not to be asked twice for one micro-batch.
+        batch.persist()
+        try:
+            append_events(batch, output, batch_id, categories, chunk_events, fan_in)
+        finally:
+            batch.unpersist()
+
+    writer = log.writeStream.outputMode("append").foreachBatch(keep)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_review(spark: SparkSession, output: str, categories: Sequence[str] = DISPLAY_ORDER) -> Replayed:
-    """Current boxes and state of every document from what ``stream_review_replay`` has written, as the batch replay of the
-    same events gives them, in whatever order they came."""
-    rows = spark.read.parquet(output).drop("batch_id")
-    states = rows.where("kind = 'state'")
-    late = states.where("late > 0").select("doc_id").distinct()
-    events = rows.where("kind = 'event'").join(late, "doc_id", "left_semi")
-    names = {"seq": "version", "box_id": "id"}
-    again = replay_review_log(events.select(*[F.col(names.get(n, n)).alias(n) for n in LOG_TYPES]), tuple(categories))
-
-    newest = last_write_wins(rows.where("kind = 'box'").join(late, "doc_id", "left_anti"), ["doc_id", "id"], "version")
-    boxes = stacked(as_boxes(newest.where(F.col("present"))), again.boxes)
-
-    last = last_write_wins(states.join(late, "doc_id", "left_anti"), ["doc_id"], "version")
-    off = F.from_json("off", "array<string>")
-    on = [(~F.array_contains(off, c)).alias(f"{c}_on") for c in categories]
-    plain = last.select("doc_id", "selected_box_id", "focus_count", "undo_left", "redo_left", *on)
-    return Replayed(boxes, stacked(plain, again.state))
-
-
 def read_review_boxes(spark: SparkSession, output: str) -> DataFrame:
     return read_review(spark, output).boxes
