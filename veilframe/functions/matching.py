@@ -25,7 +25,9 @@ def search(text: str, pattern: str, group: int = 0, utf16: bool = False, **tags:
     p = literal(pattern)
     part = "_w" if group == 0 else f"regexp_extract_all(_t, {p}, {group})"
     wide = f"rlike(_t, {_IS_WIDE})" if utf16 else "false"
-    fields = {**tags, "source": "_t", "wide": wide, "whole": "_w", "part": part, "pieces": f"split(_t, {p}, -1)"}
+    # Splitting compiles a pattern anew for each text, replacing does not; splitting at a single character needs none.
+    pieces = f"if(contains(_t, '\\n'), split(_t, {p}, -1), split(regexp_replace(_t, {p}, '\\n'), '\\n', -1))"
+    fields = {**tags, "source": "_t", "wide": wide, "whole": "_w", "part": part, "pieces": pieces}
     found = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
     hit = let("_w", f"regexp_extract_all(_t, {p}, 0)", f"if(size(_w) = 0, null, {found})")
     source = f"if(rlike({text}, {_IS_WIDE}), regexp_replace({text}, {_ONE}, '$1$1'), {text})" if utf16 else text
@@ -51,7 +53,8 @@ def spans(hit: str, *tags: str) -> str:
         f"named_struct({carried}'start', {offset('_ends[_i] - length(_m)')}, "
         f"'end', {offset('_ends[_i]')}, 'matched', {narrow('_m')})"
     )
-    return let("_ends", running_sum(lengths), f"transform({hit}.part, (_m, _i) -> {one})")
+    ends = f"if(size({hit}.whole) = 1, {lengths}, {running_sum(lengths)})"
+    return let("_ends", ends, f"transform({hit}.part, (_m, _i) -> {one})")
 
 
 def mask_spans(text: str, covered: str) -> str:

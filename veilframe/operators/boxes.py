@@ -49,8 +49,13 @@ def as_boxes(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*[column(n, k) for n, k in BOX_TYPES.items()])
 
 
-def boxes_from_candidates(candidates: DataFrame, policy: DataFrame | None = None) -> DataFrame:
-    """Auto boxes, enabled as the document's policy for their category says (on where it says nothing)."""
+def boxes_from_candidates(candidates: DataFrame, policy: DataFrame | Column | None = None) -> DataFrame:
+    """Auto boxes, enabled as the document's policy for their category says (on where it says nothing).
+
+    The policy is a table, or, where it follows from a candidate's own columns, a condition that needs no join.
+    """
+    if isinstance(policy, Column):
+        return as_boxes(candidates, source=F.lit(AUTO), enabled=F.coalesce(policy, F.lit(True)))
     if policy is None:
         return as_boxes(candidates, source=F.lit(AUTO), enabled=F.lit(True))
     off = policy.where(~F.col("enabled")).select("doc_id", "category").distinct().withColumn("off", F.lit(True))

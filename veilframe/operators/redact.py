@@ -15,7 +15,7 @@ from ..sources.tables import LINE_KEY
 from .detect import detect_pages
 from .keyfilter import with_maybe
 from .rules import ALL_RULES, AnyRule
-from .spatial import offsets_from_geometry
+from .spatial import Layout, offsets_from_geometry
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def placeable(with_lines: bool) -> Column:
     return by_offsets | F.col("x0").isNotNull() if with_lines else by_offsets
 
 
-def text_spans(boxes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Where enabled boxes fall in the text. Drawn and moved boxes need ``lines`` with ``char_bboxes``.
+def text_spans(boxes: DataFrame, lines: DataFrame | None = None, layout: Layout | None = None) -> DataFrame:
+    """Where enabled boxes fall in the text. Drawn and moved boxes need ``lines``; see ``offsets_from_geometry``.
 
     Boxes that are not ``placeable`` have no span; who masks by these spans has to say how many those are.
     """
@@ -52,7 +52,7 @@ def text_spans(boxes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     direct = enabled.where(F.col("start").isNotNull()).select(*LINE_KEY, "start", "end")
     if lines is None:
         return direct
-    return stacked(direct, offsets_from_geometry(lines, enabled))
+    return stacked(direct, offsets_from_geometry(lines, enabled, layout))
 
 
 def _page_with_masks(text: str, entries: str) -> str:

@@ -206,16 +206,21 @@ def native_matches(text: str, rules: Iterable[Rule]) -> str:
 
     def by_category(value: Callable[[Rule], str]) -> str:
         branches = " ".join(f"WHEN {literal(r.category)} THEN {value(r)}" for r in rules)
-        return f"CASE _m.category {branches} END"
-
+        return f"CASE _m.s.category {branches} END"
+
+    # Digits are taken out once, for whoever looks at them.
+    counted = [r for r in rules if r.min_digits is not None or r.max_digits is not None or r.validator is not None]
+    digits = digits_of("_s.matched")
+    if len(counted) < len(rules):
+        digits = f"if(_s.category IN ({', '.join(literal(r.category) for r in counted) or 'null'}), {digits}, '')"
+    found = f"transform({found}, _s -> named_struct('s', _s, 'd', {digits}))"
     limited = [r for r in rules if r.min_digits is not None or r.max_digits is not None]
     if limited:
-        kept = " ".join(f"WHEN {literal(r.category)} THEN {r.accepts('_d')}" for r in limited)
-        keep = let("_d", digits_of("_m.matched"), f"CASE _m.category {kept} ELSE true END")
-        found = f"filter({found}, _m -> {keep})"
-    score = let("_d", digits_of("_m.matched"), by_category(lambda r: r.confidence("_d")))
+        kept = " ".join(f"WHEN {literal(r.category)} THEN {r.accepts('_m.d')}" for r in limited)
+        found = f"filter({found}, _m -> CASE _m.s.category {kept} ELSE true END)"
+    score = by_category(lambda r: r.confidence("_m.d"))
     one = (
-        "named_struct('category', _m.category, 'start', _m.start, 'end', _m.end, 'matched', _m.matched, "
+        "named_struct('category', _m.s.category, 'start', _m.s.start, 'end', _m.s.end, 'matched', _m.s.matched, "
         f"'confidence', {score})"
     )
     return f"transform({found}, _m -> {one})"

@@ -8,6 +8,8 @@ a join of their own: each line gathers the rectangles over it, and its character
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .extract import spans_of_lines
 
 STRIP = 64.0
 PAGE = ("doc_id", "page_index")
+Layout = Callable[[DataFrame], DataFrame]
 
 
 def strips(top: str, bottom: str) -> Column:
@@ -72,14 +75,19 @@ def redact_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
     return joined.where(~covered).select(*glyphs.columns)
 
 
-def offsets_from_geometry(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """line key, start, end of every character that an enabled box without offsets overlaps.
+def offsets_from_geometry(lines: DataFrame, boxes: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """line key, start, end of every run of characters that enabled boxes without offsets overlap.
 
-    ``lines`` carry ``char_bboxes``. This is how drawn and moved boxes reach the text. Only lines under some
-    rectangle are taken apart.
+    This is how drawn and moved boxes reach the text. ``lines`` carry ``char_bboxes``; or, with ``layout``, their own box
+    alone, and ``layout`` adds ``char_bboxes`` to those lines that are under some rectangle. A line's characters are
+    tried in place, and only what is hit becomes rows, one for each run.
     """
-    areas = _line_areas(spans_of_lines(lines), boxes.where(F.col("start").isNull()))
-    inside = lines.select(*LINE_KEY, "char_bboxes").join(areas, list(LINE_KEY))
-    chars = inside.select(*LINE_KEY, "areas", F.posexplode("char_bboxes").alias("char_no", "box"))
-    hit = chars.where(_covered({k: F.col("box")[k] for k in XY}, F.col("areas")))
-    return hit.select(*LINE_KEY, F.col("char_no").alias("start"), (F.col("char_no") + 1).alias("end"))
+    boxed = spans_of_lines(lines) if layout is None else lines.where(F.col("x0").isNotNull())
+    under = lines.join(_line_areas(boxed, boxes.where(F.col("start").isNull())), list(LINE_KEY))
+    under = under if layout is None else layout(under)
+    hit = F.transform("char_bboxes", lambda b: _covered({k: b[k] for k in XY}, F.col("areas")))
+    tried = under.select(*LINE_KEY, hit.alias("hit")).where("exists(hit, h -> h)")
+    edge = "filter(sequence(0, size(hit) - 1), i -> hit[i] AND NOT coalesce(get(hit, i {step}), false))"
+    starts, ends = (edge.format(step=step) for step in ("- 1", "+ 1"))
+    ended = tried.selectExpr(*LINE_KEY, f"{starts} AS starts", f"{ends} AS ends")
+    return ended.selectExpr(*LINE_KEY, "inline(transform(starts, (s, i) -> named_struct('start', s, 'end', ends[i] + 1)))")

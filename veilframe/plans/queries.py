@@ -17,7 +17,7 @@ from ..operators.rules import PandasRule, Rule, pick_rules, register_rule
 from ..session import shared_folder, stacked
 from ..sources import files
 from ..sources.forms import form_pages, korean_forms
-from ..sources.grid import grid_glyphs
+from ..sources.grid import grid_glyphs, grid_lines, grid_spans
 from ..sources.review_log import review_log
 from ..sources.tables import LINE_KEY, lines_of, pages_from_conversations, pages_from_documents, table
 from ..streaming import detect as stream_detect, replay as stream_replay
@@ -320,17 +320,17 @@ def _(spark, sf):
 
 @query("E3_redact_text_drawn")
 def _(spark, sf):
-    lines = inputs.grid_lines(lines_of(inputs.document_pages(spark, sf)))
-    spans = redact.text_spans(inputs.drawn_boxes(spark, sf), lines)
-    return redact.redact_text(inputs.document_pages(spark, sf), spans)
+    pages = inputs.document_pages(spark, sf)
+    spans = redact.text_spans(inputs.drawn_boxes(spark, sf), grid_spans(lines_of(pages)), grid_lines)
+    return redact.redact_text(pages, spans)
 
 
 @query("E3_redact_text_moved")
 def _(spark, sf):
     made = inputs.boxes(spark, sf)
     moved = bx.edit_boxes(made, inputs.gestures(made))
-    lines = inputs.grid_lines(lines_of(inputs.corpus(spark, sf)))
-    return redact.redact_text(inputs.corpus(spark, sf), redact.text_spans(moved, lines))
+    pages = inputs.corpus(spark, sf)
+    return redact.redact_text(pages, redact.text_spans(moved, grid_spans(lines_of(pages)), grid_lines))
 
 
 @query("E4_redact_glyphs")
@@ -370,7 +370,7 @@ def _with_report(done):
 @query("E7_anonymize_drawn")
 def _(spark, sf):
     pages = inputs.document_pages(spark, sf)
-    return _with_report(anonymize(pages, inputs.drawn_boxes(spark, sf), inputs.grid_lines(lines_of(pages))))
+    return _with_report(anonymize(pages, inputs.drawn_boxes(spark, sf), grid_spans(lines_of(pages)), layout=grid_lines))
 
 
 @query("E7_anonymize_unplaced")
