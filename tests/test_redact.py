@@ -9,10 +9,11 @@ from veilframe.operators.extract import extract_lines, extract_spans, spans_of_l
 from veilframe.operators.keyfilter import with_maybe
 from veilframe.operators.redact import clear_metadata, merge_spans, post_check, redact_text, text_spans
 from veilframe.operators.report import apply_report, categories_of, category_page_tree, redaction_plan
-from veilframe.operators.rules import Rule, pick_rules, register_rule
+from veilframe.operators.rules import PandasRule, Rule, pick_rules, register_rule
 from veilframe.operators.spatial import offsets_from_geometry, redact_glyphs, text_select_boxes
 from veilframe.plans.anonymize import anonymize, anonymize_pages, report_of_pages
 from veilframe.session import materialize
+from veilframe.sources.bucketed import bucketed_glyphs, bucketed_pages
 from veilframe.sources.grid import grid_glyphs, grid_lines, grid_spans
 from veilframe.sources.tables import lines_of
 
@@ -135,8 +136,11 @@ def test_geometry_joins_match_brute_force(spark):
         for d, ln, i, b in rows
         if any(d == m[0] and b.x0 < m[4] and m[2] < b.x1 and b.y0 < m[5] and m[3] < b.y1 for m in made)
     }
-    got = {(r.doc_id, r.line_no, r.start) for r in offsets_from_geometry(lines, boxes).collect()}
-    assert got == hit
+    runs = offsets_from_geometry(lines, boxes).collect()
+    assert {(r.doc_id, r.line_no, i) for r in runs for i in range(r.start, r.end)} == hit
+    assert len(runs) < len(hit) == sum(r.end - r.start for r in runs)
+    # From the lines' own boxes, with characters laid out where they are needed.
+    assert sorted(offsets_from_geometry(grid_spans(lines), boxes, grid_lines).collect()) == sorted(runs)
     kept = {(r.doc_id, r.line_no, r.char_no) for r in redact_glyphs(grid_glyphs(lines), boxes).collect()}
     assert kept == {(d, ln, i) for d, ln, i, _ in rows} - hit
 
@@ -232,3 +236,40 @@ def test_counts_of_own_categories_add_up(spark):
 def test_clear_metadata(spark):
     df = spark.sql("SELECT 1 doc_id, 'T' title, 'P' producer, 'x' other")
     assert clear_metadata(df).collect()[0].asDict() == {"doc_id": 1, "title": "", "producer": "", "other": "x"}
+
+
+def test_python_rules_in_the_narrow_flow(spark):
+    shout = PandasRule("shout", lambda t: [(i, i + 1, 0.5) for i, c in enumerate(t) if c == "!"] + [(0, 0, 1.0)], needs_text=("!",))
+    rules = register_rule(shout, pick_rules("email", "phone"))
+    texts = [FORM + "!\n!", "nothing here", "😀! a@b.co!", "", None, "a@b.co"]
+    df = anonymize_pages(pages(spark, *texts), rules)
+    out = {r.doc_id: r for r in df.collect()}
+    assert out[0].text == "Email: █████████████████\nPhone: █████████████\n\nCard: 4242-4242-4242-4242█\n█"
+    assert (out[0].total_boxes, out[0].n_shout, out[0].n_email, out[0].n_phone, out[0].leaks) == (4, 2, 1, 1, 0)
+    assert out[2].text == "😀█ ███████" and [out[i].text for i in (1, 3, 4)] == ["nothing here", "", None]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    alone = anonymize_pages(pages(spark, "a! b@c.de"), (shout,), max_passes=2).first()
+    assert (alone.text, alone.n_shout, alone.leaks) == ("a█ b@c.de", 1, 0)
+    kept = pages(spark, "a! b@c.de").withColumn("off", F.array(F.lit("shout")))
+    kept = anonymize_pages(kept, rules, disabled="off").first()
+    assert (kept.text, kept.total_boxes, kept.leaks) == ("a! ██████", 1, 1)
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark):
+    p = pages(spark, *[f"line {i}\nanother of {i}" for i in range(50)])
+    there = bucketed_pages(p)
+    spans = spark.createDataFrame([(i % 50, 0, i % 2, i % 5, i % 5 + 2) for i in range(200)], "doc_id bigint, page_index int, line_no int, start int, end int")
+    out = redact_text(there, spans)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, redact_text(p, spans).collect()))
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0]]
+    assert moved and not any("text#" in b for b in moved)
+
+    glyphs = grid_glyphs(lines_of(p))
+    made = spark.createDataFrame([(i, f"b{i}", 0, 0.0, 0.0, 30.0, 6.0) for i in range(0, 50, 3)], "doc_id bigint, id string, page_index int, x0 double, y0 double, x1 double, y1 double")
+    made = bx.as_boxes(made, enabled=F.lit(True), source=F.lit("manual-rect"))
+    left = redact_glyphs(bucketed_glyphs(glyphs), made, in_buckets=True)
+    assert sorted(map(str, left.collect())) == sorted(map(str, redact_glyphs(glyphs, made).collect()))
+    plan = left._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0]]
+    assert moved and not any("quad#" in b or "ch#" in b for b in moved)

@@ -85,22 +85,30 @@ class PandasRule:
     def possible(self, text: str) -> str:
         return _possible(text, self.needs_regex, self.needs_text)
 
-    def matches(self, text: Column) -> Column:
-        category, scan = self.category, self.scan
+    def found(self, text: str | None) -> list[dict]:
+        spans = () if text is None else self.scan(text)
+        return [{"category": self.category, "start": s, "end": e, "matched": text[s:e], "confidence": float(c)} for s, e, c in spans if text[s:e]]
 
+    def matches(self, text: Column) -> Column:
         @F.pandas_udf(MATCHES)
         def run(texts: pd.Series) -> pd.Series:
-            return texts.map(
-                lambda t: [
-                    {"category": category, "start": s, "end": e, "matched": t[s:e], "confidence": float(c)}
-                    for s, e, c in (scan(t) if t is not None else ())
-                    if t[s:e]
-                ]
-            )
+            return texts.map(self.found)
 
         return run(text)
 
 
+def python_matches(text: Column, rules: Iterable[PandasRule]) -> Column:
+    """An array of MATCHES for each line of a page, null for a null page; texts go to Python once for all the rules."""
+    rules = tuple(rules)
+
+    @F.pandas_udf(f"array<{MATCHES}>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [[m for r in rules for m in r.found(line)] for line in t.split("\n")])
+
+    # Called so, it stays a step of its own: inside the expressions that use its result it could not be run.
+    return run.asNondeterministic()(text)
+
+
 AnyRule = Rule | PandasRule
 
 # An e-mail match starts where a run of local-part characters starts or where the last match ended. Saying

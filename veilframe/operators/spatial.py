@@ -62,12 +62,13 @@ def _covered(box: dict[str, Column], areas: Column) -> Column:
     return F.exists(areas, lambda a: overlaps(box, {k: a[k] for k in XY}))
 
 
-def redact_glyphs(glyphs: DataFrame, boxes: DataFrame) -> DataFrame:
+def redact_glyphs(glyphs: DataFrame, boxes: DataFrame, in_buckets: bool = False) -> DataFrame:
     """Glyphs that no enabled box overlaps. Glyphs that only touch a box stay.
 
-    Glyphs are dealt out by line once; finding the lines' boxes and the join with the areas over them both use that.
+    Glyphs are dealt out by line once; finding the lines' boxes and the join with the areas over them both use that. With
+    ``in_buckets`` they come from a table in buckets by line (``sources.bucketed``), and no glyph is moved at all.
     """
-    dealt = glyphs.repartition(*LINE_KEY)
+    dealt = glyphs if in_buckets else glyphs.repartition(*LINE_KEY)
     edges = [(F.min if k in ("x0", "y0") else F.max)(k).alias(k) for k in XY]
     line_boxes = dealt.select(*LINE_KEY, *columns(quad_to_box(F.col("quad")))).groupBy(*LINE_KEY).agg(*edges)
     joined = dealt.join(_line_areas(line_boxes, boxes), list(LINE_KEY), "left")

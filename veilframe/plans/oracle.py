@@ -181,18 +181,6 @@ ORACLE["K1_register_rule"] = select(
     ],
     f"{MATCHES} UNION ALL {MATCHES.replace('cand', 'own')}",
 )
-ORACLE["K1_reported"] = select(
-    [
-        *CORPUS_LINES,
-        candidates("email"),
-        "own AS (" + by_pattern("orderNo", "주문번호: ([0-9-]+)", 1, f"length({DIGITS}) >= 6", "0.6", "lines") + ")",
-        "both_ AS (SELECT doc_id, page_index, category FROM cand UNION ALL SELECT doc_id, page_index, category FROM own)",
-    ],
-    """SELECT d.doc_id, count(b.doc_id) AS total_boxes, count(*) FILTER (WHERE category = 'email') AS n_email,
-  count(*) FILTER (WHERE category = 'orderNo') AS "n_orderNo", count(DISTINCT b.page_index) AS pages_affected,
-  CASE WHEN count(b.doc_id) = 0 THEN 'skipped_no_boxes' ELSE 'applied' END AS status
-  FROM (SELECT DISTINCT doc_id FROM pages_) d LEFT JOIN both_ b ON b.doc_id = d.doc_id GROUP BY d.doc_id""",
-)
 ORACLE["K1_register_python_rule"] = select(
     CORPUS_LINES,
     """SELECT doc_id, page_index, line_no, 'taxpayer' AS category, CAST(strpos(text, '사업자번호') - 1 AS INTEGER) AS "start",
@@ -493,6 +481,43 @@ LEAKS = (
     + "SELECT doc_id, page_index FROM left_over UNION ALL "
     + "SELECT doc_id, page_index FROM boxes WHERE category = 'address' AND NOT enabled) x GROUP BY doc_id, page_index)"
 )
+_FOUND = 'doc_id, page_index, line_no, category, "start", "end"'
+_ORDER_NO = ("orderNo", "주문번호: ([0-9-]+)", 1, f"length({DIGITS}) >= 6", "0.6")
+ORACLE["K1_reported"] = select(
+    [
+        *CORPUS_LINES,
+        candidates("email"),
+        f"own AS ({by_pattern(*_ORDER_NO, 'lines')})",
+        f"boxes AS (SELECT {_FOUND}, true AS enabled FROM cand UNION ALL SELECT {_FOUND}, true FROM own)",
+        masked(),
+        candidates("email", name="left_over", source="out_lines"),
+        f"own_left AS ({by_pattern(*_ORDER_NO, 'out_lines')})",
+        "leaks AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM left_over UNION ALL SELECT doc_id FROM own_left) x GROUP BY doc_id)",
+    ],
+    """SELECT d.doc_id, count(b.doc_id) AS total_boxes, count(*) FILTER (WHERE category = 'email') AS n_email,
+  count(*) FILTER (WHERE category = 'orderNo') AS "n_orderNo", count(DISTINCT b.page_index) AS pages_affected,
+  coalesce(any_value(l.n), 0) AS leaks, CASE WHEN count(b.doc_id) = 0 THEN 'skipped_no_boxes' ELSE 'applied' END AS status
+  FROM (SELECT DISTINCT doc_id FROM pages_) d LEFT JOIN boxes b ON b.doc_id = d.doc_id LEFT JOIN leaks l ON l.doc_id = d.doc_id
+  GROUP BY d.doc_id""",
+)
+_MENTIONS = """SELECT doc_id, page_index, line_no, 'taxpayer' AS category, strpos(text, '사업자번호') - 1 AS "start",
+  strpos(text, '사업자번호') + 4 AS "end" FROM {} WHERE contains(text, '사업자번호')"""
+ORACLE["K1_anonymize_python_rule"] = select(
+    [
+        *CORPUS_LINES,
+        candidates("email"),
+        f"boxes AS (SELECT {_FOUND}, true AS enabled FROM cand UNION ALL SELECT *, true FROM ({_MENTIONS.format('lines')}) t)",
+        masked(),
+        candidates("email", name="left_over", source="out_lines"),
+        f"leaks AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM left_over UNION ALL SELECT doc_id FROM ({_MENTIONS.format('out_lines')}) t) x GROUP BY doc_id)",
+    ],
+    """SELECT o.doc_id, o.page_index, o.text, CAST(coalesce(b.n, 0) AS BIGINT) AS total_boxes, CAST(coalesce(b.e, 0) AS BIGINT) AS n_email,
+  CAST(coalesce(b.t, 0) AS BIGINT) AS n_taxpayer, CAST(coalesce(l.n, 0) AS BIGINT) AS leaks
+  FROM out_pages o LEFT JOIN leaks l ON l.doc_id = o.doc_id LEFT JOIN (
+    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE category = 'email') AS e, count(*) FILTER (WHERE category = 'taxpayer') AS t FROM boxes GROUP BY doc_id
+  ) b ON b.doc_id = o.doc_id""",
+)
+
 COUNTED = (*DISPLAY_ORDER, "manual")
 COUNTS = ", ".join(
     f"count(*) FILTER (WHERE coalesce(category, 'manual') = '{c}') AS \"n_{c}\"" for c in COUNTED
@@ -706,3 +731,5 @@ ORACLE["J3_latest_scan_wins"] = select(
   WHERE scan_seq = (SELECT max(scan_seq) FROM scans s WHERE s.doc_id = r.doc_id AND s.page_index = r.page_index)""",
 )
 ORACLE["J3_stream_latest_scan_wins"] = ORACLE["J3_latest_scan_wins"]
+ORACLE["E4_redact_glyphs_bucketed"] = ORACLE["E4_redact_glyphs"]
+ORACLE["E7_anonymize_bucketed"] = ORACLE["E7_anonymize_reviewed"]

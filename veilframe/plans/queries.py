@@ -16,6 +16,7 @@ from ..operators.review_store import append_events, read_review
 from ..operators.rules import PandasRule, Rule, pick_rules, register_rule
 from ..session import shared_folder, stacked
 from ..sources import files
+from ..sources.bucketed import bucketed_glyphs, bucketed_pages
 from ..sources.forms import form_pages, korean_forms
 from ..sources.grid import grid_glyphs, grid_lines, grid_spans
 from ..sources.review_log import review_log
@@ -341,6 +342,14 @@ def _(spark, sf):
     )
 
 
+@query("E4_redact_glyphs_bucketed")
+def _(spark, sf):
+    left = spatial.redact_glyphs(bucketed_glyphs(_glyphs(spark, sf)), inputs.reviewed_boxes(spark, sf), in_buckets=True)
+    return left.groupBy(*LINE_KEY).agg(
+        F.count(F.lit(1)).alias("n_left"), F.sum(F.col("char_no").cast("bigint")).alias("sum_char_no")
+    )
+
+
 @query("E5_clear_metadata")
 def _(spark, sf):
     return redact.clear_metadata(inputs.metadata(spark, sf))
@@ -362,6 +371,11 @@ def _(spark, sf):
     return anonymize(inputs.corpus(spark, sf), inputs.boxes(spark, sf)).report
 
 
+@query("E7_anonymize_bucketed")
+def _(spark, sf):
+    return anonymize(bucketed_pages(inputs.corpus(spark, sf)), inputs.boxes(spark, sf), in_buckets=True).report
+
+
 def _with_report(done):
     numbers = ("total_boxes", "n_manual", "unplaced", "leaks", "status")
     return done.pages.select("doc_id", "page_index", "text").join(done.report.select("doc_id", *numbers), "doc_id")
@@ -599,12 +613,21 @@ def _(spark, sf):
     names = report.categories_of(rules)
     pages = inputs.corpus(spark, sf)
     plan = report.redaction_plan(bx.boxes_from_candidates(detect_pages(pages, rules)), names)
-    return report.apply_report(plan, redact.post_check(pages.limit(0), rules), pages, categories=names).select(
-        "doc_id", "total_boxes", "n_email", "n_orderNo", "pages_affected", "status"
+    checked = redact.post_check(anonymize_pages(pages, rules), rules)
+    return report.apply_report(plan, checked, pages, categories=names).select(
+        "doc_id", "total_boxes", "n_email", "n_orderNo", "pages_affected", "leaks", "status"
     )
 
 
+TAXPAYER = PandasRule("taxpayer", _taxpayer, needs_text=("사업자번호",))
+
+
+@query("K1_anonymize_python_rule")
+def _(spark, sf):
+    rules = register_rule(TAXPAYER, pick_rules("email"))
+    return anonymize_pages(inputs.corpus(spark, sf), rules).select("doc_id", "page_index", "text", "total_boxes", "n_email", "n_taxpayer", "leaks")
+
+
 @query("K1_register_python_rule")
 def _(spark, sf):
-    rules = (PandasRule("taxpayer", _taxpayer, needs_text=("사업자번호",)),)
-    return run_detectors(lines_of(inputs.corpus(spark, sf)), rules).select(*MATCH_COLUMNS)
+    return run_detectors(lines_of(inputs.corpus(spark, sf)), (TAXPAYER,)).select(*MATCH_COLUMNS)
