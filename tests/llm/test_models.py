@@ -93,3 +93,43 @@ def test_prior_and_separation():
     model = fit(positive, unlabelled)
     assert model.scores(good[2000:]).mean() > 0.9 > 0.1 > model.scores(bad).mean()
     assert features(None).sum() == features(" \n").sum() == 0
+
+
+def test_more_languages_than_the_sample_has_room_for(docs_of, spark, monkeypatch):
+    """250 labels, each with bytes of its own; the sample shrinks instead of leaving any out."""
+    from veilframe.llm import language_id
+
+    monkeypatch.setattr(language_id, "DOCS_IN_ALL", 500)
+    rows = [(i, f"{chr(0x4E00 + i % 250)} " * 30, f"l{i % 250}") for i in range(1500)]
+    out = identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert len(out) == 1500 and {r.lang_pred for r in out} <= {f"l{k}" for k in range(250)}
+
+
+WITHOUT_PACKAGE = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from veilframe.llm.queries import LLM_QUERIES
+from veilframe.session import local_session
+
+spark = local_session(2)
+seen = spark.range(1).mapInArrow(lambda batches: (b for b in batches if __import__("importlib.util").util.find_spec("veilframe") is None), "id bigint")
+assert seen.count() == 1, "workers have the package"
+for name in ("op2_quality_classifier", "op10_language_id"):
+    assert LLM_QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+print("done")
+"""
+
+
+def test_workers_need_no_package(tmp_path):
+    """Functions travel with the job, and what is broadcast are plain values."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    script = tmp_path / "job.py"
+    script.write_text(WITHOUT_PACKAGE)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, str(script), root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.stdout.strip().endswith("done"), run.stderr[-2000:]

@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 
 from .common import held_out
 
-# The sample: documents and windows of each language, and bytes in a window.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, TRAIN_WINDOW = 400, 24, 40
-MAX_LANGUAGES = 200
+# The sample: documents of each language and of all, windows of a document, and bytes in a window. It is what comes to the
+# driver, 77 MB at most; with more than 200 languages each has fewer documents in it, one at least.
+DOCS_PER_LANGUAGE, DOCS_IN_ALL, WINDOWS_PER_DOC, TRAIN_WINDOW = 400, 80_000, 24, 40
 WINDOW, BATCH = 64, 2048
 HIDDEN, STEPS, BATCH_WINDOWS, RATE = 8, 500, 256, 0.02
 UNKNOWN = "und"
@@ -169,18 +169,18 @@ def _drawn(text: str, key: int) -> bytes:
 
 
 def training_windows(docs: DataFrame, text_col: str, label_col: str, key: Column) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, their labels' numbers and the labels, of ``DOCS_PER_LANGUAGE`` rows of each label or so: those whose key's
-    hash is under the share that this number is of the label's rows. Only windows come to the driver."""
+    """Windows, their labels' numbers and the labels, of ``DOCS_PER_LANGUAGE`` rows of each label or so (fewer where that would
+    be more than ``DOCS_IN_ALL``): those whose key's hash is under the share that this number is of the label's rows. Only
+    windows come to the driver, and a count for each label."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(key, text_col).alias("key"))
     rows = rows.where("label IS NOT NULL AND length(text) > 0")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
+    each = min(DOCS_PER_LANGUAGE, max(1, DOCS_IN_ALL // max(1, len(names))))
     if not names:
         return np.zeros((0, TRAIN_WINDOW), np.uint8), np.zeros(0, int), []
-    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, DOCS_PER_LANGUAGE / counts[n]))]), F.col("label"))
-    chosen = rows.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < share).orderBy("key", "label").limit(2 * DOCS_PER_LANGUAGE * len(names))
+    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, each / counts[n]))]), F.col("label"))
+    chosen = rows.where(F.pmod("key", F.lit(1 << 30)) / float(1 << 30) < share).orderBy("key", "label").limit(2 * each * len(names))
 
     @F.pandas_udf("binary")
     def drawn(texts: pd.Series, keys: pd.Series) -> pd.Series:
@@ -196,12 +196,13 @@ def training_windows(docs: DataFrame, text_col: str, label_col: str, key: Column
 def predict(docs: DataFrame, net: Network, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, ``lang_pred`` and ``score``, the mean probability of that language. Texts that are null or without a letter are
     ``und`` with score 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    # Plain values: a class of this package could not be unpickled where the package isn't installed.
+    shared = docs.sparkSession.sparkContext.broadcast((net.labels, net.embed, net.recur, net.out))
     slim = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = Network(*shared.value)
         for batch in batches:
             for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
                 texts = part.column(part.num_columns - 1).to_pylist()
@@ -220,7 +221,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The id, ``held_out``, ``lang_pred`` and ``score`` of every row.
 
     Learned from text and language of rows outside the test fold only. Rows stay as they are, repeated ones and null ids
-    included; with nothing to learn from, every text is ``und``.
+    included; with nothing to learn from, every text is ``und``, and an empty table gives an empty result. Of languages that
+    are equally likely the first by name is taken. Texts are read whole, however long, a batch of windows at a time.
     """
     fold = held_out(id_col)
     windows, labels, names = training_windows(docs.where(~fold), text_col, lang_col, F.col(id_col))

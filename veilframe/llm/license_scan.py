@@ -1,6 +1,8 @@
 """Licence scan: normalized passages against licence templates by the Dice coefficient over word bigrams.
 
-A passage is a line, a paragraph (between lines without a word) or the whole text. Its Dice coefficient with a template
+A passage is a line, a paragraph (between lines without a word), the whole text, or a run: as many words as the template
+has, wherever in the text, so that line ends, comment signs and what stands around a notice don't matter. Runs are laid so
+that a marker word of the text falls on a place that the template has it. The Dice coefficient of a passage with a template
 is twice the bigrams shared over all bigrams of both, each counted once. Two bounds prune candidates, and both keep all
 matches: sizes that differ too much can't reach the threshold, and a match must hold one of the template's marker words,
 without which too few of its bigrams are left. Everything is an expression over the document's own row; templates are
@@ -31,6 +33,11 @@ class Template:
     least: int
     most: int
     markers: tuple[str, ...]
+    words: tuple[str, ...]
+
+    def places(self) -> dict[str, list[int]]:
+        """Where in the template each marker word stands."""
+        return {m: [i for i, w in enumerate(self.words) if w == m] for m in self.markers}
 
 
 def _words(text: str) -> list[str]:
@@ -55,7 +62,7 @@ def compiled(templates: Sequence[tuple[str, str]], threshold: float) -> list[Tem
                 break
             markers.append(word)
             left = [b for b in left if word not in b.split(" ")]
-        out.append(Template(number, license_, bigrams, least, most, tuple(markers)))
+        out.append(Template(number, license_, bigrams, least, most, tuple(markers), tuple(words)))
     return out
 
 
@@ -78,7 +85,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``licenses`` (names found, sorted, joined by commas), ``n_matches``, ``best_dice``
     (6 digits, null without a match) and ``matches``: passage (its kind and number), template, license and dice of each
-    distinct passage and template at or above the threshold, sorted.
+    distinct passage and template at or above the threshold, sorted. Of a template's runs only the best counts, the first of
+    equals (its number is that of its first word), and none where another passage matches the template.
 
     Null, empty and other texts without a match have an empty list. Rows stay as they are, repeated ones included.
     """
@@ -100,19 +108,39 @@ def scan_licenses(
     split = F.transform(some, lambda p: F.struct(p["kind"].alias("kind"), p["no"].alias("no"), F.split(p["words"], " ").alias("words")))
     sized = F.transform(split, lambda p: F.struct(p["kind"].alias("kind"), p["no"].alias("no"), _bigrams(p["words"]).alias("bigrams")))
 
-    def match(p: Column, t: Template) -> Column:
-        n = F.size(p["bigrams"])
-        shared = F.size(F.array_intersect(p["bigrams"], F.array(*[F.lit(b) for b in t.bigrams])))
+    def match(bigrams: Column, t: Template, kind: Column, no: Column) -> Column:
+        n = F.size(bigrams)
+        shared = F.size(F.array_intersect(bigrams, F.array(*[F.lit(b) for b in t.bigrams])))
         dice = F.when(n.between(t.least, t.most), F.round(2.0 * shared / (n + len(t.bigrams)), 6))
         return F.when(
-            dice >= threshold,
-            F.struct(p["kind"].alias("kind"), p["no"].alias("no"), F.lit(t.number).alias("template"), F.lit(t.license).alias("license"), dice.alias("dice")),
+            dice >= threshold, F.struct(kind.alias("kind"), no.alias("no"), F.lit(t.number).alias("template"), F.lit(t.license).alias("license"), dice.alias("dice"))
         )
 
-    found = F.flatten(F.transform(F.col("__passages"), lambda p: F.array(*[match(p, t) for t in table])))
-    slim = docs.select(F.col(id_col), sized.alias("__passages"))
-    kept = F.coalesce(F.filter(found, lambda m: m.isNotNull()), F.array().cast("array<struct<kind:string,no:int,template:int,license:string,dice:double>>"))
-    out = slim.select(id_col, F.sort_array(kept).alias("matches"))
+    none = F.array().cast("array<struct<kind:string,no:int,template:int,license:string,dice:double>>")
+    found = F.flatten(F.transform(F.col("__passages"), lambda p: F.array(*[match(p["bigrams"], t, p["kind"], p["no"]) for t in table])))
+
+    def run(t: Template) -> Column:
+        """The template's best run."""
+        at = F.create_map(*[x for m, places in t.places().items() for x in (F.lit(m), F.array(*[F.lit(p) for p in places]))])
+        starts = F.flatten(F.transform(F.col("__marked"), lambda h: F.transform(F.coalesce(F.try_element_at(at, h["w"]), F.array().cast("array<int>")), lambda o: F.greatest(h["i"] - o, F.lit(0)))))
+
+        def tried(s: Column) -> Column:
+            words = F.slice("__words", s + 1, F.lit(len(t.words)))
+            # The words are looked into at every place, so they are bound once.
+            return F.get(F.transform(F.array(words), lambda ws: match(_bigrams(ws), t, F.lit("run"), s)), 0)
+
+        hits = F.filter(F.transform(F.array_distinct(starts), tried), lambda m: m.isNotNull())
+        best = F.array_max(F.transform(hits, lambda m: F.struct(m["dice"].alias("d"), (-m["no"]).alias("n"), m.alias("m"))))["m"]
+        return F.when(~F.exists("__found", lambda m: m["template"] == t.number), best)
+
+    # All of this is for texts with a marker word only.
+    words = F.when(F.rlike(F.lower(text), F.lit(marker)), F.split(_normalized(text), " "))
+    all_markers = F.array(*[F.lit(m) for m in sorted({m for t in table for m in t.markers})])
+    marked = F.filter(F.transform("__words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda h: F.array_contains(all_markers, h["w"]))
+    slim = docs.select(F.col(id_col), sized.alias("__passages"), words.alias("__words"))
+    slim = slim.select(id_col, "__words", marked.alias("__marked"), F.coalesce(F.filter(found, lambda m: m.isNotNull()), none).alias("__found"))
+    runs = F.when(F.size("__marked") > 0, F.filter(F.array(*[run(t) for t in table]), lambda m: m.isNotNull()))
+    out = slim.select(id_col, F.sort_array(F.concat("__found", F.coalesce(runs, none))).alias("matches"))
     return out.select(
         id_col,
         F.array_join(F.sort_array(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),

@@ -82,6 +82,7 @@ GROUP BY d.rid, d.doc_id, d.text
 """
 
 _TEMPLATE_ROWS = ", ".join(f"({t.number}, {_quoted(t.license)}, {_list(t.bigrams)})" for t in compiled(TEMPLATES, THRESHOLD))
+_ANCHOR_ROWS = ", ".join(f"({t.number}, {_quoted(m)}, {o}, {len(t.words)})" for t in compiled(TEMPLATES, THRESHOLD) for m, at in t.places().items() for o in at)
 _LICENSES = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 parts AS (SELECT rid, string_split(text, chr(10)) AS ls, string_split_regex(text, '\n(?:[ \t\r\x0b\f]*\n)+') AS ps, text FROM d),
@@ -93,12 +94,25 @@ pairs AS (
   SELECT rid, list_distinct(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) AS bs FROM worded
 ),
 templates(template, license, ts) AS (VALUES {_TEMPLATE_ROWS}),
+anchors(template, marker, o, n_words) AS (VALUES {_ANCHOR_ROWS}),
+whole AS (SELECT rid, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS ws FROM d),
+placed AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM whole),
+starts AS (SELECT DISTINCT rid, template, n_words, greatest(i - 1 - o, 0) AS s FROM placed JOIN anchors ON marker = w),
+runs AS (SELECT rid, template, s, ws[s + 1:s + n_words] AS ws FROM starts JOIN whole USING (rid)),
+run_pairs AS (SELECT rid, template, s, list_distinct(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1])) AS bs FROM runs),
+passage_matches AS (
+  SELECT rid, template, license, round(2.0::DOUBLE * len(list_intersect(bs, ts)) / (len(bs) + len(ts)), 6) AS dice FROM pairs, templates
+),
+run_matches AS (
+  SELECT rid, template, license, max(round(2.0::DOUBLE * len(list_intersect(bs, ts)) / (len(bs) + len(ts)), 6)) AS dice
+  FROM run_pairs JOIN templates USING (template) GROUP BY rid, template, license
+),
 matches AS (
-  SELECT rid, license, round(2.0::DOUBLE * len(list_intersect(bs, ts)) / (len(bs) + len(ts)), 6) AS dice FROM pairs, templates
+  SELECT * FROM passage_matches WHERE dice >= {THRESHOLD}
+  UNION ALL SELECT * FROM run_matches WHERE dice >= {THRESHOLD} AND (rid, template) NOT IN (SELECT (rid, template) FROM passage_matches WHERE dice >= {THRESHOLD})
 ),
 found AS (
-  SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n, max(dice) AS best
-  FROM matches WHERE dice >= {THRESHOLD} GROUP BY rid
+  SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n, max(dice) AS best FROM matches GROUP BY rid
 )
 SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n, 0)::BIGINT AS n_matches, best AS best_dice FROM d LEFT JOIN found USING (rid)
 """

@@ -187,12 +187,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def score(docs: DataFrame, model: Classifier | None, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, ``score`` and ``predicted`` of every row; without a model the score is 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a class of this package could not be unpickled where the package isn't installed.
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.mean, model.deviation, model.weights, model.prior))
     slim = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value and Classifier(*shared.value)
         for batch in batches:
             for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
                 x = np.stack([features(t.as_py()) for t in part.column(part.num_columns - 1)])
@@ -208,7 +209,8 @@ def classify_quality(
     """The id, ``held_out``, ``score`` (higher: rather good) and ``predicted`` of every row.
 
     Null and empty texts are scored like others, as texts without words. Rows stay as they are, repeated ones and null
-    ids included. The score depends on the text alone.
+    ids included; an empty table gives an empty result. The score depends on the text alone, read whole, so equal texts
+    have equal scores, and one of exactly 0.5 is predicted as good.
     """
     model = learn(docs, labels, id_col, text_col, label_col)
     slim = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("__input"))
