@@ -7,7 +7,7 @@ from veilframe.functions.names import anonymized_name, short_ref
 from veilframe.operators import boxes as bx
 from veilframe.operators.audit import external_url_audit, size_budget
 from veilframe.operators.intake import intake_triage
-from veilframe.sources.files import list_files, write_anonymized
+from veilframe.sources.files import drop_replaced_attempts, list_files, read_anonymized_batches, write_anonymized, write_anonymized_batch
 
 
 def one(spark, box, *columns):
@@ -97,6 +97,45 @@ def test_write_anonymized(spark, tmp_path):
     assert (row.file_name, row.lang) == ("a-anonymized.pdf", "en")
 
 
+def test_batches_are_whole_or_absent(spark, tmp_path):
+    """A run that stops half-way leaves what was there, one that is repeated replaces it."""
+    out = str(tmp_path / "out")
+
+    def pages(*rows):
+        return spark.createDataFrame(rows, "doc_id int, name string, text string").repartition(4)
+
+    def read():
+        return sorted((r.batch, r.doc_id, r.file_name, r.text) for r in read_anonymized_batches(spark, out).collect())
+
+    with pytest.raises(FileNotFoundError):
+        read_anonymized_batches(spark, out)
+    torn = pages((1, "a.pdf", "new"), (2, "b.pdf", "boom"), (3, "c.pdf", "new")).withColumn(
+        "text", F.when(F.col("text") == "boom", F.raise_error(F.lit("stopped"))).otherwise(F.col("text"))
+    )
+    with pytest.raises(Exception, match="stopped"):
+        write_anonymized_batch(torn, out, "007")
+    with pytest.raises(FileNotFoundError):
+        read_anonymized_batches(spark, out)
+    write_anonymized_batch(pages((1, "a.pdf", "old"), (2, "b.pdf", "old")), out, "007")
+    write_anonymized_batch(pages((5, None, None)), out, "8")
+    first = [("007", 1, "a-anonymized.pdf", "old"), ("007", 2, "b-anonymized.pdf", "old"), ("8", 5, "output-anonymized.pdf", None)]
+    key = lambda rows: sorted(rows, key=repr)
+    assert key(read()) == key(first)
+    with pytest.raises(Exception, match="stopped"):
+        write_anonymized_batch(torn, out, "007")
+    assert key(read()) == key(first)
+    for _ in range(2):
+        write_anonymized_batch(pages((1, "a.pdf", "new")), out, "007")
+    again = [("007", 1, "a-anonymized.pdf", "new"), first[-1]]
+    assert key(read()) == key(again)
+    assert drop_replaced_attempts(spark, out) == 4 and key(read()) == key(again)
+    write_anonymized_batch(pages(), out, "8")
+    assert key(read()) == key(again[:1])
+    for wrong in ("a/b", ""):
+        with pytest.raises(ValueError):
+            write_anonymized_batch(pages(), out, wrong)
+
+
 def test_audits(spark):
     html = '<svg xmlns="http://www.w3.org/2000/svg"><a href=\'https://x.test/p?q=1\'>(http://y.test)</a>'
     df = spark.createDataFrame([(1, html), (2, None), (3, "none")], "k int, html string")

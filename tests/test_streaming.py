@@ -8,6 +8,7 @@ from veilframe.operators.replay import LOG_TYPES, replay_review_log
 from veilframe.operators import replay
 from veilframe.operators.review_store import append_events, states_of
 from veilframe.plans import inputs
+from veilframe.sources.batches import current, merge_due, put_batch, batch_tables, whole
 from veilframe.sources.tables import table
 from veilframe.streaming.detect import read_latest_scans, stream_detect, stream_latest_scans, stream_table
 from veilframe.streaming.replay import read_review, read_review_boxes, stream_review_replay
@@ -141,3 +142,47 @@ def test_latest_scan_over_micro_batches(spark, tmp_path):
     stream_latest_scans(arriving, out, marks).awaitTermination()
     got = sorted((r.doc_id, r.page_index, r.category) for r in read_latest_scans(spark, out).collect())
     assert got == [(1, 0, "new"), (1, 1, "other page"), (2, 0, "x"), (2, 0, "y")]
+
+
+def test_fifty_micro_batches_are_few_folders(spark, tmp_path):
+    """Scans in any order over 50 micro-batches, merged by fours: the newest of each page, and what they replace is gone."""
+    rng = random.Random(4)
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    schema = "doc_id bigint, page_index int, scan_seq bigint, category string"
+    events = [(rng.randrange(6), 0, seq) for seq in range(200)]
+    rng.shuffle(events)
+    found = {e: [f"{e[2]}{c}" for c in "ab"[: rng.randrange(3)]] for e in events}
+    for k in range(50):
+        part = [(*e, c) for e in events[4 * k : 4 * k + 4] for c in (None, *found[e])]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    arriving = stream_table(spark, source, spark.read.parquet(source).schema, max_files=1)
+    stream_latest_scans(arriving, out, marks, fan=4).awaitTermination()
+    newest = {d: max(e for e in events if e[0] == d) for d, _, _ in events}
+    got = sorted((r.doc_id, r.scan_seq, r.category) for r in read_latest_scans(spark, out).collect())
+    assert got == sorted((e[0], e[2], c) for e in newest.values() for c in found[e])
+    assert [b - a + 1 for a, b in current(spark, out, "results")] == [16, 16, 16, 1, 1]
+    # What the last merge replaced is still there, for readers that listed it; nothing older is.
+    left = set(whole(spark, out, "results")) - set(current(spark, out, "results"))
+    assert left == {(32, 35), (36, 39), (40, 43), *((k, k) for k in range(44, 48))}
+    merged = batch_tables(spark, out, [(0, 15)], ["scans"])["scans"]
+    assert merged.count() == len({e[0] for e in events[:64]})
+
+
+def test_merges_can_be_cut_short_and_repeated(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame([(v,) for v in x], "v int")
+    union = lambda tables: tables
+    read = lambda: sorted(r.v for r in batch_tables(spark, store, current(spark, store, "b"), ["b"])["b"].collect())
+    for k in range(4):
+        put_batch(store, k, k, {"a": rows(k), "b": rows(10 + k)})
+        if k == 1:
+            # A merge that stopped after its first table isn't seen.
+            rows(0, 1).write.parquet(f"{store}/first=0/last=1/part=a")
+            assert current(spark, store, "b") == [(0, 0), (1, 1)] and read() == [10, 11]
+        for _ in range(2):  # a micro-batch that is run again
+            merge_due(spark, store, k, ["a", "b"], union, 2)
+    assert current(spark, store, "b") == [(0, 3)] and read() == [10, 11, 12, 13]
+    put_batch(store, 3, 3, {"a": rows(3), "b": rows(13)})
+    assert current(spark, store, "b") == [(0, 3)] and read() == [10, 11, 12, 13]
+    put_batch(store, 4, 4, {"a": rows(), "b": rows()})
+    assert current(spark, store, "b") == [(0, 3), (4, 4)] and read() == [10, 11, 12, 13]

@@ -543,6 +543,11 @@ ORACLE["A6_write_anonymized"] = select(
     [DOCUMENTS, lines(), candidates(*_RULES), ALL_BOXES, masked()],
     "SELECT doc_id, 'doc' || doc_id || '-anonymized.pdf' AS file_name, text FROM out_pages",
 )
+ORACLE["A6_anonymized_batches"] = select(
+    [*CORPUS_LINES, candidates(), ALL_BOXES, masked()],
+    """SELECT CASE WHEN doc_id < 0 THEN 'forms' ELSE 'documents' END AS batch, doc_id,
+    'doc' || doc_id || '-anonymized.pdf' AS file_name, text FROM out_pages""",
+)
 ORACLE["E1_redaction_plan"] = select(
     [*REVIEWED, plan("reviewed")], f"SELECT doc_id, total_boxes, {N}, pages_affected FROM plan"
 )
@@ -731,5 +736,6 @@ ORACLE["J3_latest_scan_wins"] = select(
   WHERE scan_seq = (SELECT max(scan_seq) FROM scans s WHERE s.doc_id = r.doc_id AND s.page_index = r.page_index)""",
 )
 ORACLE["J3_stream_latest_scan_wins"] = ORACLE["J3_latest_scan_wins"]
+ORACLE["J3_stream_merged_scans"] = ORACLE["J3_latest_scan_wins"]
 ORACLE["E4_redact_glyphs_bucketed"] = ORACLE["E4_redact_glyphs"]
 ORACLE["E7_anonymize_bucketed"] = ORACLE["E7_anonymize_reviewed"]

@@ -83,6 +83,17 @@ def _(spark, sf):
     return spark.read.parquet(folder).select("doc_id", "file_name", "text")
 
 
+@query("A6_anonymized_batches")
+def _(spark, sf):
+    """Documents and forms as batches of one output; the first is written twice, and counts once."""
+    folder = shared_folder(spark, "anonymized-batches")
+    documents, forms = inputs.document_pages(spark, sf), form_pages(table(spark, sf, "customer"))
+    for batch, pages in (("documents", documents), ("forms", forms), ("documents", documents)):
+        named = pages.withColumn("name", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+        files.write_anonymized_batch(anonymize_pages(named), folder, batch)
+    return files.read_anonymized_batches(spark, folder).select("batch", "doc_id", "file_name", "text")
+
+
 @query("A7_anonymized_name")
 def _(spark, sf):
     return inputs.file_names(spark, sf).select("doc_id", names.anonymized_name(F.col("name")).alias("file_name"))
@@ -578,17 +589,27 @@ def _(spark, sf):
     return bx.latest_scan_wins(*_two_scans(spark, sf)).select("scan_seq", *LINE_KEY, "category", "start")
 
 
-@query("J3_stream_latest_scan_wins")
-def _(spark, sf):
+def _scans_in_stream(spark, sf, micro_batches, max_files, **how):
     scans, out, marks = (shared_folder(spark, f"scans-{n}") for n in ("in", "out", "marks"))
-    stacked(*_two_scans(spark, sf)).write.partitionBy("scan_seq").parquet(scans)
-    schema = spark.read.parquet(scans).schema
-    arriving = stream_detect.stream_table(spark, scans, schema)
-    stream_detect.stream_latest_scans(arriving, out, marks).awaitTermination()
+    arriving = stacked(*_two_scans(spark, sf))
+    (arriving.repartition(micro_batches) if micro_batches else arriving).write.partitionBy("scan_seq").parquet(scans)
+    arriving = stream_detect.stream_table(spark, scans, spark.read.parquet(scans).schema, max_files=max_files)
+    stream_detect.stream_latest_scans(arriving, out, marks, **how).awaitTermination()
     latest = stream_detect.read_latest_scans(spark, out)
     return latest.select(F.col("scan_seq").cast("bigint").alias("scan_seq"), *LINE_KEY, "category", "start")
 
 
+@query("J3_stream_latest_scan_wins")
+def _(spark, sf):
+    return _scans_in_stream(spark, sf, None, 1000)
+
+
+@query("J3_stream_merged_scans")
+def _(spark, sf):
+    """The same rows in two times four files, one a micro-batch, which are merged by twos."""
+    return _scans_in_stream(spark, sf, 4, 1, fan=2)
+
+
 # ---- K: rules of one's own -----------------------------------------------------------------------------
 
 ORDER_NO = Rule(
