@@ -32,7 +32,9 @@ from ..session import materialize, stacked
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 SHARD_WORDS = 1 << 20
 BUCKET_WORDS = 1 << 21
-SHARDS_OF_TASK, PLACES = 1 << 10, 1 << 31
+SHARDS_OF_TASK, PLACE_BITS = 1 << 10, 31
+PLACES = 1 << PLACE_BITS
+DEFLATE = 6
 SALT = 64
 
 _ENDS = b".,;:!?\x0b\x0c\r"
@@ -94,7 +96,7 @@ def behind_of(bwt: np.ndarray) -> np.ndarray:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), DEFLATE)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -190,7 +192,7 @@ def _table(schema: str, n: int, **columns) -> pa.Table:
 def _block(*columns: np.ndarray) -> bytes:
     """The first column rises, so its steps are kept; bytes of equal weight lie together, as most are zero."""
     steps = np.diff(columns[0], prepend=0)
-    return zlib.compress(np.stack([steps, *columns[1:]]).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+    return zlib.compress(np.stack([steps, *columns[1:]]).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), DEFLATE)
 
 
 def _columns(block: bytes, n: int) -> np.ndarray:
@@ -321,12 +323,25 @@ def phrases(docs: DataFrame, text_col: str, lang_col: str, min_count: int, shard
     slim = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     kept = slim.mapInArrow(_shards(shard_words), "shard bigint, bwt binary, words array<struct<lang: string, word: string, size: int>>")
     kept = materialize(kept, "shards")
-    words = kept.select("shard", F.posexplode("words").alias("place", "w")).select("shard", F.col("place").cast("bigint"), "w.*")
+    each = kept.select("shard", F.posexplode("words").alias("place", "w"))
+    words = each.select("w.lang", "w.size")
     totals = materialize(words.groupBy("lang").agg(F.sum("size").alias("n")), "words-of-languages")
     buckets = -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS) or 1
-    # A word's number is made of the first place it has.
-    same, place = Window.partitionBy("lang", "word"), F.col("shard") * PLACES + F.col("place")
-    frequent = words.withColumns({"f": F.sum("size").over(same), "gid": F.min(place).over(same)}).where(F.col("f") >= min_count)
+    # A row for each word of each shard is shuffled, so it is kept short: one number for the place, one text for word and
+    # language. No word has a line feed. A word's number is the first place it has.
+    place = F.col("shard") * PLACES + F.col("place")
+    short = each.select(place.alias("at"), F.concat("w.word", F.lit("\n"), "w.lang").alias("name"), "w.size")
+    same = Window.partitionBy("name")
+    named = short.withColumns({"f": F.sum("size").over(same), "gid": F.min("at").over(same)}).where(F.col("f") >= min_count)
+    word = F.substring_index("name", "\n", 1)
+    frequent = named.select(
+        F.shiftright("at", PLACE_BITS).alias("shard"),
+        F.col("at").bitwiseAND(F.lit(PLACES - 1)).alias("place"),
+        F.substring(F.col("name"), F.length(word) + 2, F.length("name")).alias("lang"),
+        word.alias("word"),
+        "f",
+        "gid",
+    )
     frequent = materialize(frequent, "frequent-words")
     index = kept.select("shard", "bwt").groupBy("shard")
 
