@@ -2,7 +2,7 @@ import random
 
 from llm_data import EDGES, docs_of, words  # noqa: F401
 
-from veilframe.llm.line_dedup import dedup_lines
+from veilframe.llm.line_dedup import MIN_WORDS, dedup_lines, extended, selected
 
 
 def n_words(line):
@@ -58,3 +58,29 @@ def test_matches_brute_force(docs_of):
 
 def test_empty_table(docs_of):
     assert dedup_lines(docs_of([])).count() == 0
+
+
+def test_few_positions_are_kept_and_only_shared_ones_extended(spark, docs_of):
+    r = random.Random(8)
+    passage = [words(r, 6) for _ in range(40)]
+    pairs = [(k, "\n".join(words(r, 6) for _ in range(200))) for k in range(20)]
+    pairs += [(100, "\n".join([words(r, 6)] + passage)), (101, "\n".join(passage + [words(r, 6)]))]
+    docs = docs_of(pairs)
+    lines = selected(docs, "doc_id", "text", MIN_WORDS).cache()
+    n, kept = lines.count(), lines.where("new").count()
+    assert n / 8 < kept < n / 3  # 2 of 10 lines on average, as windows have nine
+    marks = lines.where("new").groupBy("mark").count().where("count > 1").select("mark")
+    stretches = extended(lines, marks, MIN_WORDS).collect()
+    assert {x.id for x in stretches} == {100, 101} and len(stretches) < 150
+    out = {x.doc_id: x for x in dedup_lines(docs).collect()}
+    assert out[101].n_lines_removed == 40 and sum(x.n_lines_removed for x in out.values()) == 40
+
+
+def test_very_long_text(docs_of):
+    r = random.Random(9)
+    lines = [words(r, 4) for _ in range(20000)]
+    passage = [words(r, 4) for _ in range(30)]
+    long = lines[:9000] + passage + lines[9000:]
+    out = {x.doc_id: x for x in dedup_lines(docs_of([(1, "\n".join(passage)), (2, "\n".join(long)), (3, "word " * 300000)])).collect()}
+    assert out[2].text == "\n".join(lines) and out[2].n_lines_removed == 30
+    assert out[1].n_lines_removed == out[3].n_lines_removed == 0

@@ -6,18 +6,20 @@ corpus: in a document before it (by id), or further up in its own.
 
 How the runs are found, without comparing documents pairwise:
 
-1. Windows. From each line, the shortest run forward that reaches ``min_words``, and the shortest one backward. Any
-   repeated run is covered by windows that lie within it.
-2. Winnowing. Of each window the least line hash is selected as fingerprint. Equal windows select the same line, so a
-   repeated run is guaranteed to share a fingerprint with its earlier place.
-3. Positions of equal fingerprints are joined; windows whose fingerprint lies at one place only are dropped here, and
-   those are nearly all.
-4. Matches are extended both ways: to the right by the forward windows around the fingerprint, to the left by the
-   backward ones, compared by a 128-bit hash of all their lines with the earliest window of the same lines.
-5. Windows found later than that are joined to runs, and the runs are cut out of the text.
+1. Winnowing. From each line, the shortest run forward that reaches ``min_words`` is a window; the line with the least hash
+   in it is selected, the first of several. Neighbouring windows mostly select the same line, so what is kept of a document
+   is its selected positions, each once. A repeated run is guaranteed to share one with its earlier place.
+2. Positions of equal hashes are joined; those whose hash lies at one place only are dropped here, and these are nearly all.
+3. What is left is extended both ways: to the left, to each line whose window selected the position; to the right, from the
+   end of that window line by line for as long as no later line's window ends there, too. Each stretch is compared, by a
+   128-bit hash of all its lines, with the earliest place that was extended to the same lines.
+4. Stretches found later than that are joined to runs, and the runs are cut out of the text.
+
+Nothing is missed: take a stretch of a repeated run that loses its ``min_words`` with its first or with its last line. The
+window of its first line lies within it and selects the same line at the earlier place, and step 3 reaches its end.
 
 A line that stands in a third of all documents is one key of two joins that Spark can split, and of sums that combine
-before the shuffle. No pairs of places are ever made: each window meets only the earliest.
+before the shuffle. No pairs of places are ever made: each stretch meets only the earliest.
 """
 
 from __future__ import annotations
@@ -45,8 +47,9 @@ def _lines(text: Column) -> Column:
     return F.filter(all_lines, lambda x: x["w"] > 0)
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """Every window: its document (key, id), first and last line, fingerprint and its place, and two hashes of all lines."""
+def selected(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Every line with words: its document (k1, k2, id), number, two hashes, the words up to it and before it, whether a window
+    begins at it (``whole``), the hash that the window selects (``mark``), and whether the line before selects another (``new``)."""
     k1, k2 = row_key(id_col, text_col)
     keyed = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), _lines(F.col(text_col)).alias("lines"))
     # Rows equal in id and text are one document. The windows below keep this partitioning.
@@ -55,41 +58,47 @@ def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     doc = Window.partitionBy("k1", "k2")
     rows = rows.withColumn("upto", F.sum("w").over(doc.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.col("upto") - F.col("w"))
-    forward = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    backward = doc.orderBy("upto").rangeBetween(1 - min_words, 0)
-
-    def window(frame, first: Column, last: Column, whole: Column) -> Column:
-        least = F.min(F.struct("h1", "no")).over(frame)
-        found = F.struct(
-            first.alias("first"),
-            last.alias("last"),
-            least["h1"].alias("mark"),
-            F.xxhash64("k1", "k2", least["no"]).alias("place"),
-            F.xxhash64(F.collect_list("h1").over(frame)).alias("c1"),
-            F.xxhash64(F.lit(7919), F.collect_list("h2").over(frame)).alias("c2"),
+    frame = doc.orderBy("before").rangeBetween(0, min_words - 1)
+    rows = rows.withColumn("least", F.min(F.struct("h1", "no")).over(frame))
+    rows = rows.withColumn("whole", F.max("upto").over(frame) - F.col("before") >= min_words)
+    # The windows that select a line follow one another, so a position is new where the line before selects another.
+    rows = rows.withColumn("new", F.col("whole") & ~F.lag("least.no").over(doc.orderBy("before")).eqNullSafe(F.col("least.no")))
+    return rows.select("k1", "k2", "id", "no", "h1", "h2", "upto", "before", "whole", F.col("least.h1").alias("mark"), "new")
+
+
+def extended(lines: DataFrame, marks: DataFrame, min_words: int) -> DataFrame:
+    """Stretches around the positions with one of the ``marks``: document, first and last line, two hashes of all lines."""
+    # Lines without a window have a mark as well, so no null key gathers them.
+    rows = lines.join(marks.withColumn("hit", F.lit(True)), "mark", "left")
+    doc = Window.partitionBy("k1", "k2")
+    line = F.struct("no", "h1", "h2")
+    rows = rows.withColumn("window", F.collect_list(line).over(doc.orderBy("before").rangeBetween(0, min_words - 1)))
+    rows = rows.withColumn("right", F.collect_list(line).over(doc.orderBy("upto").rangeBetween(0, min_words - 1)))
+    rows = rows.where("hit AND whole")
+    least = F.size("window")
+    around = F.when(F.size("right") > least, F.col("right")).otherwise(F.col("window"))
+
+    def stretch(n: Column) -> Column:
+        part = F.slice(around, 1, n)
+        return F.struct(
+            F.get(part, n - 1)["no"].alias("last"),
+            F.xxhash64(F.transform(part, lambda x: x["h1"])).alias("c1"),
+            F.xxhash64(F.lit(7919), F.transform(part, lambda x: x["h2"])).alias("c2"),
         )
-        return F.when(whole, found)
 
-    start = F.min("before").over(backward)
-    ahead = window(forward, F.col("no"), F.max("no").over(forward), F.max("upto").over(forward) - F.col("before") >= min_words)
-    # A backward window that falls short without its last line is a forward window, too.
-    behind = window(
-        backward, F.min("no").over(backward), F.col("no"), (F.col("upto") - start >= min_words) & (F.col("before") - start >= min_words)
-    )
-    both = rows.select("k1", "k2", "id", ahead.alias("ahead"), behind.alias("behind"))
-    found = both.select("k1", "k2", "id", F.explode(F.array("ahead", "behind")).alias("x")).where("x IS NOT NULL")
-    return found.select("k1", "k2", "id", "x.*")
+    found = F.transform(F.sequence(least, F.size(around)), stretch)
+    return rows.select("k1", "k2", "id", F.col("no").alias("first"), F.inline(found))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Runs to delete: k1, k2 (the document's row key) and ``runs``, sorted array of (first, last) line numbers."""
-    found = materialize(windows(docs, id_col, text_col, min_words), "windows")
-    marks = found.groupBy("mark").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("mark")
-    shared = materialize(found.join(marks, "mark", "left_semi"), "shared-windows")
+    lines = materialize(selected(docs, id_col, text_col, min_words), "selected-lines")
+    marks = lines.where("new").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    found = materialize(extended(lines, marks, min_words), "stretches")
     at = F.struct(F.isnull("id").alias("n"), F.col("id").alias("i"), F.col("k1"), F.col("k2"), F.col("first"))
-    earliest = shared.groupBy("c1", "c2").agg(F.min(at).alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    later = shared.join(earliest.drop("n"), ["c1", "c2"]).where(at != F.col("earliest")).select("k1", "k2", "first", "last")
-    # Windows that overlap or touch are one run.
+    earliest = found.groupBy("c1", "c2").agg(F.min(at).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    later = found.join(earliest.drop("n"), ["c1", "c2"]).where(at != F.col("earliest")).select("k1", "k2", "first", "last")
+    # Stretches that overlap or touch are one run.
     doc = Window.partitionBy("k1", "k2").orderBy("first", "last")
     reach = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int"))
