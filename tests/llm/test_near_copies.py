@@ -5,7 +5,7 @@ import random
 from llm_data import EDGES, docs_of, words  # noqa: F401
 
 import corpus_pipeline
-from veilframe.llm.near_copies import without_similar
+from veilframe.llm.near_copies import rare_shingles, without_similar
 from veilframe.llm.simhash import fingerprint
 
 
@@ -48,3 +48,31 @@ def test_edges(docs_of):
     got = without_similar(docs_of(EDGES)).collect()
     assert len(got) == len(brute(EDGES))
     assert without_similar(docs_of([])).count() == 0
+
+
+def template_pages(r, n, own):
+    """Pages of one template of 300 words, with ``own`` words of their own at the end."""
+    template = words(r, 300)
+    return [f"{template} " + " ".join(f"{words(r, 1)}{k}" for _ in range(own)) for k in range(n)]
+
+
+def test_crowded_bands_give_the_same(docs_of):
+    r = random.Random(6)
+    pages = template_pages(r, 60, 44)  # 0.77 of each other
+    near = [p.replace(" ", " x ", 1) for p in pages[:10]]
+    alike = [w + " " + words(r, 3) for w in template_pages(r, 30, 20)]  # 0.87
+    mixed = [words(r, 200) + " " + pages[k] for k in range(5)]
+    texts = pages + near + alike + mixed + ["", "one"]
+    r.shuffle(texts)
+    pairs = list(enumerate(texts))
+    for crowded in (0, 50, 1 << 14):
+        got = sorted(((x.doc_id, x.text) for x in without_similar(docs_of(pairs), crowded=crowded).collect()), key=str)
+        assert got == brute(pairs)
+
+
+def test_pages_of_a_template_do_not_meet(spark):
+    r = random.Random(7)
+    pages = template_pages(r, 400, 44)
+    texts = spark.createDataFrame(list(enumerate(pages)), "node bigint, text string")
+    rare = rare_shingles(texts, 0.8, 5)
+    assert rare.where("small").count() == 0
